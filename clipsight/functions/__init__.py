@@ -1 +1,17 @@
 """Column expressions: everything here is Column -> Column and stays in the JVM."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A plain Column used five times inside branches may be evaluated five times;
+    binding it as a lambda variable of a one-element array avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from clipsight.functions import let
+from clipsight.functions.series import SAMPLE_TYPE
+
 # Fields of a structured prompt document.
 PROMPT_SCHEMA = """
 subjects ARRAY<STRUCT<description:STRING, appearance_details:STRING, relationship:STRING, location:STRING,
@@ -40,13 +43,14 @@ def unwrap(text: Column) -> Column:
     NULL when the text or the wrapped text is not JSON.  A ``prompt`` that is an
     object or a number is not a wrapper.
     """
-    doc = F.try_parse_json(text)
-    inner = F.try_variant_get(doc, "$.prompt", "variant")
-    wrapped = F.schema_of_variant(inner) == "STRING"
-    inside = F.try_variant_get(doc, "$.prompt", "string")
-    return F.when(doc.isNull(), F.lit(None).cast("string")).when(
-        F.coalesce(wrapped, F.lit(False)), F.when(is_json(inside), inside)
-    ).otherwise(text)
+    def pick(doc: Column) -> Column:
+        wrapped = F.schema_of_variant(F.try_variant_get(doc, "$.prompt", "variant")) == "STRING"
+        inside = F.try_variant_get(doc, "$.prompt", "string")
+        return F.when(doc.isNull(), F.lit(None).cast("string")).when(
+            F.coalesce(wrapped, F.lit(False)), let(inside, lambda x: F.when(is_json(x), x))
+        ).otherwise(text)
+
+    return let(F.try_parse_json(text), pick)
 
 
 @F.pandas_udf(StringType())
@@ -63,13 +67,15 @@ def pretty(text: pd.Series) -> pd.Series:
 
 def seconds_range(text: Column) -> Column:
     """``M:SS-M:SS`` as ``struct<start_s,end_s>``; NULL when malformed."""
-    def group(n: int) -> Column:
-        return F.regexp_extract(text, r"^\s*(\d+):(\d\d)-(\d+):(\d\d)\s*$", n).try_cast("int")
-
-    parsed = F.struct(
-        (group(1) * 60 + group(2)).alias("start_s"), (group(3) * 60 + group(4)).alias("end_s")
+    parts = F.transform(F.split(text, "[:-]"), lambda x: F.trim(x).try_cast("int"))
+    span = F.transform(
+        F.array(parts),
+        lambda p: F.struct(
+            (F.get(p, F.lit(0)) * 60 + F.get(p, F.lit(1))).alias("start_s"),
+            (F.get(p, F.lit(2)) * 60 + F.get(p, F.lit(3))).alias("end_s"),
+        ),
     )
-    return F.when(parsed["end_s"].isNotNull(), parsed)
+    return F.when(text.rlike(r"^\s*\d+:\d\d-\d+:\d\d\s*$"), F.get(span, F.lit(0)))
 
 
 def duration_seconds(text: Column) -> Column:
@@ -100,25 +106,32 @@ def trajectory(text: Column) -> Column:
     """
     # JSON proper has no NaN or Infinity; quoting them makes the text parseable.
     quoted = F.regexp_replace(text, r'(?<![\w"])(-?(?:NaN|Infinity))(?![\w"])', '"$1"')
-    doc = F.try_parse_json(quoted)
-    is_list = F.startswith(F.schema_of_variant(doc), F.lit("ARRAY"))
-    rows = F.try_variant_get(doc, "$", "array<variant>")
-    cells = F.transform(rows, lambda r: F.try_variant_get(r, "$", "array<string>"))
 
     def number(x: Column) -> Column:
         return F.when(~x.rlike("[dDfF]\\s*$"), x).try_cast("double")
 
-    series = F.transform(
-        cells,
-        lambda c: F.struct(
-            number(F.get(c, F.lit(0))).alias("v"), number(F.get(c, F.lit(1))).alias("h")
-        ),
-    )
-    sound = F.forall(series, lambda s: s["v"].isNotNull() & s["h"].isNotNull())
-    error = (
-        F.when(text.isNull(), F.lit(MISSING))
-        .when(doc.isNull(), F.lit(UNREADABLE))
-        .when(~F.coalesce(is_list, F.lit(False)) | (F.coalesce(F.size(rows), F.lit(0)) < 1), F.lit(EMPTY))
-        .when(~F.coalesce(sound, F.lit(False)), F.lit(BAD_ROWS))
-    )
-    return F.struct(F.when(error.isNull(), series).alias("series"), error.alias("error"))
+    def sample(row: Column) -> Column:
+        return let(
+            F.try_variant_get(row, "$", "array<string>"),
+            lambda c: F.struct(number(F.get(c, F.lit(0))).alias("v"), number(F.get(c, F.lit(1))).alias("h")),
+        )
+
+    def result(series: Column | None, error: Column) -> Column:
+        kept = F.lit(None).cast(SAMPLE_TYPE) if series is None else F.when(error.isNull(), series)
+        return F.struct(kept.alias("series"), error.alias("error"))
+
+    def check(series: Column) -> Column:
+        sound = F.forall(series, lambda s: s["v"].isNotNull() & s["h"].isNotNull())
+        error = F.when(F.size(series) < 1, F.lit(EMPTY)).when(~F.coalesce(sound, F.lit(False)), F.lit(BAD_ROWS))
+        return result(series, error)
+
+    def read(doc: Column) -> Column:
+        is_list = F.startswith(F.schema_of_variant(doc), F.lit("ARRAY"))
+        return (
+            F.when(text.isNull(), result(None, F.lit(MISSING)))
+            .when(doc.isNull(), result(None, F.lit(UNREADABLE)))
+            .when(~is_list, result(None, F.lit(EMPTY)))
+            .otherwise(let(F.transform(F.try_variant_get(doc, "$", "array<variant>"), sample), check))
+        )
+
+    return let(F.try_parse_json(quoted), read)

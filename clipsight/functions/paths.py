@@ -51,7 +51,7 @@ def file_name(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Directory part; empty for a file at the root."""
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.left(path, F.greatest(F.length(path) - F.length(file_name(path)) - 1, F.lit(0)))
 
 
 def drop_suffix(path: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipsight.functions import let
+
 # Phrases that decide what a sentence expects the vehicle to do.
 # Tested as substrings of the lower-cased sentence.
 STEER = ["steer", "maneuver", "manoeuvr", "navigat", "oncoming lane", "into an oncoming",
@@ -69,8 +71,14 @@ BASE_PROMPTS = {
 }
 
 
+# White space as the prompt files' tools understand it (Unicode, and the separators x1c-x1f).
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+WS = r"[\s\x1c-\x1f]"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def last_sentence(text: Column) -> Column:
@@ -78,18 +86,27 @@ def last_sentence(text: Column) -> Column:
 
     A text made only of notes keeps its first one.  A sentence ends at ``.!?``
     directly followed by white space, so a closing quote in between joins two.
+    The greedy prefix finds the last such end from the back of the text, so long
+    texts are not split into all their sentences.
     """
-    bare = strip(text)
-    cut = F.regexp_replace(bare, r"(?U)(\s*\([^()]*\))+\s*\z", "")
-    body = F.when(
-        (cut == "") & (bare != ""), F.regexp_extract(bare, r"(?U)^\s*(\([^()]*\))", 1)
-    ).otherwise(cut)
-    parts = F.filter(F.split(body, r"(?U)(?<=[.!?])\s+"), lambda p: strip(p) != "")
-    return F.coalesce(strip(F.try_element_at(parts, F.lit(-1))), body)
+    def without_notes(bare: Column) -> Column:
+        return F.when(
+            bare.endswith(")"),
+            let(
+                F.regexp_replace(bare, rf"(?U)({WS}*\([^()]*\))+\z", ""),
+                lambda cut: F.when(cut == "", F.regexp_extract(bare, r"^(\([^()]*\))", 1)).otherwise(cut),
+            ),
+        ).otherwise(bare)
+
+    return F.regexp_replace(let(strip(text), without_notes), rf"(?Us)^.*[.!?]{WS}+(?=.)", "")
 
 
 def _mentions(low: Column, phrases: list[str]) -> Column:
-    return low.rlike("|".join(phrases))
+    """Plain substring tests: a byte search each, far cheaper than one regex alternation."""
+    hit = low.contains(phrases[0])
+    for phrase in phrases[1:]:
+        hit = hit | low.contains(phrase)
+    return hit
 
 
 def expected_speed(sentence: Column) -> Column:

@@ -70,42 +70,52 @@ def _keys(json: Column) -> Column:
     return F.array_join(F.array_sort(F.json_object_keys(json)), ",")
 
 
-def _facts(json: str, doc: str) -> Column:
-    """What must not change between a base prompt and its variants, as (rule, value) pairs."""
-    j, s = F.col(json), F.col(doc)
+def _facts(m: Column) -> Column:
+    """What must not change between a base prompt and its variants, as (rule, value) pairs.
 
+    ``m`` maps the top-level keys to the JSON text below them: the document is
+    parsed once, and only small pieces of it again.
+    """
     def count(field: str) -> Column:
-        return F.size(F.coalesce(s[field], F.array())).cast("string")
+        return F.coalesce(F.json_array_length(m[field]), F.lit(0)).cast("string")
 
-    counts = F.transform(
-        s["subjects"],
-        lambda x: F.concat_ws("/", x["number_of_subjects"], x["number_of_arms"], x["number_of_legs"]),
+    counted = F.from_json(
+        m["subjects"], "array<struct<number_of_subjects:int,number_of_arms:int,number_of_legs:int>>"
+    )
+    subjects = F.transform(
+        counted, lambda x: F.concat_ws("/", x["number_of_subjects"], x["number_of_arms"], x["number_of_legs"])
     )
+    size = F.from_json(m["resolution"], "struct<H:int,W:int>")
     facts = {
-        "keys": _keys(j),
-        "lighting_keys": _keys(F.get_json_object(j, "$.lighting")),
-        "aesthetics_keys": _keys(F.get_json_object(j, "$.aesthetics")),
-        "duration": s["duration"],
-        "fps": s["fps"].cast("string"),
-        "resolution": F.concat_ws("x", s["resolution"]["H"], s["resolution"]["W"]),
-        "aspect_ratio": s["aspect_ratio"],
+        "keys": F.array_join(F.array_sort(F.map_keys(m)), ","),
+        "lighting_keys": _keys(m["lighting"]),
+        "aesthetics_keys": _keys(m["aesthetics"]),
+        "duration": m["duration"],
+        "fps": m["fps"],
+        "resolution": F.concat_ws("x", size["H"], size["W"]),
+        "aspect_ratio": m["aspect_ratio"],
         "n_segments": count("segments"),
         "n_actions": count("actions"),
         "n_subjects": count("subjects"),
         "n_signage": count("text_and_signage_elements"),
-        "subject_counts": F.array_join(counts, ","),
+        "subject_counts": F.array_join(subjects, ","),
     }
     return F.array(*[F.struct(F.lit(rule).alias("rule"), value.alias("value")) for rule, value in facts.items()])
 
 
+def _with_facts(docs: DataFrame, *keep: str, name: str) -> DataFrame:
+    opened = docs.select(*keep, F.from_json("json", "map<string,string>").alias("m"))
+    return opened.select(*keep, _facts(F.col("m")).alias(name))
+
+
 def invariant_sweep(variants: DataFrame, base: DataFrame) -> DataFrame:
     """``(file, rule, ok, got, want)`` for every variant and every invariant.
 
     Both sides have ``prompt_idx`` and ``json``; variants also ``file``.  Only
     the short fact strings are joined, not the documents.
     """
-    want = parsed(base).select("prompt_idx", _facts("json", "doc").alias("want"))
-    got = parsed(variants).select("file", "prompt_idx", _facts("json", "doc").alias("got"))
+    want = _with_facts(base, "prompt_idx", name="want")
+    got = _with_facts(variants, "file", "prompt_idx", name="got")
     joined = lookup_join(got, want, ["prompt_idx"])
     pairs = F.zip_with(
         "got",

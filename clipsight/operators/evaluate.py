@@ -72,9 +72,11 @@ def metrics(predictions: DataFrame, *group: str) -> DataFrame:
 
 def class_counts(predictions: DataFrame, *group: str) -> DataFrame:
     """Rows per class and group, zeros kept."""
-    return predictions.groupBy(*group).agg(
-        *[F.count_if(F.col("prediction") == c).alias(f"n_{c.lower()}") for c in CLASSES]
-    )
+    return predictions.groupBy(*group).agg(*class_columns())
+
+
+def class_columns() -> list[Column]:
+    return [F.count_if(F.col("prediction") == c).alias(f"n_{c.lower()}") for c in CLASSES]
 
 
 def with_truth(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -105,7 +107,7 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
     that repeat the header, so no task has to hold all of its results; the parts
     together hold every row.
     """
-    scored = metrics(predictions, "exp_name").join(class_counts(predictions, "exp_name"), "exp_name")
+    scored = with_scores(predictions.groupBy("exp_name").agg(*confusion(), *class_columns()))
     header = scored.select(
         "exp_name",
         F.ceil(F.col("total_videos") / per_document).cast("long").alias("parts"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import text
-from clipsight.operators.skew import ROWS_PER_TASK, lookup_join
+from clipsight.operators.skew import ROWS_PER_TASK, has_heavy_key, lookup_join
 
 LABEL_COLUMNS = ["label", "heuristic", "comment"]
 
@@ -81,7 +81,7 @@ def next_previous(queue: DataFrame, folder: str, rows_per_task: int = ROWS_PER_T
     of positions; what lies beyond a block comes from one row per block.
     """
     pos = F.when(~F.col("skipped"), F.col("pos"))
-    if queue.filter(F.col("pos") >= rows_per_task).isEmpty():
+    if not has_heavy_key(queue, [folder], rows_per_task):
         run = Window.partitionBy(folder).orderBy("pos")
         out = queue.withColumns(
             {

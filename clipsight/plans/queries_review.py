@@ -84,8 +84,8 @@ FROM latest WHERE rel_path NOT IN (SELECT rel_path FROM store)
 
 def queue(t: Tables):
     clips = t.derive(I.CLIP_PATHS).select("rel_path", paths.parent(F.col("rel_path")).alias("folder"))
-    marked = catalog.mark_skipped(clips, t.derive(I.SKIP_LIST))
-    return positions(marked, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
+    placed = positions(clips, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
+    return catalog.mark_skipped(placed, t.derive(I.SKIP_LIST))
 
 
 QUEUE_SQL = """

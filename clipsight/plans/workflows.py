@@ -83,11 +83,13 @@ def review_queue(
     clips: DataFrame, prompt_lines: DataFrame, flags: DataFrame, store: DataFrame, skip: DataFrame
 ) -> DataFrame:
     """Everything a reviewer sees per clip: sentence, flag, stored label, position and neighbours."""
-    told = catalog.with_prompt_sentence(clips, prompt_lines)
-    labelled = review.with_labels(review.with_heuristic(told, flags), store.select("row_no", "rel_path", "label", "comment"))
-    marked = catalog.mark_skipped(labelled, skip)
-    placed = positions(marked, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
-    return review.next_previous(placed, "folder")
+    # Placed first: numbering needs only the paths, and its size check stays cheap.
+    foldered = clips.withColumn("folder", paths.parent(F.col("rel_path")))
+    placed = positions(foldered, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
+    near = review.next_previous(catalog.mark_skipped(placed, skip), "folder")
+    told = catalog.with_prompt_sentence(near, prompt_lines)
+    flagged = review.with_heuristic(told, flags)
+    return review.with_labels(flagged, store.select("row_no", "rel_path", "label", "comment"))
 
 
 def prepare_prompts(prompts: DataFrame, fn: Callable[[str], str], **options) -> DataFrame:
