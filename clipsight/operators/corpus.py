@@ -67,7 +67,7 @@ def variant_names(prompt_idx: Column, row: Column) -> Column:
 
 
 def _keys(json: Column) -> Column:
-    return F.array_join(F.array_sort(F.json_object_keys(json)), ",")
+    return F.array_join(F.sort_array(F.json_object_keys(json)), ",")
 
 
 def _facts(m: Column) -> Column:
@@ -87,7 +87,7 @@ def _facts(m: Column) -> Column:
     )
     size = F.from_json(m["resolution"], "struct<H:int,W:int>")
     facts = {
-        "keys": F.array_join(F.array_sort(F.map_keys(m)), ","),
+        "keys": F.array_join(F.sort_array(F.map_keys(m)), ","),
         "lighting_keys": _keys(m["lighting"]),
         "aesthetics_keys": _keys(m["aesthetics"]),
         "duration": m["duration"],

@@ -135,7 +135,7 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
     documents = (
         rows.withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")))
         .groupBy("exp_name", "part")
-        .agg(F.array_sort(F.collect_list(row)).alias("results"))
+        .agg(F.sort_array(F.collect_list(row)).alias("results"))
     )
     return documents.join(header.drop("parts"), "exp_name").select(
         "exp_name", "part", "experiment", "environment", "cli_args", "inference_params", "summary", "metrics", "results"

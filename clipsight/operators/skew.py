@@ -20,7 +20,7 @@ from clipsight.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 100_000
 ROWS_PER_TASK = 4_000_000
-HEAVY_SHARE = 1000
+KEYLESS_SALTS = 1000
 
 
 def lookup_join(
@@ -42,12 +42,12 @@ def lookup_join(
     if bounded or lookup.count() <= broadcast_rows:
         return facts.join(F.broadcast(lookup), on, how)
 
-    # At most HEAVY_SHARE keys can hold more than 1/HEAVY_SHARE of the rows each.
-    counts = facts.groupBy(*on).count()
-    total = facts.count()
-    heavy_from = max(rows_per_task, total // HEAVY_SHARE)
-    heavy = counts.filter(F.col("count") > heavy_from).select(
-        *on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_copies")
+    # Fewer than one heavy key per task's worth of fact rows, so this stays small.
+    heavy = (
+        facts.groupBy(*on)
+        .count()
+        .filter(F.col("count") > rows_per_task)
+        .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_copies"))
     )
     row_hash = F.xxhash64(*facts.columns)
     no_key = F.lit(False)
@@ -56,7 +56,7 @@ def lookup_join(
     # Rows without a key match nothing, so any salt will do: spread them all.
     spread = facts.join(F.broadcast(heavy), on, "left").withColumn(
         "_salt",
-        F.when(no_key, F.pmod(row_hash, F.lit(HEAVY_SHARE).cast("long")))
+        F.when(no_key, F.pmod(row_hash, F.lit(KEYLESS_SALTS).cast("long")))
         .when(F.col("_copies").isNotNull(), F.pmod(row_hash, F.col("_copies").cast("long")))
         .otherwise(F.lit(0).cast("long")),
     )

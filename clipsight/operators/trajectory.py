@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
-from clipsight.operators.skew import lookup_join
+from clipsight.operators.skew import ROWS_PER_TASK, has_heavy_key, lookup_join
 
 
 def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFrame:
@@ -20,32 +20,39 @@ def collect_series(samples: DataFrame, key: str) -> DataFrame:
     """Long form back to one array per clip; for clips short enough to be a row."""
     pair = F.struct("i", F.struct("v", "h").alias("s"))
     return samples.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["s"]).alias("series")
+        F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["s"]).alias("series")
     )
 
 
-def window_means(samples: DataFrame, key: str) -> DataFrame:
+def window_means(samples: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(key, n, start_v, end_v, max_abs_h)`` from the start and end windows.
 
-    Both aggregations combine on the map side, so a long clip does not end up in
-    one task; the per-clip bounds reach its samples through ``lookup_join``.
+    The windows depend on a clip's length.  With clips that fit a task, one
+    shuffle by clip serves the length, the windows and the means.  A longer clip
+    is not gathered: lengths are aggregated first (combining on the map side)
+    and reach the samples through ``lookup_join``.
     """
-    sizes = samples.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.abs("h")).alias("max_abs_h")
-    )
-    bounds = sizes.withColumn("b", S.window_bounds(F.col("n"))).select(key, "n", "max_abs_h", "b.*")
+    used = samples.select(key, "i", "v", F.abs("h").alias("_abs_h"))
+    if not has_heavy_key(used, [key], rows_per_task):
+        clip = Window.partitionBy(key)
+        sized = used.withColumns(
+            {"n": F.count(F.lit(1)).over(clip), "max_abs_h": F.max("_abs_h").over(clip)}
+        )
+    else:
+        sizes = used.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_abs_h").alias("max_abs_h"))
+        sized = lookup_join(used, sizes, [key], "inner", rows_per_task=rows_per_task)
+    bounded = sized.withColumn("b", S.window_bounds(F.col("n")))
     i, v = F.col("i"), F.col("v")
-    in_start = (i >= F.col("i0")) & (i < F.col("i1"))
-    in_end = (i >= F.col("j0")) & (i < F.col("j1"))
+    in_start = (i >= F.col("b.i0")) & (i < F.col("b.i1"))
+    in_end = (i >= F.col("b.j0")) & (i < F.col("b.j1"))
     return (
-        lookup_join(samples.select(key, "i", "v"), bounds, [key], "inner")
-        .filter(in_start | in_end)
+        bounded.filter(in_start | in_end)
         .groupBy(key)
         .agg(
-            F.first("n").alias("n"),
+            F.max("n").alias("n"),
             F.avg(F.when(in_start, v)).alias("start_v"),
             F.avg(F.when(in_end, v)).alias("end_v"),
-            F.first("max_abs_h").alias("max_abs_h"),
+            F.max("max_abs_h").alias("max_abs_h"),
         )
     )
 

@@ -57,7 +57,7 @@ def series_in_rows(t: Tables):
     """The same kinematics with each clip's poses held in its row."""
     pose = F.struct("k", F.struct("px", "pz", "fx", "fz").alias("p"))
     clips = t.derive(I.POSES).groupBy("clip").agg(
-        F.transform(F.array_sort(F.collect_list(pose)), lambda x: x["p"]).alias("poses")
+        F.transform(F.sort_array(F.collect_list(pose)), lambda x: x["p"]).alias("poses")
     )
     moved = kinematics.with_series(clips)
     return moved.select("clip", F.posexplode("series_5hz").alias("i", "s")).select("clip", "i", "s.v", "s.h")
