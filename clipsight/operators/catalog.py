@@ -95,7 +95,7 @@ def pending(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     Outputs are reduced to distinct keys first, so a key that was written many
     times does not weigh on one task.
     """
-    return inputs.join(outputs.select(key).distinct(), key, "left_anti")
+    return lookup_join(inputs, outputs.select(key).distinct(), [key], "left_anti")
 
 
 def mark_skipped(clips: DataFrame, skip: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsight.functions import text
-from clipsight.operators.skew import lookup_join
+from clipsight.operators.skew import BROADCAST_ROWS, lookup_join
 
 # Classes a prediction can take, in report order.
 CLASSES = ["Anomaly", "Normal", "Unknown", "Error"]
@@ -130,7 +130,14 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
             ),
         ).alias("metrics"),
     ).join(experiments, "exp_name")
-    rows = lookup_join(results(predictions), header.select("exp_name", "parts"), ["exp_name"], "inner")
+    # The header has at most one row per experiment, so counting those is enough.
+    rows = lookup_join(
+        results(predictions),
+        header.select("exp_name", "parts"),
+        ["exp_name"],
+        "inner",
+        bounded=experiments.count() <= BROADCAST_ROWS,
+    )
     row = F.struct("file", "true_label", "prediction", "correct", "raw_output", "inference_time_s")
     documents = (
         rows.withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")))

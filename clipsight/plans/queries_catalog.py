@@ -203,12 +203,12 @@ register(
     "allowed_prompts",
     lambda t: catalog.allowed_prompts(
         t.derive(I.CLIP_PATHS).withColumn("prompt_idx", text.prompt_index(paths.stem(F.col("rel_path")))),
-        t.derive("SELECT DISTINCT CAST(p_size AS INT) AS prompt_idx FROM {part} WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2'"),
+        t.derive("SELECT CAST(r_regionkey AS INT) AS prompt_idx FROM {region}"),
     ).select("rel_path"),
     with_inputs(
         f"""
 SELECT rel_path FROM clips WHERE CAST(regexp_extract({STEM}, '^prompt_(\\d+)', 1) AS INT) IN
-  (SELECT p_size FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2')
+  (SELECT r_regionkey FROM region)
 """,
         clips=I.CLIP_PATHS,
     ),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from clipsight.functions import documents as D
 from clipsight.functions import paths
@@ -44,7 +44,10 @@ def relative(path: Column, root: str) -> Column:
 
 
 def catalogue(spark: SparkSession, root: str, pattern: str = "*.mp4", folder: str = "") -> DataFrame:
-    """``rel_path`` of every matching file below ``root`` (or its sub-folder); contents are not read."""
+    """``rel_path`` of every matching file below ``root`` (or its sub-folder); contents are not read.
+
+    Files of size zero are not listed.
+    """
     base = f"{root.rstrip('/')}/{folder}".rstrip("/")
     return (
         spark.read.format("binaryFile")
@@ -133,7 +136,9 @@ def actions(spark: SparkSession, root: str, pattern: str = "sample_outputs.json"
 
 def trajectories(spark: SparkSession, root: str, clips: DataFrame, mode: str) -> DataFrame:
     """Clips with their stored series: ``series`` or an ``error`` class; no clip is dropped."""
-    stored = whole_texts(spark, root, "*.txt").withColumnRenamed("rel_path", "series_path")
+    # Full-rate files can be told by name; the others are all text files.
+    pattern = f"*{paths.NATIVE_SUFFIX}.txt" if mode == paths.FULL_RATE_MODE else "*.txt"
+    stored = whole_texts(spark, root, pattern).withColumnRenamed("rel_path", "series_path")
     wanted = clips.withColumn("series_path", paths.trajectory_path(F.col("rel_path"), F.lit(mode)))
     return (
         wanted.join(stored, "series_path", "left")
@@ -157,7 +162,8 @@ def sidecar_texts(spark: SparkSession, root: str, clips: DataFrame) -> DataFrame
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return not files.select("path").isEmpty()
     except AnalysisException:
         return False
 
@@ -166,6 +172,8 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     """Label store ``(row_no, rel_path, label, heuristic, comment)``: strings, '' for no value.
 
     An absent file is an empty store, absent columns are '', others are dropped.
+    This is the exchange format: one file, read as one split so rows keep their
+    order.  ``writers.write_labels`` / ``current_labels`` keep the store itself.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], "row_no long, rel_path string, label string, heuristic string, comment string")
@@ -192,11 +200,21 @@ def skip_list(spark: SparkSession, path: str, tree: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, line)`` of a flag log; empty when there is none."""
+    """``(line_no, line)`` of a flag log (a file or a folder of them); empty when there is none.
+
+    The log is read in splits, so ``line_no`` is an ordering key (file, offset of
+    the split, row in it) rather than a number.
+    """
     if not _exists(spark, path):
-        return spark.createDataFrame([], "line_no int, line string")
-    whole = spark.read.text(path, wholetext=True).select(F.lit(path).alias("rel_path"), F.col("value").alias("text"))
-    return split_lines(whole).select("line_no", F.col("text").alias("line"))
+        return spark.createDataFrame([], "line_no struct<file:string,at:long,row:long>, line string")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+        place.alias("line_no"), F.col("value").alias("line")
+    )
 
 
 def reports(spark: SparkSession, root: str, pattern: str = "report*.json") -> DataFrame:

@@ -1,7 +1,7 @@
 """Writers for the workflow's outputs.
 
-Tables are written by the tasks, one file per partition.  The formats that are a
-single file by definition (flag log, label file) are small review artefacts.
+Everything is written by the tasks, one file per partition; only headers and
+pointers are single rows.
 """
 
 from __future__ import annotations
@@ -81,27 +81,31 @@ def upload_manifest(clips: DataFrame, root: str) -> DataFrame:
     )
 
 
-def flag_report(checked: DataFrame) -> DataFrame:
-    """``(section, rel_path, value)``: counted header, then the flag lines or ``(no flags)``."""
-    flagged = checked.filter(F.col("status") == checks.FLAG).select(
-        F.lit(1).alias("section"), "rel_path", checks.status_line().alias("value")
-    )
-    n = flagged.agg(F.count(F.lit(1)).alias("n"))
-    head = n.select(
-        F.lit(0).alias("section"),
-        F.lit("").alias("rel_path"),
-        F.concat(
-            F.lit(f"{FLAG_TITLE} ("), F.col("n").cast("string"), F.lit(f" issue(s))\n{FLAG_SUBTITLE}\n"),
-        ).alias("value"),
+def flag_lines(checked: DataFrame) -> DataFrame:
+    """``(rel_path, value)``: the log lines of flagged clips."""
+    return checked.filter(F.col("status") == checks.FLAG).select("rel_path", checks.status_line().alias("value"))
+
+
+def flag_header(lines: DataFrame) -> DataFrame:
+    """``value``: title with the number of flags, what they mean, and ``(no flags)`` if there are none."""
+    n = lines.agg(F.count(F.lit(1)).alias("n"))
+    head = F.array(
+        F.concat(F.lit(f"{FLAG_TITLE} ("), F.col("n").cast("string"), F.lit(" issue(s))")),
+        F.lit(FLAG_SUBTITLE),
+        F.lit(""),
+        F.when(F.col("n") == 0, F.lit("(no flags)")),
     )
-    none = n.filter("n = 0").select(F.lit(1).alias("section"), F.lit("").alias("rel_path"), F.lit("(no flags)").alias("value"))
-    return head.unionByName(flagged).unionByName(none)
+    return n.select(F.explode(F.array_compact(head)).alias("value"))
 
 
 def write_flag_report(checked: DataFrame, target: str) -> None:
-    """Ordered log; the sort is by range, so part files follow each other in order."""
-    ordered = flag_report(checked).orderBy("section", paths.components(F.col("rel_path")))
-    ordered.select("value").write.mode("overwrite").text(target)
+    """Header in ``section=0``, ordered flag lines in ``section=1`` (sorted by range, so part
+    files follow each other).  The count is taken from the written lines: the
+    checks behind them run once."""
+    ordered = flag_lines(checked).orderBy(paths.components(F.col("rel_path")))
+    ordered.select("value").write.mode("overwrite").text(f"{target}/section=1")
+    written = checked.sparkSession.read.text(f"{target}/section=1")
+    flag_header(written).coalesce(1).write.mode("overwrite").text(f"{target}/section=0")
 
 
 def write_labels(store: DataFrame, folder: str) -> str:
@@ -111,12 +115,10 @@ def write_labels(store: DataFrame, folder: str) -> str:
     of one; the version being read is never overwritten.
     """
     version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
-    named = store.orderBy("row_no").select(
-        *[F.col(n).alias(h) for n, h in zip(readers.LABEL_NAMES, readers.LABEL_HEADER)]
-    )
-    named.write.option("header", "true").option("escape", '"').option("emptyValue", "").csv(version)
+    store.select("row_no", *readers.LABEL_NAMES).write.parquet(version)
     spark = store.sparkSession
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/CURRENT")
+    pointer = spark.createDataFrame([(version,)], "value string").coalesce(1)
+    pointer.write.mode("overwrite").text(f"{folder.rstrip('/')}/CURRENT")
     return version
 
 
@@ -125,11 +127,26 @@ def current_labels(spark: SparkSession, folder: str) -> DataFrame:
     pointer = f"{folder.rstrip('/')}/CURRENT"
     if not readers._exists(spark, pointer):
         return readers.labels(spark, pointer)
-    return readers.labels(spark, spark.read.text(pointer).first()["value"])
+    return spark.read.parquet(spark.read.text(pointer).first()["value"])
+
+
+def export_labels(store: DataFrame, target: str) -> None:
+    """The store as CSV in the exchange format, in row order."""
+    named = store.orderBy("row_no").select(
+        *[F.col(n).alias(h) for n, h in zip(readers.LABEL_NAMES, readers.LABEL_HEADER)]
+    )
+    named.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(target)
 
 
 def write_reports(reports: DataFrame, target: str) -> None:
-    reports.write.mode("overwrite").partitionBy("exp_name").option("ignoreNullFields", "false").json(target)
+    """One JSON file per document, in a folder per experiment."""
+    (
+        reports.write.mode("overwrite")
+        .partitionBy("exp_name")
+        .option("maxRecordsPerFile", 1)
+        .option("ignoreNullFields", "false")
+        .json(target)
+    )
 
 
 def write_pretty(docs: DataFrame, target: str, column: str = "json") -> None:
