@@ -15,3 +15,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     binding it as a lambda variable of a one-element array avoids that.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def put_first(new: Column, old: Column) -> Column:
+    """Both arrays in one, ``new`` first, later repeats dropped."""
+    return F.array_distinct(F.concat(new, old))

@@ -20,6 +20,7 @@ def enrich(
     fn: Callable[[str], str],
     *,
     keep: Sequence[str] = (),
+    partitions: int | None = None,
     max_retries: int = 0,
     base_delay_s: float = 1.0,
     timeout_s: float | None = None,
@@ -29,6 +30,10 @@ def enrich(
     ``fn`` runs inside the tasks (for a model: its client call).  A row that
     still fails after its retries becomes an error row and the others go on.
     Retries wait ``base_delay_s`` doubled each time; ``timeout_s`` bounds one try.
+    ``partitions`` spreads a small table of slow calls over that many tasks.
+
+    The plan is lazy and a lost task calls ``fn`` again, so store the result
+    (``writers.stored``) before using it more than once.
     """
     carried = [key, *keep]
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
@@ -58,7 +63,10 @@ def enrich(
             pool.shutdown(wait=False)
 
     schema = ", ".join([*kinds, "output string", "error string", "tries int", "elapsed_s double"])
-    return rows.select(*carried, column).mapInPandas(work, schema)
+    inputs = rows.select(*carried, column)
+    if partitions:
+        inputs = inputs.repartition(partitions)
+    return inputs.mapInPandas(work, schema)
 
 
 def tally(enriched: DataFrame) -> DataFrame:

@@ -165,6 +165,12 @@ def experiment_folder(name: Column, action: Column, family_suffix: Column, at: C
     )
 
 
+def run_seconds(start: Column, end: Column) -> Column:
+    """Length of a run in seconds, to a tenth."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.round(micros / 1e6, 1)
+
+
 def bad_parallelism(experiments: DataFrame) -> DataFrame:
     """Experiments whose tensor-parallel size does not divide the number of GPUs."""
     tp, gpus = F.col("tp"), F.col("gpus")

@@ -1,8 +1,8 @@
 """Joins and ordered scans that hold up when one key has a large share of the rows.
 
 * ``lookup_join`` joins a fact table to a table with few rows per key.  The small
-  side is broadcast only after counting it; beyond the bound the heavy keys of
-  the fact side are spread over replicas of their lookup rows.
+  side is broadcast only after measuring its rows and bytes; beyond the bounds
+  the heavy keys of the fact side are spread over replicas of their lookup rows.
 * ``ordered_segments`` / ``positions`` number rows in order per key.  Keys that
   fit one task use a plain window; otherwise rows are range-partitioned on
   (key, order), so a heavy key covers several consecutive segments, and each
@@ -15,14 +15,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, DataType, StringType, StructType
 
 from clipsight.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 4_000_000
 KEYLESS_SALTS = 1000
 
 
+def _variable_bytes(column: Column, kind: DataType) -> list[Column]:
+    """Lengths of the parts of a column that have no fixed width."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return [F.octet_length(column)]
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in _variable_bytes(column[f.name], f.dataType)]
+    return [] if isinstance(kind, AtomicType) else [F.octet_length(F.to_json(F.struct(column)))]
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to broadcast, by one distributed count of rows and bytes."""
+    widths = [w for f in df.schema.fields for w in _variable_bytes(F.col(f"`{f.name}`"), f.dataType)]
+    total = F.lit(0)
+    for width in widths:
+        total = total + F.coalesce(width, F.lit(0))
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("bytes")).first()
+    return seen["rows"] <= rows and seen["bytes"] <= size
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -36,10 +57,10 @@ def lookup_join(
     """Join ``facts`` to ``lookup`` on ``on`` (``left``, ``inner``, ``left_semi`` or ``left_anti``).
 
     ``bounded=True`` states that the lookup is a fixed small table; otherwise its
-    rows are counted before it may be broadcast.
+    rows and bytes are measured before it may be broadcast.
     """
     on = list(on)
-    if bounded or lookup.count() <= broadcast_rows:
+    if bounded or fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), on, how)
 
     # Fewer than one heavy key per task's worth of fact rows, so this stays small.

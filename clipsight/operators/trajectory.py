@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from clipsight.functions import series as S
 from clipsight.operators.skew import ROWS_PER_TASK, has_heavy_key, lookup_join
 
+SAMPLES_PER_ROW = 100_000
+
 
 def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFrame:
     """Array form to long form with the time axis ``t = i / hz``."""
@@ -17,7 +19,9 @@ def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFr
 
 
 def collect_series(samples: DataFrame, key: str) -> DataFrame:
-    """Long form back to one array per clip; for clips short enough to be a row."""
+    """Long form back to one array per clip; an error when a clip is too long to be a row."""
+    if has_heavy_key(samples, [key], SAMPLES_PER_ROW):
+        raise ValueError(f"a clip has more than {SAMPLES_PER_ROW} samples: keep the long form")
     pair = F.struct("i", F.struct("v", "h").alias("s"))
     return samples.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["s"]).alias("series")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
+from clipsight.functions import put_first
 from clipsight.operators import corpus
 from clipsight.plans import inputs as I
 from clipsight.plans.registry import Tables, register, with_inputs
@@ -124,6 +125,20 @@ register(
 )
 
 
+register(
+    "list_merge",
+    lambda t: t.part.select(
+        "p_partkey",
+        F.array_join(put_first(F.split(F.lower("p_type"), "o"), F.split(F.concat_ws(" ", "p_name", "p_brand", "p_name"), " ")), ",").alias("merged"),
+    ),
+    """
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS merged
+FROM (SELECT p_partkey, list_concat(string_split(lower(p_type), 'o'), string_split(concat_ws(' ', p_name, p_brand, p_name), ' ')) AS l
+      FROM part)
+""",
+)
+
+
 def scenery(t: Tables):
     """Deep merge: new lighting conditions, everything else kept."""
     docs = corpus.parsed(t.derive(I.BASE_DOCUMENTS))

@@ -29,8 +29,8 @@ FROM responses r JOIN truth t ON r.doc_id = t.doc_id
 
 
 def predictions(t: Tables):
-    answered = evaluate.with_prediction(t.derive(I.RESPONSES))
-    return evaluate.with_truth(answered, t.derive(I.TRUTH), "doc_id")
+    # Joined before parsing: answers without a ground truth are not parsed.
+    return evaluate.with_prediction(evaluate.with_truth(t.derive(I.RESPONSES), t.derive(I.TRUTH), "doc_id"))
 
 
 def eval_metrics(t: Tables):
@@ -146,6 +146,27 @@ FROM predictions GROUP BY exp_name
 )
 
 
+EXPERIMENT_TIMES = "SELECT event_type, min(ts) AS t0, max(ts) AS t1 FROM {events} GROUP BY event_type"
+register(
+    "experiment_times",
+    lambda t: t.derive(EXPERIMENT_TIMES).select(
+        "event_type",
+        evaluate.experiment_folder(
+            F.col("event_type"), F.col("event_type") == "click", F.when(F.col("event_type") == "view", "reason1").otherwise(""), F.col("t0")
+        ).alias("folder"),
+        evaluate.run_seconds(F.col("t0"), F.col("t1")).alias("duration_s"),
+    ),
+    with_inputs(
+        """
+SELECT event_type, event_type || CASE event_type WHEN 'click' THEN '_action' WHEN 'view' THEN '_reason1' ELSE '' END || '_'
+       || strftime(t0, '%Y%m%d-%H%M%S') AS folder, round((epoch_us(t1) - epoch_us(t0)) / 1e6, 1) AS duration_s
+FROM runs
+""",
+        runs=EXPERIMENT_TIMES,
+    ),
+)
+
+
 def prompt_assembly(t: Tables):
     rows = t.derive(
         "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'plain' ELSE 'tagged' END AS family, "

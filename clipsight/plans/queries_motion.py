@@ -11,6 +11,15 @@ from clipsight.operators import batch, checks, kinematics, trajectory
 from clipsight.operators.skew import lookup_join, positions
 from clipsight.plans import inputs as I
 from clipsight.plans import workflows
+from clipsight.plans.queries_catalog import (
+    CUT_SQL,
+    EXPECT_SQL,
+    FOLDER,
+    LAST_SENTENCE_SQL,
+    LEVELS_SQL,
+    NEAREST_SQL,
+    STEM,
+)
 from clipsight.plans.registry import Tables, register, with_inputs
 
 
@@ -39,6 +48,17 @@ register(
     lambda t: kinematics.speed_heading(t.derive(I.POSES), "clip", hz=5, stride=2),
     with_inputs(_series_sql("(SELECT *, k // 2 AS i FROM poses WHERE k % 2 = 0)", 5), poses=I.POSES),
 )
+register(
+    "both_rates",
+    lambda t: kinematics.both_rates(t.derive(I.POSES), "clip"),
+    with_inputs(
+        f"""
+SELECT clip, i, v, h, 10 AS hz FROM ({_series_sql("(SELECT *, k AS i FROM poses)", 10)})
+UNION ALL SELECT clip, i, v, h, 5 AS hz FROM ({_series_sql("(SELECT *, k // 2 AS i FROM poses WHERE k % 2 = 0)", 5)})
+""",
+        poses=I.POSES,
+    ),
+)
 register(
     "initial_speed",
     lambda t: kinematics.start_speed(t.derive(I.POSES), "clip").withColumn("init_v", F.round("init_v", 4)),
@@ -82,7 +102,7 @@ def poses_from_actions(t: Tables):
 
 
 # Gram-Schmidt per step, then a recursive running product.
-POSES_SQL = """
+WALK_SQL = """
 WITH RECURSIVE raw AS (
   SELECT vec_id, k, list_transform(embedding[k * 9 + 1 : k * 9 + 9], lambda x: CAST(x AS DOUBLE)) AS s
   FROM embeddings, (SELECT unnest(range(7)) AS k)),
@@ -106,6 +126,8 @@ walk AS (
          r21*ax + r22*ay + r23*az, r21*bx1 + r22*by1 + r23*bz1, r21*cx1 + r22*cy1 + r23*cz1,
          r31*ax + r32*ay + r33*az, r31*bx1 + r32*by1 + r33*bz1, r31*cx1 + r32*cy1 + r33*cz1
   FROM walk w JOIN step s ON w.vec_id = s.vec_id AND w.k = s.k)
+"""
+POSES_SQL = WALK_SQL + """
 SELECT vec_id, CAST(k AS INT) AS k, round(px, 4) + 0.0E0 AS px, round(pz, 4) + 0.0E0 AS pz,
        round(r13, 4) + 0.0E0 AS fx, round(r33, 4) + 0.0E0 AS fz FROM walk
 """
@@ -359,18 +381,64 @@ FROM probes
 )
 
 
+MOTION_CLIPS = """
+SELECT 'final/set_0/misc/prompt_' || CAST(doc_id % 12 AS STRING) || '_v' || CAST(doc_id AS STRING) || '.mp4' AS rel_path
+FROM {documents}
+"""
+MOTION_NAME = "'final__set_0__misc__prompt_' || CAST(vec_id % 12 AS STRING) || '_v' || CAST(vec_id AS STRING)"
+
+
 def motion_check(t: Tables):
     """Whole workflow: vectors as predicted steps, documents as prompt files."""
     steps = F.transform(
         F.sequence(F.lit(0), F.lit(6)), lambda k: F.slice(F.col("embedding"), k * 9 + 1, F.lit(9)).cast("array<double>")
     )
-    name = "'final__set_0__misc__prompt_' || CAST(vec_id % 12 AS STRING) || '_v' || CAST(vec_id AS STRING)"
-    actions = t.embeddings.select(F.expr(name).alias("name"), steps.alias("action"))
-    clips = t.derive(
-        "SELECT 'final/set_0/misc/prompt_' || CAST(doc_id % 12 AS STRING) || '_v' || CAST(doc_id AS STRING) || '.mp4' AS rel_path FROM {documents}"
+    actions = t.embeddings.select(F.expr(MOTION_NAME).alias("name"), steps.alias("action"))
+    done = workflows.motion_check(t.derive(MOTION_CLIPS), actions, t.derive(I.PROMPT_LINES))
+    return done.select(
+        "rel_path", "status", "case", "exp_speed", "exp_steer", "n",
+        *[F.round(c, 3).alias(c) for c in ("init_v", "start_v", "end_v", "max_abs_h")],
     )
-    done = workflows.motion_check(clips, actions, t.derive(I.PROMPT_LINES))
-    return done.select("rel_path", "status", "case", "exp_speed", "exp_steer", F.round("ratio", 4).alias("ratio"), "line")
 
 
-register("motion_check", motion_check)
+register(
+    "motion_check",
+    motion_check,
+    with_inputs(
+        f"""
+WITH RECURSIVE walked AS ({WALK_SQL} SELECT vec_id, k, px, pz, r13 AS fx, r33 AS fz FROM walk),
+poses AS (SELECT {MOTION_NAME.replace("STRING", "VARCHAR")} AS clip, k AS i, px, pz, fx, fz FROM walked),
+samples AS ({_series_sql("poses", 10)}),
+means AS ({MEANS_SQL}),
+starts AS (SELECT clip, avg(d) * 10 * 2.2369362921E0 AS init_v
+           FROM (SELECT clip, i, sqrt((lead(px) OVER w - px) ** 2 + (lead(pz) OVER w - pz) ** 2) AS d FROM poses
+                 WINDOW w AS (PARTITION BY clip ORDER BY i)) WHERE i < 5 GROUP BY clip),
+told AS (SELECT n.folder, k.line_no, {LAST_SENTENCE_SQL} AS sentence
+         FROM nearest n JOIN cuts k ON n.prompt_dir = k.dir AND n.prompt_file = k.filename),
+expected AS (SELECT *, {EXPECT_SQL} FROM (SELECT *, lower(sentence) AS s FROM told)),
+joined AS (
+  SELECT c.rel_path, m.clip, m.n, m.start_v, m.end_v, m.max_abs_h, e.sentence, e.exp_speed, e.exp_steer, z.init_v,
+         m.end_v / greatest(m.start_v, 1e-6) AS ratio
+  FROM (SELECT rel_path, {FOLDER} AS folder, CAST(regexp_extract({STEM}, '^prompt_(\\d+)', 1) AS INT) AS prompt_idx,
+               replace(replace(rel_path, '.mp4', ''), '/', '__') AS name FROM clips) c
+  LEFT JOIN means m ON m.clip = c.name LEFT JOIN starts z ON z.clip = c.name
+  LEFT JOIN expected e ON e.folder = c.folder AND e.line_no = c.prompt_idx),
+judged AS (
+  SELECT *, CASE WHEN clip IS NULL THEN 'no_prediction' WHEN sentence IS NULL THEN 'no_sentence'
+                 WHEN exp_speed IS NULL AND NOT exp_steer THEN 'unclassified'
+                 WHEN (CASE exp_speed WHEN 'decelerate' THEN ratio < 0.6E0 WHEN 'accelerate' THEN ratio > 1.4E0
+                                      WHEN 'maintain' THEN ratio BETWEEN 0.6E0 AND 1.6E0 ELSE true END)
+                      AND NOT (exp_steer AND max_abs_h < 5.0E0) THEN 'matched' ELSE 'mismatched' END AS "case"
+  FROM joined)
+SELECT rel_path, "case", CASE "case" WHEN 'matched' THEN 'MATCH' WHEN 'no_sentence' THEN 'NOTE' WHEN 'unclassified' THEN 'NOTE' ELSE 'FLAG' END AS status,
+       exp_speed, coalesce(exp_steer, false) AS exp_steer, CASE WHEN clip IS NOT NULL THEN 3 END AS n,
+       round(init_v, 3) AS init_v, round(start_v, 3) AS start_v, round(end_v, 3) AS end_v, round(max_abs_h, 3) AS max_abs_h
+FROM judged
+""".replace("WITH RECURSIVE walked", "WITH walked", 1),
+        clips=MOTION_CLIPS,
+        lines=I.PROMPT_LINES,
+        levels=LEVELS_SQL,
+        nearest=NEAREST_SQL,
+        cuts=CUT_SQL.format(text="text", source="lines"),
+    ),
+)

@@ -11,6 +11,7 @@ from clipsight.functions import documents as D
 from clipsight.functions import paths, series, text
 from clipsight.operators import batch, catalog, checks, corpus, evaluate, kinematics, review
 from clipsight.operators.skew import lookup_join, positions
+from clipsight.sources import writers
 
 
 def motion_check(clips: DataFrame, actions: DataFrame, prompt_lines: DataFrame, frame: str = "local") -> DataFrame:
@@ -79,6 +80,24 @@ def evaluate_model(
     return evaluate.with_prediction(rows)
 
 
+def evaluate_and_report(
+    clips: DataFrame,
+    sidecars: DataFrame | None,
+    fn: Callable[[str], str],
+    experiments: DataFrame,
+    target: str,
+    *,
+    exp_name: str,
+    **options,
+) -> DataFrame:
+    """Run the model once per clip, keep the answers, write the report, return the metrics."""
+    answers = writers.stored(
+        evaluate_model(clips, sidecars, fn, exp_name=exp_name, **options), f"{target}/answers"
+    )
+    writers.write_reports(evaluate.report(answers, experiments), f"{target}/reports")
+    return evaluate.metrics(answers, "exp_name")
+
+
 def review_queue(
     clips: DataFrame, prompt_lines: DataFrame, flags: DataFrame, store: DataFrame, skip: DataFrame
 ) -> DataFrame:

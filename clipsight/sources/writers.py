@@ -34,6 +34,12 @@ FLAG_SUBTITLE = ("Heuristic, language-based comparison of the action-sequence ta
                  "each prompt.")
 
 
+def stored(df: DataFrame, target: str) -> DataFrame:
+    """Write a table and return it read back: what produced it runs once, whatever is derived from it."""
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.parquet(target)
+
+
 def job_lines(clips: DataFrame, root: str) -> DataFrame:
     """``value``: one JSON job per clip."""
     fields = [F.lit(v).alias(k) for k, v in JOB_CONSTANTS.items()]
