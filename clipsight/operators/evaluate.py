@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsight.functions import text
-from clipsight.operators.skew import BROADCAST_ROWS, lookup_join
+from clipsight.operators.skew import broadcast_limit, lookup_join
 
 # Classes a prediction can take, in report order.
 CLASSES = ["Anomaly", "Normal", "Unknown", "Error"]
@@ -136,7 +136,7 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
         header.select("exp_name", "parts"),
         ["exp_name"],
         "inner",
-        bounded=experiments.count() <= BROADCAST_ROWS,
+        bounded=experiments.count() <= broadcast_limit(experiments),
     )
     row = F.struct("file", "true_label", "prediction", "correct", "raw_output", "inference_time_s")
     documents = (

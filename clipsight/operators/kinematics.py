@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
 from clipsight.functions.paths import NATIVE_HZ, TARGET_HZ
-from clipsight.operators.skew import ROWS_PER_TASK
+from clipsight.operators.skew import task_rows
 
 
 def speed_heading(
-    poses: DataFrame, key: str, hz: float = NATIVE_HZ, stride: int = 1, rows_per_task: int = ROWS_PER_TASK
+    poses: DataFrame, key: str, hz: float = NATIVE_HZ, stride: int = 1, rows_per_task: int | None = None
 ) -> DataFrame:
     """``(key, i, v, h)``: one sample per pair of neighbouring (strided) poses."""
+    rows_per_task = task_rows(poses, rows_per_task)
     kept = poses if stride == 1 else poses.filter(F.col("k") % stride == 0)
     frames = kept.select(
         key,
@@ -98,7 +99,7 @@ def _samples(steps: DataFrame, key: str, hz: float) -> DataFrame:
     )
 
 
-def both_rates(poses: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def both_rates(poses: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Native and down-sampled series in one table, told apart by ``hz``.
 
     The slower series is derived from strided poses, not from the faster one.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import text
-from clipsight.operators.skew import ROWS_PER_TASK, has_heavy_key, lookup_join
+from clipsight.operators.skew import has_heavy_key, lookup_join, task_rows
 
 LABEL_COLUMNS = ["label", "heuristic", "comment"]
 
@@ -71,7 +71,7 @@ def upsert_labels(store: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
-def next_previous(queue: DataFrame, folder: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def next_previous(queue: DataFrame, folder: str, rows_per_task: int | None = None) -> DataFrame:
     """Add positions of the neighbouring unskipped clips and the landing position.
 
     ``queue`` has ``folder``, a dense ``pos`` within it, and ``skipped``.
@@ -80,6 +80,7 @@ def next_previous(queue: DataFrame, folder: str, rows_per_task: int = ROWS_PER_T
     clip, else itself.  Folders longer than ``rows_per_task`` are cut into blocks
     of positions; what lies beyond a block comes from one row per block.
     """
+    rows_per_task = task_rows(queue, rows_per_task)
     pos = F.when(~F.col("skipped"), F.col("pos"))
     if not has_heavy_key(queue, [folder], rows_per_task):
         run = Window.partitionBy(folder).orderBy("pos")

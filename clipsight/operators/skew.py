@@ -7,6 +7,9 @@
   fit one task use a plain window; otherwise rows are range-partitioned on
   (key, order), so a heavy key covers several consecutive segments, and each
   segment's offset comes from a tiny table (at most two rows per segment).
+
+The limits can be set per session: ``spark.clipsight.rowsPerTask``,
+``spark.clipsight.broadcastRows`` and ``spark.clipsight.broadcastBytes``.
 """
 
 from __future__ import annotations
@@ -25,6 +28,19 @@ ROWS_PER_TASK = 4_000_000
 KEYLESS_SALTS = 1000
 
 
+def _limit(df: DataFrame, name: str, default: int, given: int | None = None) -> int:
+    return int(df.sparkSession.conf.get(f"spark.clipsight.{name}", str(default))) if given is None else given
+
+
+def task_rows(df: DataFrame, given: int | None = None) -> int:
+    """Rows of one key that a single task may be asked to take."""
+    return _limit(df, "rowsPerTask", ROWS_PER_TASK, given)
+
+
+def broadcast_limit(df: DataFrame, given: int | None = None) -> int:
+    return _limit(df, "broadcastRows", BROADCAST_ROWS, given)
+
+
 def _variable_bytes(column: Column, kind: DataType) -> list[Column]:
     """Lengths of the parts of a column that have no fixed width."""
     if isinstance(kind, (StringType, BinaryType)):
@@ -34,14 +50,14 @@ def _variable_bytes(column: Column, kind: DataType) -> list[Column]:
     return [] if isinstance(kind, AtomicType) else [F.octet_length(F.to_json(F.struct(column)))]
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     """Whether a table is small enough to broadcast, by one distributed count of rows and bytes."""
     widths = [w for f in df.schema.fields for w in _variable_bytes(F.col(f"`{f.name}`"), f.dataType)]
     total = F.lit(0)
     for width in widths:
         total = total + F.coalesce(width, F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("bytes")).first()
-    return seen["rows"] <= rows and seen["bytes"] <= size
+    return seen["rows"] <= broadcast_limit(df, rows) and seen["bytes"] <= _limit(df, "broadcastBytes", BROADCAST_BYTES)
 
 
 def lookup_join(
@@ -51,8 +67,8 @@ def lookup_join(
     how: str = "left",
     *,
     bounded: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
+    broadcast_rows: int | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on ``on`` (``left``, ``inner``, ``left_semi`` or ``left_anti``).
 
@@ -63,6 +79,7 @@ def lookup_join(
     if bounded or fits_broadcast(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), on, how)
 
+    rows_per_task = task_rows(facts, rows_per_task)
     # Fewer than one heavy key per task's worth of fact rows, so this stays small.
     heavy = (
         facts.groupBy(*on)
@@ -89,12 +106,14 @@ def lookup_join(
     return joined.drop("_salt")
 
 
-def has_heavy_key(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+def has_heavy_key(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
+    """Whether any key has more rows than one task should take (counts combine on the map side)."""
+    rows = task_rows(df, rows)
     return not df.groupBy(*keys).count().filter(F.col("count") > rows).limit(1).isEmpty()
 
 
 def ordered_segments(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows_per_task: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``_seg`` so that (keys, _seg) is a bounded run of each key's order.
 
@@ -102,6 +121,7 @@ def ordered_segments(
     split points come from sampling, so the split rows are checkpointed: later
     stages must all see the same segments, also after an executor is lost.
     """
+    rows_per_task = task_rows(df, rows_per_task)
     if not has_heavy_key(df, keys, rows_per_task):
         return df.withColumn("_seg", F.lit(0)), False
     ensure_checkpoint_dir(df.sparkSession)
@@ -122,7 +142,7 @@ def positions(
     order: Sequence[str | Column],
     name: str = "pos",
     total: str | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position per key in the given (unique) order; optionally the key's row count."""
     keys = list(keys)

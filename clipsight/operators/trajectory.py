@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
-from clipsight.operators.skew import ROWS_PER_TASK, has_heavy_key, lookup_join
+from clipsight.operators.skew import has_heavy_key, lookup_join
 
 SAMPLES_PER_ROW = 100_000
 
@@ -28,7 +28,7 @@ def collect_series(samples: DataFrame, key: str) -> DataFrame:
     )
 
 
-def window_means(samples: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def window_means(samples: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """``(key, n, start_v, end_v, max_abs_h)`` from the start and end windows.
 
     The windows depend on a clip's length.  With clips that fit a task, one
