@@ -70,8 +70,8 @@ def _keys(json: Column) -> Column:
     return F.array_join(F.sort_array(F.json_object_keys(json)), ",")
 
 
-def _facts(m: Column) -> Column:
-    """What must not change between a base prompt and its variants, as (rule, value) pairs.
+def _facts(m: Column) -> dict[str, Column]:
+    """What must not change between a base prompt and its variants, as texts by rule.
 
     ``m`` maps the top-level keys to the JSON text below them: the document is
     parsed once, and only small pieces of it again.
@@ -86,7 +86,7 @@ def _facts(m: Column) -> Column:
         counted, lambda x: F.concat_ws("/", x["number_of_subjects"], x["number_of_arms"], x["number_of_legs"])
     )
     size = F.from_json(m["resolution"], "struct<H:int,W:int>")
-    facts = {
+    return {
         "keys": F.array_join(F.sort_array(F.map_keys(m)), ","),
         "lighting_keys": _keys(m["lighting"]),
         "aesthetics_keys": _keys(m["aesthetics"]),
@@ -100,12 +100,12 @@ def _facts(m: Column) -> Column:
         "n_signage": count("text_and_signage_elements"),
         "subject_counts": F.array_join(subjects, ","),
     }
-    return F.array(*[F.struct(F.lit(rule).alias("rule"), value.alias("value")) for rule, value in facts.items()])
 
 
-def _with_facts(docs: DataFrame, *keep: str, name: str) -> DataFrame:
+def _with_facts(docs: DataFrame, keep: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
     opened = docs.select(*keep, F.from_json("json", "map<string,string>").alias("m"))
-    return opened.select(*keep, _facts(F.col("m")).alias(name))
+    facts = _facts(F.col("m"))
+    return opened.select(*keep, *[value.alias(prefix + rule) for rule, value in facts.items()]), list(facts)
 
 
 def invariant_sweep(variants: DataFrame, base: DataFrame) -> DataFrame:
@@ -114,20 +114,20 @@ def invariant_sweep(variants: DataFrame, base: DataFrame) -> DataFrame:
     Both sides have ``prompt_idx`` and ``json``; variants also ``file``.  Only
     the short fact strings are joined, not the documents.
     """
-    want = _with_facts(base, "prompt_idx", name="want")
-    got = _with_facts(variants, "file", "prompt_idx", name="got")
-    joined = lookup_join(got, want, ["prompt_idx"])
-    pairs = F.zip_with(
-        "got",
-        F.coalesce("want", F.transform("got", lambda g: F.struct(g["rule"].alias("rule"), F.lit(None).cast("string").alias("value")))),
-        lambda g, w: F.struct(
-            g["rule"].alias("rule"),
-            g["value"].eqNullSafe(w["value"]).alias("ok"),
-            g["value"].alias("got"),
-            w["value"].alias("want"),
-        ),
+    want, rules = _with_facts(base, ["prompt_idx"], "want_")
+    got, _ = _with_facts(variants, ["file", "prompt_idx"], "got_")
+    compared = F.array(
+        *[
+            F.struct(
+                F.lit(rule).alias("rule"),
+                F.col(f"got_{rule}").eqNullSafe(F.col(f"want_{rule}")).alias("ok"),
+                F.col(f"got_{rule}").alias("got"),
+                F.col(f"want_{rule}").alias("want"),
+            )
+            for rule in rules
+        ]
     )
-    return joined.select("file", F.inline(pairs))
+    return lookup_join(got, want, ["prompt_idx"]).select("file", F.inline(compared))
 
 
 def marker_checks(docs: DataFrame, key: str, column: str, rules: Sequence[tuple[str, str, int, int]]) -> DataFrame:

@@ -160,10 +160,10 @@ def checked(t: Tables):
 register(
     "traj_windows",
     lambda t: trajectory.window_means(t.derive(I.SAMPLES), "clip").withColumns(
-        {c: F.round(c, 4) for c in ("start_v", "end_v", "max_abs_h")}
+        {c: F.round(c, 6) for c in ("start_v", "end_v", "max_abs_h")}
     ),
     with_inputs(
-        "SELECT clip, n, round(start_v, 4) AS start_v, round(end_v, 4) AS end_v, round(max_abs_h, 4) AS max_abs_h FROM means",
+        "SELECT clip, n, round(start_v, 6) AS start_v, round(end_v, 6) AS end_v, round(max_abs_h, 6) AS max_abs_h FROM means",
         samples=I.SAMPLES,
         means=MEANS_SQL,
     ),
@@ -397,7 +397,7 @@ def motion_check(t: Tables):
     done = workflows.motion_check(t.derive(MOTION_CLIPS), actions, t.derive(I.PROMPT_LINES))
     return done.select(
         "rel_path", "status", "case", "exp_speed", "exp_steer", "n",
-        *[F.round(c, 3).alias(c) for c in ("init_v", "start_v", "end_v", "max_abs_h")],
+        *[F.round(c, 6).alias(c) for c in ("init_v", "start_v", "end_v", "max_abs_h")],
     )
 
 
@@ -432,7 +432,7 @@ judged AS (
   FROM joined)
 SELECT rel_path, "case", CASE "case" WHEN 'matched' THEN 'MATCH' WHEN 'no_sentence' THEN 'NOTE' WHEN 'unclassified' THEN 'NOTE' ELSE 'FLAG' END AS status,
        exp_speed, coalesce(exp_steer, false) AS exp_steer, CASE WHEN clip IS NOT NULL THEN 3 END AS n,
-       round(init_v, 3) AS init_v, round(start_v, 3) AS start_v, round(end_v, 3) AS end_v, round(max_abs_h, 3) AS max_abs_h
+       round(init_v, 6) AS init_v, round(start_v, 6) AS start_v, round(end_v, 6) AS end_v, round(max_abs_h, 6) AS max_abs_h
 FROM judged
 """.replace("WITH RECURSIVE walked", "WITH walked", 1),
         clips=MOTION_CLIPS,
