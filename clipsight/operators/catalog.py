@@ -163,6 +163,8 @@ def nearest_prompt_file(dirs: DataFrame, prompt_files: DataFrame) -> DataFrame:
 def with_prompt_sentence(clips: DataFrame, prompt_lines: DataFrame) -> DataFrame:
     """Add ``sentence``: last sentence of line N of the nearest prompt file, NULL if there is none.
 
+    ``prompt_dir`` and ``prompt_file`` say where the line was found.
+
     ``clips`` has ``rel_path``; ``prompt_lines`` has (dir, filename, line_no, text).
     """
     rel = F.col("rel_path")
@@ -174,12 +176,13 @@ def with_prompt_sentence(clips: DataFrame, prompt_lines: DataFrame) -> DataFrame
         F.col("filename").alias("prompt_file"),
         F.col("line_no").cast("int").alias("prompt_idx"),
         text.last_sentence(F.col("text")).alias("sentence"),
+        F.lit(True).alias("_line"),
     )
-    # Directories x lines is small next to the clips: resolve it first, join once.
-    by_folder = nearest.join(lines, ["prompt_dir", "prompt_file"]).select(
-        "folder", "prompt_idx", "prompt_dir", "prompt_file", "sentence"
-    )
-    return lookup_join(keyed, by_folder, ["folder", "prompt_idx"])
+    # Folder first, then line: a file shared by many folders is never multiplied out.
+    placed = lookup_join(keyed, nearest, ["folder"])
+    told = lookup_join(placed, lines, ["prompt_dir", "prompt_file", "prompt_idx"])
+    file = [F.when(F.col("_line"), F.col(c)).alias(c) for c in ("prompt_dir", "prompt_file")]
+    return told.select(*keyed.columns, *file, "sentence")
 
 
 def in_order(clips: DataFrame) -> DataFrame:

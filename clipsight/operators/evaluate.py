@@ -131,20 +131,19 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
         ).alias("metrics"),
     ).join(experiments, "exp_name")
     # The header has at most one row per experiment, so counting those is enough.
+    few = experiments.count() <= broadcast_limit(experiments)
     rows = lookup_join(
-        results(predictions),
-        header.select("exp_name", "parts"),
-        ["exp_name"],
-        "inner",
-        bounded=experiments.count() <= broadcast_limit(experiments),
+        results(predictions), header.select("exp_name", "parts"), ["exp_name"], "inner", bounded=few
     )
     row = F.struct("file", "true_label", "prediction", "correct", "raw_output", "inference_time_s")
+    spread = F.xxhash64("file", "raw_output", "inference_time_s")
     documents = (
-        rows.withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")))
+        rows.withColumn("part", F.pmod(spread, F.col("parts")))
         .groupBy("exp_name", "part")
         .agg(F.sort_array(F.collect_list(row)).alias("results"))
     )
-    return documents.join(header.drop("parts"), "exp_name").select(
+    # Documents are large and may be many per experiment: they stay where they are.
+    return lookup_join(documents, header.drop("parts"), ["exp_name"], "inner", bounded=few).select(
         "exp_name", "part", "experiment", "environment", "cli_args", "inference_params", "summary", "metrics", "results"
     )
 

@@ -110,4 +110,6 @@ def cursor_samples(samples: DataFrame, cursors: DataFrame, key: str, hz: float)
         .otherwise(guess),
         F.col("_last"),
     )
-    return clamped.withColumn("i", at).drop("_last").join(samples.select(key, "i", "v", "h"), [key, "i"])
+    # Many cursors past the end of one clip meet at its last sample, hence no plain join.
+    placed = clamped.withColumn("i", at).drop("_last")
+    return lookup_join(placed, samples.select(key, "i", "v", "h"), [key, "i"], "inner")

@@ -74,7 +74,7 @@ WHERE k < 5 GROUP BY clip
 
 
 def series_in_rows(t: Tables):
-    """The same kinematics with each clip's poses held in its row."""
+    """The same kinematics with each clip's poses held in its row (61 by the way clips are cut)."""
     pose = F.struct("k", F.struct("px", "pz", "fx", "fz").alias("p"))
     clips = t.derive(I.POSES).groupBy("clip").agg(
         F.transform(F.sort_array(F.collect_list(pose)), lambda x: x["p"]).alias("poses")

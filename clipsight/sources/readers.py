@@ -168,6 +168,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def empty_labels(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "row_no long, " + ", ".join(f"{n} string" for n in LABEL_NAMES))
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Label store ``(row_no, rel_path, label, heuristic, comment)``: strings, '' for no value.
 
@@ -176,7 +180,7 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     order.  ``writers.write_labels`` / ``current_labels`` keep the store itself.
     """
     if not _exists(spark, path):
-        return spark.createDataFrame([], "row_no long, rel_path string, label string, heuristic string, comment string")
+        return empty_labels(spark)
     raw = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
 
     def value(header: str) -> Column:

@@ -115,25 +115,31 @@ def write_flag_report(checked: DataFrame, target: str) -> None:
 
 
 def write_labels(store: DataFrame, folder: str) -> str:
-    """Write the label store as a new version below ``folder`` and point ``CURRENT`` at it.
+    """Write the label store as a new version below ``folder``, then append it to the list of versions.
 
-    Readers follow the pointer, so they see the old or the new store, never half
-    of one; the version being read is never overwritten.
+    The store being read is never overwritten, and the list only grows: readers
+    see the old or the new store, never half of one and never none.
     """
-    version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    spark, base = store.sparkSession, folder.rstrip("/")
+    version = f"{base}/v-{uuid.uuid4().hex}"
     store.select("row_no", *readers.LABEL_NAMES).write.parquet(version)
-    spark = store.sparkSession
-    pointer = spark.createDataFrame([(version,)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{folder.rstrip('/')}/CURRENT")
+    last = _latest_version(spark, base)
+    number = 1 if last is None else last["n"] + 1
+    listed = spark.createDataFrame([(number, version)], "n long, path string")
+    listed.coalesce(1).write.mode("append").parquet(f"{base}/versions")
     return version
 
 
+def _latest_version(spark: SparkSession, base: str):
+    if not readers._exists(spark, f"{base}/versions"):
+        return None
+    return spark.read.parquet(f"{base}/versions").orderBy(F.desc("n")).first()
+
+
 def current_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The label store the pointer names; empty before the first write."""
-    pointer = f"{folder.rstrip('/')}/CURRENT"
-    if not readers._exists(spark, pointer):
-        return readers.labels(spark, pointer)
-    return spark.read.parquet(spark.read.text(pointer).first()["value"])
+    """The newest version of the label store; empty before the first write."""
+    last = _latest_version(spark, folder.rstrip("/"))
+    return readers.empty_labels(spark) if last is None else spark.read.parquet(last["path"])
 
 
 def export_labels(store: DataFrame, target: str) -> None:
