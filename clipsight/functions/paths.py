@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clipsight.functions import strip
+
 # Folder-name fragments that carry the ground truth, and the two
 # folders whose clips have skip lists.
 NEGATIVE_MARK = "negative_scenario"
@@ -22,13 +24,12 @@ NATIVE_SUFFIX = "_10fps"
 
 def normalise(path: Column) -> Column:
     """Trim blanks and turn backslashes into slashes."""
-    return F.translate(F.regexp_replace(path, r"(?U)^\s+|\s+$", ""), "\\", "/")
+    return F.translate(strip(path), "\\", "/")
 
 
 def folder_argument(path: Column) -> Column:
-    """A user-typed folder: trimmed, outer slashes off, ``.`` meaning the root (empty)."""
-    bare = F.translate(F.trim(F.regexp_replace(path, r"(?U)^\s+|\s+$", ""), F.lit("/")), "\\", "/")
-    return F.when(bare == ".", F.lit("")).otherwise(bare)
+    """A user-typed folder without outer slashes, empty and ``.`` segments; empty means the root."""
+    return F.array_join(F.filter(F.split(normalise(path), "/"), lambda p: ~p.isin("", ".")), "/")
 
 
 def escapes_root(folder: Column) -> Column:

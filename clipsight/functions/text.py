@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clipsight.functions import let
+from clipsight.functions import let, paths, strip
 
 # Phrases that decide what a sentence expects the vehicle to do.
 # Tested as substrings of the lower-cased sentence.
@@ -71,16 +71,9 @@ BASE_PROMPTS = {
 }
 
 
-# White space as the prompt files' tools understand it (Unicode, and the separators x1c-x1f).
-BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
-          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 WS = r"[\s\x1c-\x1f]"
 
 
-def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(BLANKS))
-
-
 def last_sentence(text: Column) -> Column:
     """Last sentence once trailing ``(...)`` notes are dropped.
 
@@ -173,7 +166,7 @@ def two_decimals(x: Column) -> Column:
 def log_path(line: Column) -> Column:
     """Clip path of a ``FLAG  path: rest`` line (up to the first colon); NULL for other lines."""
     hit = F.regexp_extract(strip(line), r"^FLAG\s+(.+?):(\s*.*)$", 1)
-    return F.when(hit != "", F.translate(strip(hit), "\\", "/"))
+    return F.when(hit != "", paths.normalise(hit))
 
 
 def log_detail(line: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from clipsight.functions import documents as D
+from clipsight.functions import strip
 from clipsight.functions import paths
 
 # Header of the label file, in column order.
@@ -75,10 +76,6 @@ def _lines(text: Column) -> Column:
     return F.when(ends_open, lines).otherwise(F.slice(lines, F.lit(1), F.size(lines) - 1))
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-
-
 def split_lines(texts: DataFrame) -> DataFrame:
     """``(rel_path, line_no, text)`` from whole texts; every line counts, from 0."""
     return texts.select("rel_path", F.posexplode(_lines(F.col("text"))).alias("line_no", "text"))
@@ -94,7 +91,7 @@ def prompt_lines(spark: SparkSession, root: str, pattern: str = "*prompt*.txt")
 
 def prompt_intake(spark: SparkSession, path: str) -> DataFrame:
     """``(index, prompt)``: the non-empty lines of a prompt list, numbered from 0."""
-    stripped = F.transform(_lines(F.col("value")), _strip)
+    stripped = F.transform(_lines(F.col("value")), strip)
     return spark.read.text(path, wholetext=True).select(
         F.posexplode(F.filter(stripped, lambda x: x != "")).alias("index", "prompt")
     )
@@ -151,7 +148,7 @@ def sidecar_texts(spark: SparkSession, root: str, clips: DataFrame) -> DataFrame
     """Clips with the stripped text of the same-stem ``.txt`` file (NULL and an error when absent)."""
     stored = whole_texts(spark, root, "*.txt").select(
         F.col("rel_path").alias("series_path"),
-        _strip(F.col("text")).alias("action_text"),
+        strip(F.col("text")).alias("action_text"),
     )
     return (
         clips.withColumn("series_path", paths.with_suffix(F.col("rel_path"), ".txt"))
@@ -199,7 +196,7 @@ def skip_list(spark: SparkSession, path: str, tree: str) -> DataFrame:
     """``(tree, file_name)``: one name per line, blanks ignored, each once."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "tree string, file_name string")
-    name = _strip(F.col("value"))
+    name = strip(F.col("value"))
     return spark.read.text(path).select(F.lit(tree).alias("tree"), name.alias("file_name")).filter("file_name <> ''").distinct()
 
 

@@ -78,7 +78,8 @@ def test_paths(spark):
     assert values(spark, p, paths.parent) == ["a/b.c", "", "", "a"]
     assert values(spark, p, paths.stem) == ["clip.x", "clip", ".hidden", "noext"]
     assert values(spark, p, paths.run_name) == ["a__b.c__clip.x", "clip", ".hidden", "a__noext"]
-    assert values(spark, [" /a\\b/ ", ".", "", "a/../b"], paths.folder_argument) == ["a/b", "", "", "a/../b"]
+    typed = [" /a\\b/ ", ".", "", "a/../b", "./a//b/."]
+    assert values(spark, typed, paths.folder_argument) == ["a/b", "", "", "a/../b", "a/b"]
     assert values(spark, ["a/../b", "a/..b"], paths.escapes_root) == [True, False]
     labels = ["X/Negative_Scenarios/positive_scenario.mp4", "positive_scenarios/a.mp4", "other/a.mp4"]
     assert values(spark, labels, paths.label_of_path) == [1, 0, None]
