@@ -136,7 +136,7 @@ def marker_checks(docs: DataFrame, key: str, column: str, rules: Sequence[tuple[
         *[
             F.struct(
                 F.lit(name).alias("rule"),
-                F.regexp_count(F.col(column), F.lit(pattern)).alias("hits"),
+                F.regexp_count(F.col(column), F.lit(pattern)).cast("long").alias("hits"),
                 F.lit(least).alias("least"),
                 F.lit(most).alias("most"),
             )
@@ -165,7 +165,7 @@ def segment_rules(docs: DataFrame, key: str, ranges: str = "ranges", duration: s
     no = F.lit(False)
     return spans.select(
         key,
-        F.size(s).alias("n_segments"),
+        F.size(s).cast("long").alias("n_segments"),
         F.coalesce((F.size(s) > 0) & F.forall(s, lambda x: x.isNotNull()), no).alias("readable"),
         F.coalesce(last["end_s"] - last["start_s"] >= 2, no).alias("last_long_enough"),
         F.forall(follows, lambda x: F.coalesce(x, no)).alias("contiguous"),

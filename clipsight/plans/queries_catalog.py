@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clipsight.functions import paths, text
 from clipsight.operators import catalog, checks
 from clipsight.plans import inputs as I
-from clipsight.plans.registry import Tables, register, with_inputs
+from clipsight.plans.registry import register, with_inputs
 from clipsight.sources import writers
 
 # Parts of a path as the reference database says them.

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
-from clipsight.functions import series as S
-from clipsight.functions import text
 from clipsight.operators import batch, checks, kinematics, trajectory
 from clipsight.operators.skew import lookup_join, positions
 from clipsight.plans import inputs as I
@@ -80,7 +78,9 @@ def series_in_rows(t: Tables):
         F.transform(F.sort_array(F.collect_list(pose)), lambda x: x["p"]).alias("poses")
     )
     moved = kinematics.with_series(clips)
-    return moved.select("clip", F.posexplode("series_5hz").alias("i", "s")).select("clip", "i", "s.v", "s.h")
+    return moved.select("clip", F.posexplode("series_5hz").alias("i", "s")).select(
+        "clip", F.col("i").cast("long").alias("i"), "s.v", "s.h"
+    )
 
 
 register(
@@ -324,7 +324,7 @@ FROM events
 def traj_parse_errors(t: Tables):
     parsed = t.derive(I.TRAJECTORY_TEXTS).select("event_id", D.trajectory(F.col("txt")).alias("p"))
     return parsed.select(
-        "event_id", "p.error", F.size("p.series").alias("n"), F.round(F.get("p.series", F.lit(0))["h"], 4).alias("h0")
+        "event_id", "p.error", F.size("p.series").cast("long").alias("n"), F.round(F.get("p.series", F.lit(0))["h"], 4).alias("h0")
     )
 
 
