@@ -135,7 +135,18 @@ def trajectories(spark: SparkSession, root: str, clips: DataFrame, mode: str) ->
     """Clips with their stored series: ``series`` or an ``error`` class; no clip is dropped."""
     # Full-rate files can be told by name; the others are all text files.
     pattern = f"*{paths.NATIVE_SUFFIX}.txt" if mode == paths.FULL_RATE_MODE else "*.txt"
-    stored = whole_texts(spark, root, pattern).withColumnRenamed("rel_path", "series_path")
+    return attach_series(clips, whole_texts(spark, root, pattern).withColumnRenamed("rel_path", "series_path"), mode)
+
+
+def trajectory_table(spark: SparkSession, path: str, clips: DataFrame, mode: str) -> DataFrame:
+    """The same from the table ``writers.write_trajectories`` made; only one rate is read."""
+    hz = paths.NATIVE_HZ if mode == paths.FULL_RATE_MODE else paths.TARGET_HZ
+    stored = spark.read.parquet(path).filter(F.col("hz") == hz)
+    return attach_series(clips, stored.select(F.col("out_path").alias("series_path"), F.col("value").alias("text")), mode)
+
+
+def attach_series(clips: DataFrame, stored: DataFrame, mode: str) -> DataFrame:
+    """Clips with the parsed text of ``stored(series_path, text)``; ``error`` says what is wrong with it."""
     wanted = clips.withColumn("series_path", paths.trajectory_path(F.col("rel_path"), F.lit(mode)))
     return (
         wanted.join(stored, "series_path", "left")

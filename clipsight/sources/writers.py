@@ -6,9 +6,11 @@ pointers are single rows.
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
@@ -76,6 +78,27 @@ def write_trajectories(clips: DataFrame, target: str) -> None:
     trajectory_rows(clips).write.mode("overwrite").partitionBy("hz").parquet(target)
 
 
+def write_files(rows: DataFrame, root: str, path: str = "out_path", value: str = "value") -> None:
+    """One text file per row at ``root`` / ``path``, written by the tasks.
+
+    For tools that read the files next to the clips; ``root`` must be a folder
+    that every executor mounts.  Each file appears whole (temporary name, then
+    rename), so a repeated task writes the same files again.
+    """
+    base = root.rstrip("/")
+
+    def put(part: Iterable[Row]) -> None:
+        for row in part:
+            target = f"{base}/{row[path]}"
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            partial = f"{target}.{uuid.uuid4().hex}.tmp"
+            with open(partial, "w", encoding="utf-8") as out:
+                out.write(row[value])
+            os.replace(partial, target)
+
+    rows.select(path, value).foreachPartition(put)
+
+
 def upload_manifest(clips: DataFrame, root: str) -> DataFrame:
     """``(local_path, path_in_repo)`` for both trajectory files of every clip."""
     rel = F.col("rel_path")
@@ -166,5 +189,17 @@ def write_pretty(docs: DataFrame, target: str, column: str = "json") -> None:
     docs.select("rel_path", D.pretty(D.unwrap(F.col(column))).alias("value")).write.mode("overwrite").parquet(target)
 
 
+def prettify(docs: DataFrame, root: str) -> DataFrame:
+    """Rewrite the documents (``rel_path``, ``json``) below ``root`` unwrapped and indented, in place.
+
+    Running it again changes nothing.  Texts that are not JSON are left alone
+    and returned.
+    """
+    inner = docs.withColumn("_inner", D.unwrap(F.col("json")))
+    ready = inner.filter("_inner is not null").select("rel_path", D.pretty(F.col("_inner")).alias("value"))
+    write_files(ready, root, "rel_path")
+    return inner.filter("_inner is null").select("rel_path", F.lit("not json").alias("error"))
+
+
 def report_path(folder: Column) -> Column:
     return F.concat(folder, F.lit("/report.json"))

@@ -114,6 +114,17 @@ def test_documents(spark, root):
     assert json.loads(spark.read.parquet(root + "/out").first().value) == doc
 
 
+def test_prettify_in_place(spark, root):
+    put(root, "a/wrapped.json", json.dumps({"prompt": json.dumps({"b": "é", "a": [1]})}))
+    put(root, "a/bad.json", "{nope")
+    for _ in range(2):
+        left = writers.prettify(readers.document_texts(spark, root), root).collect()
+        assert [r.rel_path for r in left] == ["a/bad.json"]
+        with open(f"{root}/a/wrapped.json", encoding="utf-8") as f:
+            assert f.read() == json.dumps({"b": "é", "a": [1]}, indent=2, ensure_ascii=False) + "\n"
+    assert sorted(os.listdir(f"{root}/a")) == ["bad.json", "wrapped.json"]
+
+
 def test_variation_matrix_and_overrides(spark, root):
     put(root, "plan.md", "# Plan\n\n| Row | Scene | Weather |\n|---|---|---|\n| v01 | Downtown | Rain |\n| v02 | Desert | Clear, dry |\n")
     matrix = readers.variation_matrix(spark, f"{root}/plan.md", ["scene", "weather"])
@@ -241,6 +252,12 @@ def test_motion_check_workflow(spark, root):
     writers.write_trajectories(done.filter("n >= 1"), f"{root}/series")
     stored = spark.read.parquet(f"{root}/series")
     assert {r.hz for r in stored.select("hz").distinct().collect()} == {10, 5}
+    again = readers.trajectory_table(spark, f"{root}/series", clips, "full_fps").collect()
+    assert {r.rel_path[9:10]: (r.error, r.series and len(r.series)) for r in again} == {
+        **{str(i): (None, 60) for i in (0, 1, 2, 4)}, "3": ("missing", None), "5": ("missing", None)}
+    writers.write_files(stored, f"{root}/mirror")
+    files = readers.trajectories(spark, f"{root}/mirror", clips, "downsampled").filter("error is null").collect()
+    assert sorted((r.rel_path, len(r.series)) for r in files) == [(f"s/prompt_{i}.mp4", 30) for i in (0, 1, 2, 4)]
     text = stored.filter("hz = 5 and rel_path = 's/prompt_0.mp4'").first()
     assert text.out_path == "s/prompt_0.txt" and len(json.loads(text.value)) == 30
 
