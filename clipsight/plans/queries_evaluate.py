@@ -111,7 +111,7 @@ FROM predictions
 
 
 def experiment_report(t: Tables):
-    """Report documents, written as JSON text and read back into result rows."""
+    """Report documents, unfolded again into result rows next to their summary."""
     names = t.derive("SELECT DISTINCT 'exp_' || CAST(doc_id % 3 AS STRING) AS exp_name FROM {documents}")
     experiments = names.select(
         "exp_name",
@@ -121,12 +121,11 @@ def experiment_report(t: Tables):
         F.struct(F.lit(4).alias("fps")).alias("inference_params"),
     )
     reports = evaluate.report(predictions(t), experiments)
-    back = evaluate.explode_results(reports)
-    total = reports.filter("part = 0").select("exp_name", F.col("summary.total_videos").alias("total_videos"))
-    return (
-        back.groupBy("exp_name")
-        .agg(F.count(F.lit(1)).alias("n_results"), F.count_if("correct").alias("n_correct"))
-        .join(total, "exp_name")
+    rows = reports.select("exp_name", F.col("summary.total_videos").alias("total_videos"), F.inline("results"))
+    return rows.groupBy("exp_name").agg(
+        F.count(F.lit(1)).alias("n_results"),
+        F.count_if("correct").alias("n_correct"),
+        F.max("total_videos").alias("total_videos"),
     )
 
 
