@@ -155,14 +155,6 @@ def question(family: Column, mode: Column, series_text: Column) -> Column:
     return F.when(mode == ACTION_MODE, F.concat(base(0), F.lit(STATE_PREFIX), series_text)).otherwise(base(1))
 
 
-def one_decimal(x: Column) -> Column:
-    return F.format_string("%.1f", F.round(x, 1))
-
-
-def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", F.round(x, 2))
-
-
 def log_path(line: Column) -> Column:
     """Clip path of a ``FLAG  path: rest`` line (up to the first colon); NULL for other lines."""
     hit = F.regexp_extract(strip(line), r"^FLAG\s+(.+?):(\s*.*)$", 1)

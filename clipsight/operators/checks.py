@@ -10,6 +10,23 @@ from clipsight.functions import text
 
 MATCH, FLAG, NOTE = "MATCH", "FLAG", "NOTE"
 
+# The log line of each case, the numbers in it, and the reasons of a mismatch.
+LINES = {
+    "no_prediction": "FLAG  %s: no prediction output",
+    "too_short": "FLAG  %s: action too short to derive a sequence",
+    "no_sentence": "NOTE  %s: no matching prompt sentence; %s",
+    "unclassified": "NOTE  %s: unclassified prompt; %s :: \"%s\"",
+    "matched": "MATCH %s: expected=%s %s",
+    "mismatched": "FLAG  %s: expected=%s %s | %s :: \"%s\"",
+}
+NUMBERS = "init_v=%.1f start_v=%.1f end_v=%.1f max|heading|=%.1fdeg"
+SPEED_REASONS = {
+    "decelerate": "expected deceleration, end/start velocity=%.2f",
+    "accelerate": "expected acceleration, end/start velocity=%.2f",
+    "maintain": "expected ~constant speed, end/start velocity=%.2f",
+}
+STEER_REASON = "expected steering, max|heading|=%.1fdeg"
+
 
 def with_expectation(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Add ``exp_speed`` (accelerate / decelerate / maintain / NULL) and ``exp_steer``."""
@@ -34,21 +51,12 @@ def check_motion(df: DataFrame) -> DataFrame:
 
 def reasons() -> Column:
     """Array of texts saying what did not match (columns of ``check_motion``)."""
-    ratio = text.two_decimals(F.col("ratio"))
-    wanted = (
-        F.when(F.col("exp_speed") == "decelerate", F.lit("expected deceleration"))
-        .when(F.col("exp_speed") == "accelerate", F.lit("expected acceleration"))
-        .otherwise(F.lit("expected ~constant speed"))
-    )
-    return F.array_compact(
-        F.array(
-            F.when(~F.col("speed_ok"), F.concat(wanted, F.lit(", end/start velocity="), ratio)),
-            F.when(
-                ~F.col("steer_ok"),
-                F.concat(F.lit("expected steering, max|heading|="), text.one_decimal(F.col("max_abs_h")), F.lit("deg")),
-            ),
-        )
-    )
+    def speed(kind: str) -> Column:
+        missed = (F.col("exp_speed") == kind) & ~F.col("speed_ok")
+        return F.when(missed, F.format_string(SPEED_REASONS[kind], F.round("ratio", 2)))
+
+    steer = F.when(~F.col("steer_ok"), F.format_string(STEER_REASON, F.round("max_abs_h", 1)))
+    return F.array_compact(F.array(*[speed(kind) for kind in SPEED_REASONS], steer))
 
 
 def case_of() -> Column:
@@ -76,28 +84,23 @@ def assign_status(df: DataFrame) -> DataFrame:
 
 def status_line() -> Column:
     """Log line of a clip: tag, path, and the numbers behind the status."""
-    rel, case = F.col("rel_path"), F.col("case")
-    numbers = F.concat(
-        F.lit("init_v="), text.one_decimal(F.col("init_v")),
-        F.lit(" start_v="), text.one_decimal(F.col("start_v")),
-        F.lit(" end_v="), text.one_decimal(F.col("end_v")),
-        F.lit(" max|heading|="), text.one_decimal(F.col("max_abs_h")), F.lit("deg"),
-    )
-    quoted = F.concat(F.lit(' :: "'), F.col("sentence"), F.lit('"'))
+    numbers = F.format_string(NUMBERS, *[F.round(c, 1) for c in ("init_v", "start_v", "end_v", "max_abs_h")])
     wanted = F.concat(
         F.coalesce(F.col("exp_speed"), F.lit("-")), F.when(F.col("exp_steer"), F.lit("+steer")).otherwise(F.lit(""))
     )
-    expected = F.concat(F.lit(": expected="), wanted, F.lit(" "), numbers)
-    return (
-        F.when(case == "no_prediction", F.concat(F.lit("FLAG  "), rel, F.lit(": no prediction output")))
-        .when(case == "too_short", F.concat(F.lit("FLAG  "), rel, F.lit(": action too short to derive a sequence")))
-        .when(case == "no_sentence", F.concat(F.lit("NOTE  "), rel, F.lit(": no matching prompt sentence; "), numbers))
-        .when(case == "unclassified", F.concat(F.lit("NOTE  "), rel, F.lit(": unclassified prompt; "), numbers, quoted))
-        .when(case == "matched", F.concat(F.lit("MATCH "), rel, expected))
-        .otherwise(
-            F.concat(F.lit("FLAG  "), rel, expected, F.lit(" | "), F.array_join(reasons(), "; "), quoted)
-        )
-    )
+    parts = {
+        "no_prediction": [],
+        "too_short": [],
+        "no_sentence": [numbers],
+        "unclassified": [numbers, F.col("sentence")],
+        "matched": [wanted, numbers],
+        "mismatched": [wanted, numbers, F.array_join(reasons(), "; "), F.col("sentence")],
+    }
+    lines = [
+        F.when(F.col("case") == case, F.format_string(LINES[case], F.col("rel_path"), *rest))
+        for case, rest in parts.items()
+    ]
+    return F.coalesce(*lines)
 
 
 def status_tally(checked: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import os
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
@@ -199,7 +199,3 @@ def prettify(docs: DataFrame, root: str) -> DataFrame:
     ready = inner.filter("_inner is not null").select("rel_path", D.pretty(F.col("_inner")).alias("value"))
     write_files(ready, root, "rel_path")
     return inner.filter("_inner is null").select("rel_path", F.lit("not json").alias("error"))
-
-
-def report_path(folder: Column) -> Column:
-    return F.concat(folder, F.lit("/report.json"))

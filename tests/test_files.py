@@ -358,6 +358,30 @@ def test_prepare_prompts(spark):
     assert got == {0: ('{"b":"fine","a":"\\u00e9"}', None), 1: (None, "no"), 2: (None, "not json")}
 
 
+def test_clips_with_duration(spark):
+    clips = spark.createDataFrame([("a.mp4",), ("b.mp4",), ("c.mp4",)], "rel_path string")
+    probes = spark.createDataFrame([("a.mp4", "5.04", None, None, None), ("b.mp4", None, "48", "24/1", None)],
+                                   "rel_path string, duration string, nb_frames string, avg_frame_rate string, r_frame_rate string")
+    got = {r.rel_path: r.duration_s for r in workflows.clips_with_duration(clips, probes).collect()}
+    assert got == {"a.mp4": 5.04, "b.mp4": 2.0, "c.mp4": None}
+
+
+def test_evaluate_and_report_calls_the_model_once(spark, root):
+    calls = spark.sparkContext.accumulator(0)
+    clips = spark.createDataFrame([(f"negative_scenarios/c{i}.mp4",) for i in range(5)], "rel_path string")
+    experiments = spark.createDataFrame([("e",)], "exp_name string").select(
+        "exp_name", F.struct("exp_name").alias("experiment"), F.struct(F.lit("h").alias("hostname")).alias("environment"),
+        F.struct("exp_name").alias("cli_args"), F.struct(F.lit(4).alias("fps")).alias("inference_params"))
+
+    def model(prompt):
+        calls.add(1)
+        return "Classification: Anomaly"
+
+    m = workflows.evaluate_and_report(clips, None, model, experiments, root, exp_name="e").first()
+    assert (m.tp, m.total_videos, calls.value) == (5, 5, 5)
+    assert evaluate.explode_results(readers.reports(spark, f"{root}/reports", "*.json")).count() == 5
+
+
 def test_review_queue(spark):
     clips = spark.createDataFrame([(f"f/negative_scenarios_variants/prompt_0_v0{i}.mp4",) for i in range(4)], "rel_path string")
     skip = spark.createDataFrame([("negative", "prompt_0_v01.mp4"), ("negative", "prompt_0_v02.mp4")], "tree string, file_name string")
