@@ -1,0 +1,121 @@
+"""Secret scans with corpus-wide ownership of every candidate, in SQL functions only.
+
+``scan`` finds the fixed patterns and, as weaker candidates, long tokens that mix
+letters and digits.  ``ownership`` counts for every candidate value in how many
+repositories (documents) and under how many owners (sources) it occurs.  A value
+under several owners is a copied example; one that only one owner has and that is
+varied enough to be real is live-looking.  ``findings`` keeps all spans of the
+fixed patterns and adds those tokens that are live-looking.
+
+Defined cases: a null text is empty; a null owner or repository counts as one of
+its own; repeated rows are rows of the result of their own, and count once in the
+frequencies (same repository).  A text without a find has empty span lists.
+Overlapping finds of different kinds all stay.  Empty tables give no rows.  Other
+columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from clipsight.llm.shared import stored
+
+#: The patterns of the kinds, in the order in which equal starts are listed.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+TOKEN = r"[A-Za-z0-9_-]{20,}"
+KINDS = ["assign", "access", "hex", "token"]
+#: Least length of an assigned value; least number of different characters of a live-looking value.
+ASSIGNED, VARIED = 6, 8
+
+
+def located(text: Column, pattern: str, kind: int) -> Column:
+    """All matches, leftmost first and not overlapping, as (start, kind, end, value).
+
+    The pieces between the matches and the matches take turns, so their lengths give
+    the places; each text is cut once and no place is searched for again.
+    """
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    span = lambda start, value: F.struct(
+        start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(value)).cast("int").alias("end"), value.alias("value")
+    )
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    step = lambda done, pair: F.struct(
+        (done["at"] + F.length(pair["gap"]) + F.length(pair["hit"])).cast("int").alias("at"),
+        F.concat(done["found"], F.array(span((done["at"] + F.length(pair["gap"])).cast("int"), pair["hit"]))).alias("found"),
+    )
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda done: done["found"])
+    return F.when(F.size(hits) == 0, empty).otherwise(walked)
+
+
+def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner_column: str = "source") -> DataFrame:
+    """(doc_id, owner, base, tokens): spans of the fixed patterns and of weaker candidates per row."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(owner_column).cast("string").alias("owner"), text.alias("t"))
+    t = F.col("t")
+    assigned = F.transform(
+        F.filter(located(t, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 1)) >= ASSIGNED),
+        lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.regexp_extract(x["value"], ASSIGN, 1).alias("value")),
+    )
+    rows = rows.select("doc_id", "owner", F.array_sort(F.concat(assigned, located(t, ACCESS, 1), located(t, HEX, 2))).alias("base"), located(t, TOKEN, 3).alias("long"))
+    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
+    return rows.select("doc_id", "owner", "base", F.filter("long", lambda x: mixed(x) & apart(x)).alias("tokens"))
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """One row per candidate: its place, the hash of its value and whether that looks real."""
+    row = scanned.select("doc_id", "owner", F.explode(F.concat("base", "tokens")).alias("c"))
+    return row.select(
+        "doc_id", "owner", "c.start", "c.kind", "c.end",
+        F.sha2(F.col("c.value"), 256).alias("hash"),
+        (F.size(F.array_distinct(F.split("c.value", ""))) >= VARIED).alias("varied"),
+    )
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """(hash, owners, repositories): every step combines before it shuffles, so a frequent value is no hot key."""
+    held = found.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    by_owner = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    by_doc = held.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+    repositories = by_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    return owners.join(repositories, "hash")
+
+
+def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner_column: str = "source") -> DataFrame:
+    """Per row: doc_id, all spans (base and added), and how many are live-looking or copied examples."""
+    scanned = stored(scan(docs, id_column, text_column, owner_column))
+    found = candidates(scanned)
+    judged = found.join(ownership(found), "hash").withColumn("live", (F.col("owners") == 1) & F.col("varied"))
+    span = F.struct("start", "kind", "end")
+    # Rows of one document and owner share their verdicts; each row keeps the places it has itself.
+    per_place = judged.groupBy("doc_id", "owner", "start", "kind", "end").agg(F.max("live").alias("live"), F.max("owners").alias("owners"))
+    verdicts = per_place.groupBy("doc_id", "owner").agg(
+        F.collect_list(F.when(F.col("live"), span)).alias("live"),
+        F.collect_list(F.when(F.col("owners") > 1, span)).alias("copied"),
+    )
+    verdicts = verdicts.select(F.col("doc_id").alias("v_id"), F.col("owner").alias("v_owner"), "live", "copied")
+    has = F.size(F.concat("base", "tokens")) > 0
+    joined = scanned.join(verdicts, F.col("doc_id").eqNullSafe(F.col("v_id")) & F.col("owner").eqNullSafe(F.col("v_owner")) & has, "left")
+    place = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    live, copied = F.coalesce("live", none), F.coalesce("copied", none)
+    base, tokens = F.transform("base", place), F.transform("tokens", place)
+    return joined.select(
+        "doc_id",
+        base.alias("base"),
+        F.array_sort(F.concat(base, F.array_intersect(tokens, live))).alias("spans"),
+        F.size(F.array_intersect(F.concat(base, tokens), live)).cast("long").alias("n_live"),
+        F.size(F.array_intersect(F.concat(base, tokens), copied)).cast("long").alias("n_copied"),
+    )
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
