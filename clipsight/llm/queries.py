@@ -11,11 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsight.llm import secrets, topk_search, warc
+import public_tokenizers
+
+from clipsight.llm import bestfit_packing, bpe_trees, secrets, topk_search, warc
 from clipsight.llm.shared import tables, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Vocabulary files of the tokenizer queries.
+WORD_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -51,6 +55,16 @@ def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, folder)
 
 
+@query
+def op8_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack_documents(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
+@query
+def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trees.encoded(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 SQL["op7_tiled_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
