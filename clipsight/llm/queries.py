@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from clipsight.llm import bestfit_packing, bpe_trees, secrets, topk_search, warc
+from clipsight.llm import bestfit_packing, bpe_trees, fertility, secrets, topk_search, warc
 from clipsight.llm.shared import tables, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.measure(tables(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+
+
 @query
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(tables(spark, sf_dir, "documents"))
