@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from clipsight.llm import bestfit_packing, bpe_trees, fertility, secrets, topk_search, warc
+from clipsight.llm import bestfit_packing, bpe_trees, fertility, oph_dedup, secrets, topk_search, warc
 from clipsight.llm.shared import tables, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(tables(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
 
 
+@query
+def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oph_dedup.groups(tables(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(tables(spark, sf_dir, "documents"))
@@ -70,6 +75,27 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trees.encoded(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+SQL["op4_one_permutation_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS doc, doc_id AS found FROM documents
+  UNION SELECT doc, b FROM reached JOIN both_ways ON a = found),
+least AS (SELECT doc, min(found) AS component_id FROM reached GROUP BY doc)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc = doc_id
+"""
+
 SQL["op7_tiled_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
