@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from clipsight.llm import bestfit_packing, bpe_trees, fertility, oph_dedup, secrets, topk_search, warc
+from clipsight.llm import bestfit_packing, bpe_trees, fertility, oph_dedup, secret_scan, suffix_dedup, topk_search, warc
 from clipsight.llm.shared import tables, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,20 +39,25 @@ def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.findings(tables(spark, sf_dir, "documents"))
+    found = secret_scan.findings(tables(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
-        secrets.joined(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
         "n_live",
         "n_copied",
     )
 
 
+@query
+def op6_range_partitioned_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_counts(tables(spark, sf_dir, "documents"))
+
+
 @query
 def op7_tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(tables(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
@@ -131,15 +136,15 @@ FROM f
 """
 
 _PLACES = "list_filter(list_transform(range(1, len({h}) + 1), lambda i: {{'start': list_sum(list_transform(list_slice({g}, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice({h}, 1, i - 1), lambda x: length(x))), 0), 'v': {h}[i]}}), lambda x: {keep})"
-_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_ASSIGN = secret_scan.ASSIGN.replace("'", "''")
 SQL["op5_secret_ownership"] = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 cut AS (
   SELECT doc_id, source,
     regexp_split_to_array(t, '{_ASSIGN}') AS g0, regexp_extract_all(t, '{_ASSIGN}') AS h0,
-    regexp_split_to_array(t, '{secrets.ACCESS}') AS g1, regexp_extract_all(t, '{secrets.ACCESS}') AS h1,
-    regexp_split_to_array(t, '{secrets.HEX}') AS g2, regexp_extract_all(t, '{secrets.HEX}') AS h2,
-    regexp_split_to_array(t, '{secrets.TOKEN}') AS g3, regexp_extract_all(t, '{secrets.TOKEN}') AS h3
+    regexp_split_to_array(t, '{secret_scan.ACCESS}') AS g1, regexp_extract_all(t, '{secret_scan.ACCESS}') AS h1,
+    regexp_split_to_array(t, '{secret_scan.HEX}') AS g2, regexp_extract_all(t, '{secret_scan.HEX}') AS h2,
+    regexp_split_to_array(t, '{secret_scan.TOKEN}') AS g3, regexp_extract_all(t, '{secret_scan.TOKEN}') AS h3
   FROM t),
 found AS (
   SELECT doc_id, source,
