@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from clipsight.llm import bestfit_packing, bpe_trees, fertility, oph_dedup, secret_scan, suffix_dedup, topk_search, warc
+from clipsight.llm import (
+    backoff,
+    bestfit_packing,
+    bpe_trees,
+    fertility,
+    license_rules,
+    oph_dedup,
+    secret_scan,
+    suffix_dedup,
+    topk_search,
+    warc,
+)
 from clipsight.llm.shared import tables, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +38,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(tables(spark, sf_dir, "documents"))
+
+
 @query
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.measure(tables(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
 
 
+@query
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+
+
 @query
 def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_dedup.groups(tables(spark, sf_dir, "documents"))
@@ -177,3 +198,38 @@ SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
   CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
 FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id
 """
+
+
+def _license_sql() -> str:
+    """Rules as nested replacements over the sequence of numbers, one step per rule."""
+    number = {name: n for n, name in enumerate(license_rules.SENTENCES, 1)}
+    table = ", ".join(f"('{text}', {n})" for text, n in license_rules.known(license_rules.SENTENCES).items())
+    names = ", ".join(f"'{name}'" for name in license_rules.SENTENCES)
+    steps, before = [], "r0"
+    for k, (licence, sequence) in enumerate(license_rules.RULES, 1):
+        text = "".join(f",{number[x]}," for x in sequence)
+        steps.append(
+            f"r{k} AS (SELECT doc_id, numbers, replace(rest, '{text}', '|') AS rest, "
+            f"list_concat(found, list_transform(range(0, (length(rest) - length(replace(rest, '{text}', '|'))) // {len(text) - 1}), lambda i: '{licence}')) AS found FROM {before})"
+        )
+        before = f"r{k}"
+    return f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(s, 1) AS place, unnest(s) AS s
+  FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{license_rules.CUT}') AS s FROM documents)),
+sentence(text, n) AS (VALUES {table}),
+hits AS (
+  SELECT doc_id, list(n ORDER BY place) AS numbers
+  FROM lines JOIN sentence ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = text GROUP BY doc_id),
+r0 AS (
+  SELECT doc_id, numbers, ',' || array_to_string(list_transform(numbers, lambda n: ',' || n || ','), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM hits),
+{", ".join(steps)}
+SELECT d.doc_id, CAST(coalesce(len(numbers), 0) AS BIGINT) AS n_known,
+  coalesce(array_to_string(list_transform(numbers, lambda n: ([{names}])[n]), ','), '') AS known,
+  coalesce(array_to_string(list_transform(range(1, len(found) + 1), lambda i: CASE WHEN list_position(found, found[i]) = i THEN found[i] END), ','), '') AS licences,
+  CAST(coalesce(len(found), 0) AS BIGINT) AS n_matches
+FROM documents d LEFT JOIN {before} USING (doc_id)
+"""
+
+
+SQL["op1_license_sentence_rules"] = _license_sql()
