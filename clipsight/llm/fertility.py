@@ -192,6 +192,18 @@ def measured(words: PieceWords, data: np.ndarray, offsets: np.ndarray) -> dict[s
     return out
 
 
+def verdicts(words: PieceWords, data: np.ndarray, offsets: np.ndarray, languages: list, bands: Mapping[str | None, Band]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Measures of texts given together, whether the base rules fail, and whether the text is kept."""
+    out = measured(words, data, offsets)
+    failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEATED * out["n_words"])
+    kept = np.zeros(len(failed), bool)
+    here = [x if x in bands else None for x in languages]
+    for language in set(here):
+        fine = bands[language].keeps(*(out[k] for k in ("chars_per_token", "byte_share", "token_entropy", "n_tokens")))
+        kept |= np.array([x == language for x in here]) & fine
+    return out, failed, kept & ~failed
+
+
 def measure(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band] = BANDS, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """One row per document: counts, measures and the verdict ``kept``."""
 
@@ -201,19 +213,28 @@ def measure(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band] =
             data, offsets = text_views(batch.column(1))
             languages = batch.column(2).to_pylist()
             for i, j in runs_of(offsets, SLICE):
-                out = measured(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                failed = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEATED * out["n_words"])
-                kept = np.zeros(j - i, bool)
-                here = [x if x in bands else None for x in languages[i:j]]
-                for language in set(here):
-                    rows = np.array([x == language for x in here])
-                    fine = bands[language].keeps(*(out[k] for k in ("chars_per_token", "byte_share", "token_entropy", "n_tokens")))
-                    kept |= rows & fine
+                out, failed, kept = verdicts(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], languages[i:j], bands)
                 none = out["n_tokens"] == 0
                 columns = [batch.column(0).slice(i, j - i), *(pa.array(out[k].astype(np.int64)) for k in COUNTS), pa.array(failed)]
                 columns += [pa.array(out[k].astype(np.int64)) for k in ("n_tokens", "n_byte_tokens")]
                 columns += [pa.array(out[k], mask=none) for k in ("chars_per_token", "byte_share", "token_entropy")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept & ~failed)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def kept_rows(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band] = BANDS, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; nothing is shuffled."""
+    text, lang = docs.columns.index(text_column), docs.columns.index(lang_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = piece_words(vocabulary)
+        for batch in batches:
+            data, offsets = text_views(batch.column(text))
+            languages = batch.column(lang).to_pylist()
+            for i, j in runs_of(offsets, SLICE):
+                _, _, kept = verdicts(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], languages[i:j], bands)
+                yield batch.slice(i, j - i).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

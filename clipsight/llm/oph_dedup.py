@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clipsight.llm.components import components
 from clipsight.llm.fertility import nonzero, window_hashes, word_places
-from clipsight.llm.shared import Rolling, mixed, runs_of, stored, text_views
+from clipsight.llm.shared import Rolling, fresh_name, mixed, runs_of, stored, text_views
 
 #: Words of a shingle, least similarity in percent, bins of a signature and bins of a band.
 SHINGLE, SIMILAR, BINS, ROWS = 5, 75, 160, 4
@@ -234,8 +235,8 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
-def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_node: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row, on request with the hash of its set."""
     rows = stored(described(docs, id_column, text_column))
     nodes = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "doc", F.explode("bands").alias("bucket"))
@@ -254,10 +255,38 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     named = labels.join(least, "label").select("node", "component")
     own = nodes.select("node", "doc").join(named, "node", "left").select("node", F.coalesce("component", "doc").alias("of_node"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("of_node"))
-    out = rows.drop("bands").join(own, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = rows.drop("bands").join(own, "node", "left").select("doc_id", "n_shingles", *["node"] * with_node, F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of ``docs`` per group, with all its columns: that of the smallest identifier.
+
+    Rows that repeat it with the same set are one; rows without identifier or without
+    a word all stay.
+    """
+    found = groups(docs, id_column, text_column, with_node=True)
+    name, node = fresh_name(docs, "name"), fresh_name(docs, "node")
+    keepers = found.filter("kept and node is not null and doc_id is not null").select(F.col("doc_id").alias(name), F.col("node").alias(node)).distinct()
+    at = docs.columns.index(text_column)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_views(batch.column(at))
+            for i, j in runs_of(offsets, SLICE):
+                sizes, hashes = set_hashes(*shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hashes, mask=sizes == 0)], names=[*part.schema.names, node])
+
+    own = F.col(f"`{id_column}`").cast("long")
+    text = F.col(f"`{text_column}`").cast("string")
+    apart = own.isNull() | ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.filter(~apart).mapInArrow(mark, StructType([*docs.schema.fields, StructField(node, LongType())]))
+    marked = marked.withColumn(name, own)
+    one = marked.join(keepers, [name, node], "left_semi").dropDuplicates([name, node])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(apart))
+
+
 def one_text(brought: DataFrame) -> DataFrame:
     """(node, text): of the rows of an identifier, one whose text has the node's set."""
 

@@ -7,8 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from clipsight.session import ensure_checkpoint_dir
 
@@ -35,17 +34,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows dealt out evenly by the named columns, to as many tasks as the session shuffles to."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *columns)
-
-
-def same(a: Column, b: Column) -> Column:
-    """Equality that also holds between nulls."""
-    return a.eqNullSafe(b)
-
-
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts together, n + 1 offsets) of an Arrow string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,5 +116,8 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def lit_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import Rolling, mixed, ragged, runs_of, stored, text_views
+from clipsight.llm.shared import Rolling, fresh_name, mixed, ragged, runs_of, stored, text_views
 
 #: Bytes of a repeated string, and of the stretch at an anchor.
 WINDOW, GRAM = 200, 64
@@ -385,10 +385,3 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.withColumn(new, F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
     joined = rows.join(changed, F.col(new) == F.col(tag), "left")
     return joined.select(*[F.coalesce(F.col(kept), text).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
-
-
-def fresh_name(docs: DataFrame, name: str) -> str:
-    """A column name that the table does not have."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = "_" + name
-    return name
