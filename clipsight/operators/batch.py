@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_CHARS = 200
-
 
 def enrich(
     rows: DataFrame,
@@ -24,13 +23,15 @@ def enrich(
     max_retries: int = 0,
     base_delay_s: float = 1.0,
     timeout_s: float | None = None,
+    absent: str | None = None,
 ) -> DataFrame:
     """``(key, *keep, output, error, tries, elapsed_s)``: one row per input, whatever happens.
 
     ``fn`` runs inside the tasks (for a model: its client call).  A row that
     still fails after its retries becomes an error row and the others go on.
     Retries wait ``base_delay_s`` doubled each time; ``timeout_s`` bounds one try.
-    ``partitions`` spreads a small table of slow calls over that many tasks.
+    With ``absent``, a null input is not sent to ``fn`` but becomes an error row of
+    that text, without a try.  ``partitions`` spreads a small table of slow calls over that many tasks.
 
     The plan is lazy and a lost task calls ``fn`` again, so store the result
     (``writers.stored``) before using it more than once.
@@ -38,14 +39,28 @@ def enrich(
     carried = [key, *keep]
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
 
-    def attempt(pool: ThreadPoolExecutor | None, value: str) -> str:
-        return fn(value) if pool is None else pool.submit(fn, value).result(timeout=timeout_s)
+    def attempt(value: str) -> str:
+        if timeout_s is None:
+            return fn(value)
+        # A try of its own thread: one that hangs keeps that thread and no later row waits for it.
+        answer: Future = Future()
+
+        def call() -> None:
+            try:
+                answer.set_result(fn(value))
+            except BaseException as exc:  # noqa: BLE001 - handed to the waiting side
+                answer.set_exception(exc)
+
+        Thread(target=call, daemon=True).start()
+        return answer.result(timeout=timeout_s)
 
-    def one(pool: ThreadPoolExecutor | None, value: str) -> tuple:
+    def one(value: str) -> tuple:
+        if absent is not None and value is None:
+            return None, absent, 0, 0.0
         started = time.perf_counter()
         for tries in range(1, max_retries + 2):
             try:
-                return attempt(pool, value), None, tries, time.perf_counter() - started
+                return attempt(value), None, tries, time.perf_counter() - started
             except Exception as exc:  # noqa: BLE001 - any failure is a result here
                 problem = str(exc) or type(exc).__name__
                 if tries <= max_retries:
@@ -53,14 +68,9 @@ def enrich(
         return None, problem, tries, time.perf_counter() - started
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A try that timed out may still occupy a thread, hence a few of them.
-        pool = ThreadPoolExecutor(max_workers=8) if timeout_s else None
         for batch in batches:
-            done = [one(pool, value) for value in batch[column]]
-            out = pd.DataFrame(done, columns=["output", "error", "tries", "elapsed_s"])
+            out = pd.DataFrame([one(value) for value in batch[column]], columns=["output", "error", "tries", "elapsed_s"])
             yield pd.concat([batch[carried].reset_index(drop=True), out], axis=1)
-        if pool:
-            pool.shutdown(wait=False)
 
     schema = ", ".join([*kinds, "output string", "error string", "tries int", "elapsed_s double"])
     inputs = rows.select(*carried, column)
@@ -79,8 +89,8 @@ def tally(enriched: DataFrame) -> DataFrame:
 
 
 def failures(enriched: DataFrame, key: str) -> DataFrame:
-    """Failed rows with their shortened error text."""
-    return enriched.filter("error is not null").select(key, F.substring("error", 1, ERROR_CHARS).alias("error"))
+    """Failed rows with their whole error text."""
+    return enriched.filter("error is not null").select(key, "error")
 
 
 def with_step(frames: DataFrame, native_fps: str, fps: int) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.functions import text
-from clipsight.operators.skew import broadcast_limit, lookup_join
+from clipsight.functions import paths, text
+from clipsight.operators.skew import lookup_join
 
 # Classes a prediction can take, in report order.
 CLASSES = ["Anomaly", "Normal", "Unknown", "Error"]
-RESULTS_PER_DOCUMENT = 100_000
 
 
 def with_prediction(answers: DataFrame, raw: str = "raw_output", error: str | None = "is_error") -> DataFrame:
@@ -98,19 +97,16 @@ def results(predictions: DataFrame) -> DataFrame:
     )
 
 
-def report(predictions: DataFrame, experiments: DataFrame, per_document: int = RESULTS_PER_DOCUMENT) -> DataFrame:
-    """Nested report documents per experiment.
+def report_headers(predictions: DataFrame, experiments: DataFrame) -> DataFrame:
+    """One row per experiment: its own structs or maps (all columns of ``experiments``), summary and metrics.
 
-    ``experiments`` has one row per ``exp_name`` with the structs ``experiment``,
-    ``environment``, ``cli_args`` and ``inference_params``.  An experiment with
-    more than ``per_document`` results is written as several documents (``part``)
-    that repeat the header, so no task has to hold all of its results; the parts
-    together hold every row.
+    ``experiments`` has one row per ``exp_name``, with ``experiment``,
+    ``environment``, ``cli_args`` and ``inference_params``.  The result rows stay a
+    table of their own (``results``), so no row grows with an experiment.
     """
     scored = with_scores(predictions.groupBy("exp_name").agg(*confusion(), *class_columns()))
-    header = scored.select(
+    summed = scored.select(
         "exp_name",
-        F.ceil(F.col("total_videos") / per_document).cast("long").alias("parts"),
         F.struct(
             F.col("total_videos"), *[F.col(f"n_{c.lower()}").alias(c) for c in CLASSES]
         ).alias("summary"),
@@ -129,28 +125,26 @@ def report(predictions: DataFrame, experiments: DataFrame, per_document: int = R
                 F.col("n_scored").alias("count"),
             ),
         ).alias("metrics"),
-    ).join(experiments, "exp_name")
-    # The header has at most one row per experiment, so counting those is enough.
-    few = experiments.count() <= broadcast_limit(experiments)
-    rows = lookup_join(
-        results(predictions), header.select("exp_name", "parts"), ["exp_name"], "inner", bounded=few
     )
+    return lookup_join(experiments, summed, ["exp_name"], "inner")
+
+
+def listed(results: DataFrame) -> DataFrame:
+    """Result rows in the order of a report: by experiment, then by path components."""
+    return results.orderBy("exp_name", paths.components(F.col("file")))
+
+
+def nested_report(headers: DataFrame, results: DataFrame) -> DataFrame:
+    """Headers with their result rows as one array in report order, for exports known to be small."""
     row = F.struct("file", "true_label", "prediction", "correct", "raw_output", "inference_time_s")
-    spread = F.xxhash64("file", "raw_output", "inference_time_s")
-    documents = (
-        rows.withColumn("part", F.pmod(spread, F.col("parts")))
-        .groupBy("exp_name", "part")
-        .agg(F.sort_array(F.collect_list(row)).alias("results"))
-    )
-    # Documents are large and may be many per experiment: they stay where they are.
-    return lookup_join(documents, header.drop("parts"), ["exp_name"], "inner", bounded=few).select(
-        "exp_name", "part", "experiment", "environment", "cli_args", "inference_params", "summary", "metrics", "results"
-    )
+    ordered = F.sort_array(F.collect_list(F.struct(paths.components(F.col("file")).alias("at"), row.alias("row"))))
+    rows = results.groupBy("exp_name").agg(F.transform(ordered, lambda x: x["row"]).alias("results"))
+    return lookup_join(headers, rows, ["exp_name"])
 
 
 def explode_results(reports: DataFrame) -> DataFrame:
-    """Result rows of stored report documents."""
-    return reports.select(F.col("experiment.exp_name").alias("exp_name"), F.inline("results"))
+    """Result rows of nested reports, with their ``position`` in the report."""
+    return reports.select(F.col("experiment.exp_name").alias("exp_name"), F.posexplode("results").alias("position", "r")).select("exp_name", "position", "r.*")
 
 
 def experiment_folder(name: Column, action: Column, family_suffix: Column, at: Column) -> Column:

@@ -8,7 +8,7 @@ from clipsight.functions import paths, text
 from clipsight.operators import catalog, checks
 from clipsight.plans import inputs as I
 from clipsight.plans.registry import register, with_inputs
-from clipsight.sources import writers
+from clipsight.sources import listing, writers
 
 # Parts of a path as the reference database says them.
 FILE = "regexp_extract(rel_path, '[^/]*$')"
@@ -237,3 +237,36 @@ FROM clips, (SELECT unnest(['.txt', '_10fps.txt']) AS s)
         clips=I.CLIP_PATHS,
     ),
 )
+
+
+_URIS = """
+SELECT event_id, '{root}/' || event_type || '/' || CASE WHEN event_id % 3 = 0 THEN '100{percent}_' ELSE 'a{plus}b{blank}' END
+       || CAST(user_id AS {text}) || '.mp4' AS uri FROM {table}
+"""
+_ROOTS = {"file": ("file:///data/my{blank}clips", "/data/my clips"), "hdfs": ("hdfs://nn:8020/clips", "hdfs://nn:8020/clips"),
+          "s3a": ("s3a://bucket/clips", "s3a://bucket/clips/")}
+
+
+def relative_paths(t: Tables):
+    """Paths below their roots, from encoded and from bare URIs of several stores."""
+    parts = []
+    for store, (uri_root, root) in _ROOTS.items():
+        for encoded in (True, False):
+            marks = {"percent": "%25", "plus": "+", "blank": "%20"} if encoded else {"percent": "%", "plus": "+", "blank": " "}
+            uris = t.derive(_URIS.format(root=uri_root.format(**marks), **marks, text="STRING", table="{events}"))
+            parts.append(uris.select("event_id", F.lit(store).alias("store"), F.lit(encoded).alias("encoded"),
+                                     listing.relative(F.col("uri"), root, encoded).alias("rel_path")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+register(
+    "relative_paths",
+    relative_paths,
+    """
+SELECT event_id, store, encoded, event_type || '/' || CASE WHEN event_id % 3 = 0 THEN '100%_' ELSE 'a+b ' END || CAST(user_id AS VARCHAR) || '.mp4' AS rel_path
+FROM events, (VALUES ('file'), ('hdfs'), ('s3a')) s(store), (VALUES (true), (false)) e(encoded)
+""",
+)

@@ -111,22 +111,22 @@ FROM predictions
 
 
 def experiment_report(t: Tables):
-    """Report documents, unfolded again into result rows next to their summary."""
+    """Every result row of the reports next to all figures of its report's header."""
     names = t.derive("SELECT DISTINCT 'exp_' || CAST(doc_id % 3 AS STRING) AS exp_name FROM {documents}")
     experiments = names.select(
         "exp_name",
         F.struct("exp_name", F.lit("no_action").alias("mode")).alias("experiment"),
-        F.struct(F.lit("local").alias("hostname")).alias("environment"),
-        F.struct("exp_name").alias("cli_args"),
-        F.struct(F.lit(4).alias("fps")).alias("inference_params"),
+        F.create_map(F.lit("hostname"), F.lit("local")).alias("environment"),
+        F.create_map(F.lit("exp_name"), "exp_name").alias("cli_args"),
+        F.create_map(F.lit("fps"), F.lit("4")).alias("inference_params"),
     )
-    reports = evaluate.report(predictions(t), experiments)
-    rows = reports.select("exp_name", F.col("summary.total_videos").alias("total_videos"), F.inline("results"))
-    return rows.groupBy("exp_name").agg(
-        F.count(F.lit(1)).alias("n_results"),
-        F.count_if("correct").alias("n_correct"),
-        F.max("total_videos").alias("total_videos"),
+    answered = predictions(t)
+    headers = evaluate.report_headers(answered, experiments).select(
+        "exp_name", "experiment.mode", F.col("environment.hostname").alias("host"), F.col("inference_params.fps").alias("fps"), "summary.*", "metrics.*"
     )
+    for name in ("F1-Score", "Avg Inference Time"):
+        headers = headers.withColumn(name, F.round(F.col(f"`{name}`"), 9))
+    return evaluate.results(answered).join(headers, "exp_name")
 
 
 register(
@@ -134,9 +134,26 @@ register(
     experiment_report,
     with_inputs(
         """
-SELECT exp_name, count(*) AS n_results, count(*) AS total_videos,
-       count(*) FILTER (WHERE prediction <> 'Error' AND (prediction = 'Anomaly') = (true_label = 1)) AS n_correct
-FROM predictions GROUP BY exp_name
+WITH cells AS (
+  SELECT exp_name, count(*) AS total_videos, count(*) FILTER (WHERE prediction = 'Anomaly') AS "Anomaly",
+         count(*) FILTER (WHERE prediction = 'Normal') AS "Normal", count(*) FILTER (WHERE prediction = 'Unknown') AS "Unknown",
+         count(*) FILTER (WHERE prediction = 'Error') AS "Error",
+         count(*) FILTER (WHERE prediction <> 'Error' AND prediction = 'Anomaly' AND true_label = 1) AS "TP",
+         count(*) FILTER (WHERE prediction <> 'Error' AND prediction = 'Anomaly' AND true_label = 0) AS "FP",
+         count(*) FILTER (WHERE prediction <> 'Error' AND prediction <> 'Anomaly' AND true_label = 0) AS "TN",
+         count(*) FILTER (WHERE prediction <> 'Error' AND prediction <> 'Anomaly' AND true_label = 1) AS "FN",
+         round(coalesce(avg(seconds) FILTER (WHERE prediction <> 'Error'), 0.0), 9) AS "Avg Inference Time"
+  FROM predictions GROUP BY exp_name),
+rates AS (
+  SELECT *, "TP" + "FP" + "TN" + "FN" AS "count", CASE WHEN "TP" + "FP" > 0 THEN "TP" / ("TP" + "FP") ELSE 0.0 END AS "Precision",
+         CASE WHEN "TP" + "FN" > 0 THEN "TP" / ("TP" + "FN") ELSE 0.0 END AS "Recall" FROM cells)
+SELECT p.exp_name, p.file, CASE p.true_label WHEN 1 THEN 'Anomaly' ELSE 'Normal' END AS true_label, p.prediction,
+       CASE WHEN p.prediction <> 'Error' THEN (p.prediction = 'Anomaly') = (p.true_label = 1) END AS correct, p.raw_output,
+       CASE WHEN p.prediction <> 'Error' THEN round(p.seconds, 3) ELSE 0.0 END AS inference_time_s,
+       'no_action' AS mode, 'local' AS host, '4' AS fps, total_videos, "Anomaly", "Normal", "Unknown", "Error", "TP", "FP", "TN", "FN",
+       "count", "Precision", "Recall", "Avg Inference Time", CASE WHEN "count" > 0 THEN ("TP" + "TN") / "count" ELSE 0.0 END AS "Accuracy",
+       round(CASE WHEN "Precision" + "Recall" > 0 THEN 2 * "Precision" * "Recall" / ("Precision" + "Recall") ELSE 0.0 END, 9) AS "F1-Score"
+FROM predictions p JOIN rates r ON p.exp_name = r.exp_name
 """,
         responses=I.RESPONSES,
         truth=I.TRUTH,
@@ -202,13 +219,13 @@ def _answer(prompt: str) -> str:
 
 def batch_enrich(t: Tables):
     done = batch.enrich(t.derive(I.CONVERSATION_ROWS), "row_id", "text", _answer)
-    return done.select("row_id", "output", F.substring("error", 1, batch.ERROR_CHARS).alias("error"), "tries")
+    return done.select("row_id", "output", "error", "tries")
 
 
 BATCH_SQL = """
 SELECT row_id, CASE WHEN length(text) % 7 <> 0
                     THEN CAST(length(text) AS VARCHAR) || '/' || CAST(length(text) - length(replace(text, ' ', '')) AS VARCHAR) END AS output,
-       CASE WHEN length(text) % 7 = 0 THEN left('refused: ' || text, 200) END AS error, 1 AS tries
+       CASE WHEN length(text) % 7 = 0 THEN 'refused: ' || text END AS error, 1 AS tries
 FROM convs
 """
 register("batch_enrich", batch_enrich, with_inputs(BATCH_SQL, convs=I.CONVERSATION_ROWS))

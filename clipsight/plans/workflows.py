@@ -1,4 +1,4 @@
-"""The four workflows, each one lazy plan over tables."""
+"""The four workflows over tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipsight.functions import documents as D
 from clipsight.functions import paths, series, text
 from clipsight.operators import batch, catalog, checks, corpus, evaluate, kinematics, review
-from clipsight.operators.skew import lookup_join, positions
+from clipsight.operators.skew import lookup_join, positions_and_size
 from clipsight.sources import writers
 
 
@@ -67,16 +67,12 @@ def evaluate_model(
     else:
         rows = rows.withColumn("action_text", F.lit(None).cast("string"))
     asked = rows.withColumn("prompt", text.question(F.lit(family), F.lit(mode), F.col("action_text")))
-    ready, lacking = asked.filter("prompt is not null"), asked.filter("prompt is null")
-    answered = batch.enrich(ready, "rel_path", "prompt", fn, keep=["true_label"], **options).select(
+    # A row without a prompt passes through as an error: the inputs are read once.
+    answered = batch.enrich(asked, "rel_path", "prompt", fn, keep=["true_label"], absent="no action sequence", **options).select(
         "rel_path", "true_label", F.coalesce("output", "error").alias("raw_output"),
         F.col("error").isNotNull().alias("is_error"), F.col("elapsed_s").alias("seconds"),
     )
-    missing = lacking.select(
-        "rel_path", "true_label", F.lit("no action sequence").alias("raw_output"),
-        F.lit(True).alias("is_error"), F.lit(0.0).alias("seconds"),
-    )
-    rows = answered.unionByName(missing).withColumns({"exp_name": F.lit(exp_name), "file": F.col("rel_path")})
+    rows = answered.withColumns({"exp_name": F.lit(exp_name), "file": F.col("rel_path")})
     return evaluate.with_prediction(rows)
 
 
@@ -94,7 +90,7 @@ def evaluate_and_report(
     answers = writers.stored(
         evaluate_model(clips, sidecars, fn, exp_name=exp_name, **options), f"{target}/answers"
     )
-    writers.write_reports(evaluate.report(answers, experiments), f"{target}/reports")
+    writers.write_reports(evaluate.report_headers(answers, experiments), evaluate.results(answers), f"{target}/reports")
     return evaluate.metrics(answers, "exp_name")
 
 
@@ -104,8 +100,8 @@ def review_queue(
     """Everything a reviewer sees per clip: sentence, flag, stored label, position and neighbours."""
     # Placed first: numbering needs only the paths, and its size check stays cheap.
     foldered = clips.withColumn("folder", paths.parent(F.col("rel_path")))
-    placed = positions(foldered, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
-    near = review.next_previous(catalog.mark_skipped(placed, skip), "folder")
+    placed, large = positions_and_size(foldered, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
+    near = review.next_previous(catalog.mark_skipped(placed, skip), "folder", large=large)
     told = catalog.with_prompt_sentence(near, prompt_lines)
     flagged = review.with_heuristic(told, flags)
     return review.with_labels(flagged, store.select("row_no", "rel_path", "label", "comment"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from clipsight.functions import documents as D
-from clipsight.functions import strip
-from clipsight.functions import paths
+from clipsight.functions import paths, strip
+from clipsight.sources import listing
 
 # Header of the label file, in column order.
 LABEL_HEADER = ['Video filepath relative to "data/datasets/generated_vids"', "Valid/Invalid",
@@ -25,48 +25,28 @@ NULL_TOKENS = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 RESULT_FIELDS = ("file:STRING, true_label:STRING, prediction:STRING, correct:BOOLEAN, raw_output:STRING, "
                  "inference_time_s:DOUBLE")
 # Fields of a stored experiment report.
-REPORT_SCHEMA = f"""
+HEADER_SCHEMA = """
+exp_name STRING,
 experiment STRUCT<exp_name:STRING, mode:STRING, backend:STRING, timestamp:STRING, start_time:STRING,
-  end_time:STRING, duration_s:DOUBLE>,
-environment STRUCT<hostname:STRING, python:STRING>,
-cli_args STRUCT<exp_name:STRING, mode:STRING, model:STRING>,
-inference_params STRUCT<model:STRING, tensor_parallel_size:INT, fps:INT, max_tokens:INT>,
+  end_time:STRING, duration_s:DOUBLE, num_gpus:INT>,
+environment MAP<STRING, STRING>,
+cli_args MAP<STRING, STRING>,
+inference_params MAP<STRING, STRING>,
 summary STRUCT<total_videos:INT, Anomaly:INT, Normal:INT, Unknown:INT, Error:INT>,
 metrics STRUCT<Accuracy:DOUBLE, TP:INT, FP:INT, TN:INT, FN:INT, Precision:DOUBLE, Recall:DOUBLE,
-  `F1-Score`:DOUBLE, `Avg Inference Time`:DOUBLE, count:INT>,
-results ARRAY<STRUCT<{RESULT_FIELDS}>>
+  `F1-Score`:DOUBLE, `Avg Inference Time`:DOUBLE, count:INT>
 """
-
-
-def relative(path: Column, root: str) -> Column:
-    """Part of a file URI below ``root`` (percent-escapes decoded)."""
-    plain = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*", "/")
-    return F.substring(plain, len(root.rstrip("/")) + 2, 1 << 20)
+REPORT_SCHEMA = f"{HEADER_SCHEMA}, results ARRAY<STRUCT<{RESULT_FIELDS}>>"
 
 
 def catalogue(spark: SparkSession, root: str, pattern: str = "*.mp4", folder: str = "") -> DataFrame:
-    """``rel_path`` of every matching file below ``root`` (or its sub-folder); contents are not read.
+    """``rel_path`` of every matching file below ``root`` (or its sub-folder); contents are not read."""
+    return listing.files(spark, root, pattern, folder).select("rel_path")
 
-    Files of size zero are not listed.
-    """
-    base = f"{root.rstrip('/')}/{folder}".rstrip("/")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(base)
-        .select(relative(F.col("path"), root).alias("rel_path"))
-    )
 
-
-def whole_texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """``(rel_path, text)`` of every matching text file."""
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(root, wholetext=True)
-        .select(relative(F.col("_metadata.file_path"), root).alias("rel_path"), F.col("value").alias("text"))
-    )
+def whole_texts(spark: SparkSession, root: str, pattern: str, files: DataFrame | None = None) -> DataFrame:
+    """``(rel_path, text)`` of every matching text file, empty ones too; ``files`` is a listing if there is one."""
+    return listing.texts(spark, root, listing.files(spark, root, pattern) if files is None else files)
 
 
 def _lines(text: Column) -> Column:
@@ -82,11 +62,14 @@ def split_lines(texts: DataFrame) -> DataFrame:
 
 
 def prompt_lines(spark: SparkSession, root: str, pattern: str = "*prompt*.txt") -> DataFrame:
-    """``(dir, filename, line_no, text)`` of the prompt files below ``root``."""
+    """``(dir, filename, line_no, text)`` of the prompt files below ``root``.
+
+    An empty file has one row without a line: it is the nearest prompt file of its
+    folder all the same.
+    """
     rel = F.col("rel_path")
-    return split_lines(whole_texts(spark, root, pattern)).select(
-        paths.parent(rel).alias("dir"), paths.file_name(rel).alias("filename"), "line_no", "text"
-    )
+    lines = whole_texts(spark, root, pattern).select("rel_path", F.posexplode_outer(_lines(F.col("text"))).alias("line_no", "text"))
+    return lines.select(paths.parent(rel).alias("dir"), paths.file_name(rel).alias("filename"), "line_no", "text")
 
 
 def prompt_intake(spark: SparkSession, path: str) -> DataFrame:
@@ -99,16 +82,8 @@ def prompt_intake(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """``(rel_path, doc)`` of the prompt documents; a fixed schema, nothing inferred."""
-    typed = (
-        spark.read.schema(D.PROMPT_SCHEMA)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .json(root)
-    )
-    return typed.select(
-        relative(F.col("_metadata.file_path"), root).alias("rel_path"), F.struct(*typed.columns).alias("doc")
-    )
+    doc = F.from_json("text", D.PROMPT_SCHEMA).alias("doc")
+    return whole_texts(spark, root, pattern).select("rel_path", doc)
 
 
 def document_texts(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
@@ -118,16 +93,9 @@ def document_texts(spark: SparkSession, root: str, pattern: str = "*.json") -> D
 
 def actions(spark: SparkSession, root: str, pattern: str = "sample_outputs.json") -> DataFrame:
     """``(name, action)`` from model output files ``<name>/sample_outputs.json``; only that field is parsed."""
-    outputs = (
-        spark.read.schema("outputs array<struct<content:struct<action:array<array<double>>>>>")
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .json(root)
-    )
-    rel = relative(F.col("_metadata.file_path"), root)
-    return outputs.select(
-        paths.parent(rel).alias("name"), F.get("outputs", F.lit(0))["content"]["action"].alias("action")
+    outputs = F.from_json("text", "outputs array<struct<content:struct<action:array<array<double>>>>>")["outputs"]
+    return whole_texts(spark, root, pattern).select(
+        paths.parent(F.col("rel_path")).alias("name"), F.get(outputs, F.lit(0))["content"]["action"].alias("action")
     )
 
 
@@ -230,7 +198,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, root: str, pattern: str = "report*.json") -> DataFrame:
-    """Stored experiment reports."""
+    """Nested experiment reports, one document per file; option maps keep every field."""
     return (
         spark.read.schema(REPORT_SCHEMA)
         .option("multiLine", "true")
@@ -240,6 +208,17 @@ def reports(spark: SparkSession, root: str, pattern: str = "report*.json") -> Da
     )
 
 
+def report_headers(spark: SparkSession, root: str) -> DataFrame:
+    """Headers that ``writers.write_reports`` wrote."""
+    return spark.read.schema(HEADER_SCHEMA).json(f"{root.rstrip('/')}/headers")
+
+
+def report_results(spark: SparkSession, root: str) -> DataFrame:
+    """Result rows that ``writers.write_reports`` wrote, with ``exp_name`` from the folder."""
+    fields = RESULT_FIELDS.replace(":", " ")
+    return spark.read.schema(f"{fields}, exp_name STRING").json(f"{root.rstrip('/')}/results")
+
+
 def variation_matrix(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Rows of the ``| v01 | ... |`` table in a plan text, with the given column names after ``row``."""
     cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clipsight.functions import documents as D
 from clipsight.functions import paths
 from clipsight.functions import series as S
-from clipsight.operators import checks
+from clipsight.operators import checks, evaluate
 from clipsight.sources import readers
 
 # Constants of a job line, in field order.
@@ -129,8 +129,8 @@ def flag_header(lines: DataFrame) -> DataFrame:
 
 def write_flag_report(checked: DataFrame, target: str) -> None:
     """Header in ``section=0``, ordered flag lines in ``section=1`` (sorted by range, so part
-    files follow each other).  The count is taken from the written lines: the
-    checks behind them run once."""
+    files follow each other).  The sort samples the checks once more than it writes
+    them; the count is taken from the written lines."""
     ordered = flag_lines(checked).orderBy(paths.components(F.col("rel_path")))
     ordered.select("value").write.mode("overwrite").text(f"{target}/section=1")
     written = checked.sparkSession.read.text(f"{target}/section=1")
@@ -173,14 +173,17 @@ def export_labels(store: DataFrame, target: str) -> None:
     named.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(target)
 
 
-def write_reports(reports: DataFrame, target: str) -> None:
-    """One JSON file per document, in a folder per experiment."""
+def write_reports(headers: DataFrame, results: DataFrame, target: str) -> None:
+    """Reports as JSON lines: a line per experiment below ``headers``, a line per result below
+    ``results``, in a folder per experiment.  Result lines follow one another in report order
+    within and over the part files; ``evaluate.nested_report`` makes one document of both."""
+    headers.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{target}/headers")
     (
-        reports.write.mode("overwrite")
+        evaluate.listed(results)
+        .write.mode("overwrite")
         .partitionBy("exp_name")
-        .option("maxRecordsPerFile", 1)
         .option("ignoreNullFields", "false")
-        .json(target)
+        .json(f"{target}/results")
     )
 
 

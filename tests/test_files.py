@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from clipsight.functions import series as S
 from clipsight.operators import batch, catalog, checks, corpus, evaluate, kinematics, review
 from clipsight.plans import workflows
-from clipsight.sources import readers, writers
+from clipsight.sources import listing, readers, writers
 from clipsight.streaming import incremental
 
 
@@ -34,6 +35,31 @@ def test_catalogue(spark, root):
     assert [r.rel_path for r in inside.collect()] == ["a/b/ü.mp4"]
 
 
+def test_no_file_is_left_out(spark, root):
+    for rel in ["a/empty.mp4", "a/_z.mp4", "_old/b.mp4", ".hidden/c.mp4", "p%20q.mp4", "100%_q.mp4"]:
+        put(root, rel)
+    assert {r.rel_path for r in readers.catalogue(spark, root).collect()} == {
+        "a/empty.mp4", "a/_z.mp4", "_old/b.mp4", ".hidden/c.mp4", "p%20q.mp4", "100%_q.mp4"}
+    put(root, "prompt.txt", "Outer. It stops.")
+    put(root, "set/prompt.txt")
+    put(root, "set/prompt_0.txt")
+    put(root, "t/clip_inverse_dynamics.txt")
+    put(root, "j/prompt.json")
+    clips = spark.createDataFrame([("set/prompt_0.mp4",), ("other/prompt_0.mp4",)], "rel_path string")
+    lines = readers.prompt_lines(spark, root, "prompt.txt")
+    told = {r.rel_path: r.sentence for r in catalog.with_prompt_sentence(clips, lines).collect()}
+    assert told == {"set/prompt_0.mp4": None, "other/prompt_0.mp4": "It stops."}
+    side = readers.sidecar_texts(spark, root, clips.filter("rel_path like 'set%'")).first()
+    assert (side.action_text, side.error) == ("", None)
+    assert readers.document_texts(spark, root).first().json == ""
+
+
+def test_path_outside_the_root_is_an_error(spark):
+    uri = spark.createDataFrame([("s3a://bucket/other/a.mp4",)], "uri string")
+    with pytest.raises(Exception, match="not below"):
+        uri.select(listing.relative(F.col("uri"), "s3a://bucket/clips")).collect()
+
+
 def test_folders(spark):
     clips = spark.createDataFrame([("a/b/x.mp4",), ("a/y.mp4",), ("z.mp4",)], "rel_path string")
     assert {(r.folder, r.n_clips) for r in catalog.browsable_folders(clips).collect()} == {("a", 2), ("a/b", 1)}
@@ -316,6 +342,18 @@ def test_enrich_retries_timeouts_and_errors(spark):
     assert got[2].output is None and got[2].error and got[2].elapsed_s < 5
 
 
+def test_hanging_calls_do_not_starve_later_rows(spark):
+    rows = spark.createDataFrame([(i, "slow" if i < 20 else "good") for i in range(24)], "i int, p string").coalesce(1).sortWithinPartitions("i")
+
+    def fn(p):
+        if p == "slow":
+            time.sleep(60)
+        return p
+
+    got = {r.i: (r.output, r.error) for r in batch.enrich(rows, "i", "p", fn, timeout_s=0.1).collect()}
+    assert [got[i][0] for i in range(20, 24)] == ["good"] * 4 and all(got[i][1] for i in range(20))
+
+
 def test_evaluate_workflow_and_reports(spark, root):
     clips = spark.createDataFrame([(f"{k}_scenarios/c{i}.mp4",) for k in ("negative", "positive") for i in range(4)] + [("other/x.mp4",)],
                                   "rel_path string")
@@ -334,15 +372,17 @@ def test_evaluate_workflow_and_reports(spark, root):
     experiments = spark.createDataFrame([("e1",)], "exp_name string").select(
         "exp_name", F.struct("exp_name").alias("experiment"), F.struct(F.lit("h").alias("hostname")).alias("environment"),
         F.struct("exp_name").alias("cli_args"), F.struct(F.lit(4).alias("fps")).alias("inference_params"))
-    for per_document, parts in ((100, 1), (3, None)):
-        reports = evaluate.report(answers, experiments, per_document)
-        target = f"{root}/reports{per_document}"
-        writers.write_reports(reports, target)
-        back = readers.reports(spark, target, "*.json")
-        rows = evaluate.explode_results(back)
-        assert rows.count() == 8 and rows.filter("correct is null").count() == 4
-        assert back.filter("summary.Error = 4 and metrics.TP = 1").count() == reports.count() == (parts or reports.count())
-    none = evaluate.report(answers.filter("is_error"), experiments).first()
+    headers, rows = evaluate.report_headers(answers, experiments), evaluate.results(answers)
+    writers.write_reports(headers, rows, f"{root}/reports")
+    back, lines = readers.report_headers(spark, f"{root}/reports"), readers.report_results(spark, f"{root}/reports")
+    assert lines.count() == 8 and lines.filter("correct is null").count() == 4
+    head = back.first()
+    assert (head.summary.Error, head.metrics.TP, head.environment, head.inference_params) == (4, 1, {"hostname": "h"}, {"fps": "4"})
+    nested = evaluate.nested_report(headers, rows)
+    nested.write.json(f"{root}/nested")
+    again = evaluate.explode_results(readers.reports(spark, f"{root}/nested", "*.json")).orderBy("position")
+    assert [r.file for r in again.collect()] == sorted((r.file for r in lines.collect()), key=lambda f: f.split("/"))
+    none = evaluate.report_headers(answers.filter("is_error"), experiments).first()
     assert none.metrics is None and none.summary.total_videos == 4
 
 
@@ -379,7 +419,7 @@ def test_evaluate_and_report_calls_the_model_once(spark, root):
 
     m = workflows.evaluate_and_report(clips, None, model, experiments, root, exp_name="e").first()
     assert (m.tp, m.total_videos, calls.value) == (5, 5, 5)
-    assert evaluate.explode_results(readers.reports(spark, f"{root}/reports", "*.json")).count() == 5
+    assert readers.report_results(spark, f"{root}/reports").count() == 5
 
 
 def test_review_queue(spark):
