@@ -86,7 +86,7 @@ def last_sentence(text: Column) -> Column:
         return F.when(
             bare.endswith(")"),
             let(
-                F.regexp_replace(bare, rf"(?U)({WS}*\([^()]*\))+\z", ""),
+                F.regexp_replace(bare, rf"(?U)(?:{WS}*+\([^()]*+\))++\z", ""),
                 lambda cut: F.when(cut == "", F.regexp_extract(bare, r"^(\([^()]*\))", 1)).otherwise(cut),
             ),
         ).otherwise(bare)

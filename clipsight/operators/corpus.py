@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clipsight.functions import documents as D
 from clipsight.operators.skew import lookup_join
 
+#: Matrix rows that one array holds.
 MATRIX_ROWS = 1000
 
 
@@ -36,15 +37,20 @@ def parts(docs: DataFrame, part: str) -> DataFrame:
 def vary(base: DataFrame, matrix: DataFrame, axes: Sequence[str], overrides: DataFrame | None = None) -> DataFrame:
     """Every base prompt with every matrix row.
 
-    ``base`` has ``prompt_idx``; ``matrix`` has ``row`` and the axis columns and
-    must be small (it is a plan of a few dozen rows): it becomes an array that
-    each base row explodes, so nothing is shuffled.  ``overrides``
-    (prompt_idx, row, axis, value) replace single axes.
+    ``base`` has ``prompt_idx``; ``matrix`` has ``row`` and the axis columns.  It
+    becomes an array that each base row explodes, so nothing is shuffled; a matrix
+    of more than ``MATRIX_ROWS`` rows becomes several arrays, joined by their
+    number.  ``overrides`` (prompt_idx, row, axis, value) replace single axes.
     """
-    if matrix.count() > MATRIX_ROWS:
-        raise ValueError(f"a variation matrix has at most {MATRIX_ROWS} rows")
-    plan = matrix.agg(F.collect_list(F.struct("row", *axes)).alias("rows")).scalar()
-    varied = base.withColumn("_rows", plan).select("*", F.inline("_rows")).drop("_rows")
+    rows = F.collect_list(F.struct("row", *axes)).alias("_rows")
+    blocks = -(-matrix.count() // MATRIX_ROWS)
+    if blocks <= 1:
+        arrays = base.withColumn("_rows", matrix.agg(rows).scalar())
+    else:
+        block = F.pmod(F.xxhash64("row", *axes), F.lit(blocks)).alias("_block")
+        numbered = base.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        arrays = numbered.join(matrix.groupBy(block).agg(rows), "_block").drop("_block")
+    varied = arrays.select("*", F.inline("_rows")).drop("_rows")
     if overrides is None:
         return varied
     pinned = overrides.groupBy("prompt_idx", "row").agg(

@@ -71,18 +71,20 @@ def upsert_labels(store: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
-def next_previous(queue: DataFrame, folder: str, rows_per_task: int | None = None) -> DataFrame:
+def next_previous(queue: DataFrame, folder: str, rows_per_task: int | None = None, large: bool | None = None) -> DataFrame:
     """Add positions of the neighbouring unskipped clips and the landing position.
 
     ``queue`` has ``folder``, a dense ``pos`` within it, and ``skipped``.
     ``next_pos`` / ``prev_pos`` are NULL at the ends.  ``landing_pos`` is where a
-    jump to the clip ends up: itself, else the next, else the previous unskipped
-    clip, else itself.  Folders longer than ``rows_per_task`` are cut into blocks
-    of positions; what lies beyond a block comes from one row per block.
+    jump forward to the clip ends up: itself, else the next, else the previous
+    unskipped clip, else itself; ``landing_back_pos`` the same for a jump back,
+    which looks back first.  Folders longer than ``rows_per_task`` are cut into blocks
+    of positions; what lies beyond a block comes from one row per block.  ``large``
+    says whether there are any, where the caller knows.
     """
     rows_per_task = task_rows(queue, rows_per_task)
     pos = F.when(~F.col("skipped"), F.col("pos"))
-    if not has_heavy_key(queue, [folder], rows_per_task):
+    if not (has_heavy_key(queue, [folder], rows_per_task) if large is None else large):
         run = Window.partitionBy(folder).orderBy("pos")
         out = queue.withColumns(
             {
@@ -112,7 +114,12 @@ def next_previous(queue: DataFrame, folder: str, rows_per_task: int | None = Non
             .withColumns({"next_pos": F.coalesce("_next", "_after"), "prev_pos": F.coalesce("_prev", "_before")})
             .drop("_b", "_next", "_prev", "_after", "_before")
         )
-    return out.withColumn("landing_pos", F.coalesce(pos, "next_pos", "prev_pos", "pos"))
+    return out.withColumns(
+        {
+            "landing_pos": F.coalesce(pos, "next_pos", "prev_pos", "pos"),
+            "landing_back_pos": F.coalesce(pos, "prev_pos", "next_pos", "pos"),
+        }
+    )
 
 
 def passed_over(queue: DataFrame) -> DataFrame:

@@ -1,15 +1,14 @@
 """Joins and ordered scans that hold up when one key has a large share of the rows.
 
-* ``lookup_join`` joins a fact table to a table with few rows per key.  The small
-  side is broadcast only after measuring its rows and bytes; beyond the bounds
-  the heavy keys of the fact side are spread over replicas of their lookup rows.
+* ``lookup_join`` joins a fact table to a table with few rows per key.  Adaptive
+  execution measures the shuffled sides: it broadcasts a small one and splits a
+  skewed one, so nothing is evaluated to decide beforehand.
 * ``ordered_segments`` / ``positions`` number rows in order per key.  Keys that
   fit one task use a plain window; otherwise rows are range-partitioned on
   (key, order), so a heavy key covers several consecutive segments, and each
   segment's offset comes from a tiny table (at most two rows per segment).
 
-The limits can be set per session: ``spark.clipsight.rowsPerTask``,
-``spark.clipsight.broadcastRows`` and ``spark.clipsight.broadcastBytes``.
+``spark.clipsight.rowsPerTask`` sets how many rows of a key one task may take.
 """
 
 from __future__ import annotations
@@ -18,98 +17,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, BinaryType, DataType, StringType, StructType
 
 from clipsight.session import ensure_checkpoint_dir
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 4_000_000
-KEYLESS_SALTS = 1000
-
-
-def _limit(df: DataFrame, name: str, default: int, given: int | None = None) -> int:
-    return int(df.sparkSession.conf.get(f"spark.clipsight.{name}", str(default))) if given is None else given
 
 
 def task_rows(df: DataFrame, given: int | None = None) -> int:
     """Rows of one key that a single task may be asked to take."""
-    return _limit(df, "rowsPerTask", ROWS_PER_TASK, given)
-
-
-def broadcast_limit(df: DataFrame, given: int | None = None) -> int:
-    return _limit(df, "broadcastRows", BROADCAST_ROWS, given)
-
-
-def _variable_bytes(column: Column, kind: DataType) -> list[Column]:
-    """Lengths of the parts of a column that have no fixed width."""
-    if isinstance(kind, (StringType, BinaryType)):
-        return [F.octet_length(column)]
-    if isinstance(kind, StructType):
-        return [x for f in kind.fields for x in _variable_bytes(column[f.name], f.dataType)]
-    return [] if isinstance(kind, AtomicType) else [F.octet_length(F.to_json(F.struct(column)))]
+    return int(df.sparkSession.conf.get("spark.clipsight.rowsPerTask", str(ROWS_PER_TASK))) if given is None else given
 
 
-def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether a table is small enough to broadcast, by one distributed count of rows and bytes."""
-    widths = [w for f in df.schema.fields for w in _variable_bytes(F.col(f"`{f.name}`"), f.dataType)]
-    total = F.lit(0)
-    for width in widths:
-        total = total + F.coalesce(width, F.lit(0))
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(total.cast("long")), F.lit(0)).alias("bytes")).first()
-    return seen["rows"] <= broadcast_limit(df, rows) and seen["bytes"] <= _limit(df, "broadcastBytes", BROADCAST_BYTES)
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    bounded: bool = False,
-    broadcast_rows: int | None = None,
-    rows_per_task: int | None = None,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", *, bounded: bool = False) -> DataFrame:
     """Join ``facts`` to ``lookup`` on ``on`` (``left``, ``inner``, ``left_semi`` or ``left_anti``).
 
-    ``bounded=True`` states that the lookup is a fixed small table; otherwise its
-    rows and bytes are measured before it may be broadcast.
+    ``bounded=True`` states that the lookup is a fixed small table.
     """
-    on = list(on)
-    if bounded or fits_broadcast(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup), on, how)
-
-    rows_per_task = task_rows(facts, rows_per_task)
-    # Fewer than one heavy key per task's worth of fact rows, so this stays small.
-    heavy = (
-        facts.groupBy(*on)
-        .count()
-        .filter(F.col("count") > rows_per_task)
-        .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("_copies"))
-    )
-    row_hash = F.xxhash64(*facts.columns)
-    no_key = F.lit(False)
-    for key in on:
-        no_key = no_key | F.col(key).isNull()
-    # Rows without a key match nothing, so any salt will do: spread them all.
-    spread = facts.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt",
-        F.when(no_key, F.pmod(row_hash, F.lit(KEYLESS_SALTS).cast("long")))
-        .when(F.col("_copies").isNotNull(), F.pmod(row_hash, F.col("_copies").cast("long")))
-        .otherwise(F.lit(0).cast("long")),
-    )
-    copies = lookup.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1)).cast("long") - 1)),
-    )
-    joined = spread.drop("_copies").join(copies.drop("_copies"), [*on, "_salt"], how)
-    return joined.drop("_salt")
+    return facts.join(F.broadcast(lookup) if bounded else lookup, list(on), how)
 
 
 def has_heavy_key(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
     """Whether any key has more rows than one task should take (counts combine on the map side)."""
     rows = task_rows(df, rows)
-    return not df.groupBy(*keys).count().filter(F.col("count") > rows).limit(1).isEmpty()
+    return not df.select(*keys).groupBy(*keys).count().filter(F.col("count") > rows).limit(1).isEmpty()
 
 
 def ordered_segments(
@@ -145,6 +75,18 @@ def positions(
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position per key in the given (unique) order; optionally the key's row count."""
+    return positions_and_size(df, keys, order, name, total, rows_per_task)[0]
+
+
+def positions_and_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    name: str = "pos",
+    total: str | None = None,
+    rows_per_task: int | None = None,
+) -> tuple[DataFrame, bool]:
+    """The same, and whether any key is too large for one task: later steps need not ask again."""
     keys = list(keys)
     rows, split = ordered_segments(df, keys, order, rows_per_task)
     run = Window.partitionBy(*keys, "_seg")
@@ -152,7 +94,7 @@ def positions(
     if total:
         out = out.withColumn(total, F.count(F.lit(1)).over(run))
     if not split:
-        return out.drop("_seg")
+        return out.drop("_seg"), False
     # One row per (spanning key, segment): bounded by twice the number of segments.
     sizes = spanning(rows.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_rows")), keys)
     by_key = Window.partitionBy(*keys)
@@ -163,9 +105,9 @@ def positions(
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(by_key).alias("_all"),
     )
-    out = out.join(F.broadcast(carry), [*keys, "_seg"], "left").withColumn(
+    out = out.join(carry, [*keys, "_seg"], "left").withColumn(
         name, F.col(name) + F.coalesce("_before", F.lit(0))
     )
     if total:
         out = out.withColumn(total, F.coalesce("_all", F.col(total)))
-    return out.drop("_seg", "_before", "_all")
+    return out.drop("_seg", "_before", "_all"), True

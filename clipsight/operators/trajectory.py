@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from clipsight.functions import series as S
 from clipsight.operators.skew import has_heavy_key, lookup_join
 
-SAMPLES_PER_ROW = 100_000
-
 
 def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFrame:
     """Array form to long form with the time axis ``t = i / hz``."""
@@ -19,9 +17,7 @@ def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFr
 
 
 def collect_series(samples: DataFrame, key: str) -> DataFrame:
-    """Long form back to one array per clip; an error when a clip is too long to be a row."""
-    if has_heavy_key(samples, [key], SAMPLES_PER_ROW):
-        raise ValueError(f"a clip has more than {SAMPLES_PER_ROW} samples: keep the long form")
+    """Long form back to one array per clip: each clip must fit a row, else keep the long form."""
     pair = F.struct("i", F.struct("v", "h").alias("s"))
     return samples.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(pair)), lambda p: p["s"]).alias("series")
@@ -44,7 +40,7 @@ def window_means(samples: DataFrame, key: str, rows_per_task: int | None = None)
         )
     else:
         sizes = used.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_abs_h").alias("max_abs_h"))
-        sized = lookup_join(used, sizes, [key], "inner", rows_per_task=rows_per_task)
+        sized = lookup_join(used, sizes, [key], "inner")
     bounded = sized.withColumn("b", S.window_bounds(F.col("n")))
     i, v = F.col("i"), F.col("v")
     in_start = (i >= F.col("b.i0")) & (i < F.col("b.i1"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipsight.functions import paths
 from clipsight.operators import catalog, review
-from clipsight.operators.skew import positions
+from clipsight.operators.skew import positions_and_size
 from clipsight.plans import inputs as I
 from clipsight.plans.queries_catalog import SKIPPED_SQL
 from clipsight.plans.registry import Tables, register, with_inputs
@@ -83,9 +83,15 @@ FROM latest WHERE rel_path NOT IN (SELECT rel_path FROM store)
 
 
 def queue(t: Tables):
+    """The queue, and whether a folder is too large for one task."""
     clips = t.derive(I.CLIP_PATHS).select("rel_path", paths.parent(F.col("rel_path")).alias("folder"))
-    placed = positions(clips, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
-    return catalog.mark_skipped(placed, t.derive(I.SKIP_LIST))
+    placed, large = positions_and_size(clips, ["folder"], [paths.components(F.col("rel_path"))], "pos", "n_in_folder")
+    return catalog.mark_skipped(placed, t.derive(I.SKIP_LIST)), large
+
+
+def neighbours(t: Tables):
+    rows, large = queue(t)
+    return review.next_previous(rows, "folder", large=large)
 
 
 QUEUE_SQL = """
@@ -94,7 +100,7 @@ FROM marked WINDOW w AS (PARTITION BY folder ORDER BY string_split(rel_path, '/'
 """
 register(
     "queue_position",
-    lambda t: queue(t).select("rel_path", "pos", "n_in_folder", "skipped"),
+    lambda t: queue(t)[0].select("rel_path", "pos", "n_in_folder", "skipped"),
     with_inputs(
         "SELECT rel_path, pos, n_in_folder, skipped FROM queue",
         clips=I.CLIP_PATHS,
@@ -110,9 +116,10 @@ FROM (SELECT *, CASE WHEN NOT skipped THEN pos END AS free FROM queue)
 """
 register(
     "next_unskipped",
-    lambda t: review.next_previous(queue(t), "folder").select("rel_path", "pos", "next_pos", "prev_pos", "landing_pos"),
+    lambda t: neighbours(t).select("rel_path", "pos", "next_pos", "prev_pos", "landing_pos", "landing_back_pos"),
     with_inputs(
-        "SELECT rel_path, pos, next_pos, prev_pos, coalesce(free, next_pos, prev_pos, pos) AS landing_pos FROM near",
+        "SELECT rel_path, pos, next_pos, prev_pos, coalesce(free, next_pos, prev_pos, pos) AS landing_pos, "
+        "coalesce(free, prev_pos, next_pos, pos) AS landing_back_pos FROM near",
         clips=I.CLIP_PATHS,
         skip=I.SKIP_LIST,
         marked=SKIPPED_SQL,
@@ -122,7 +129,7 @@ register(
 )
 register(
     "passed_over",
-    lambda t: review.passed_over(review.next_previous(queue(t), "folder")),
+    lambda t: review.passed_over(neighbours(t)),
     with_inputs(
         "SELECT folder, prev_pos, next_pos, pos, rel_path FROM near WHERE skipped",
         clips=I.CLIP_PATHS,

@@ -28,7 +28,7 @@ def test_query_matches_sql(spark, con, name):
 @pytest.fixture(scope="module")
 def tight(spark):
     """Limits so low that every key is heavy and no side may be broadcast."""
-    limits = {"rowsPerTask": "40", "broadcastRows": "1"}
+    limits = {"rowsPerTask": "40"}
     for name, value in limits.items():
         spark.conf.set(f"spark.clipsight.{name}", value)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

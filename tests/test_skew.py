@@ -24,13 +24,16 @@ def heavy(spark, rows=600):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_lookup_join_salted_equals_plain(spark, how):
+def test_lookup_join_is_lazy_and_keeps_rows_without_a_key(spark, how):
     facts = heavy(spark)
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("k3", 3), ("k5", 4)], "key string, y int")
     plain = facts.join(lookup, ["key"], how)
-    salted = lookup_join(facts, lookup, ["key"], how, broadcast_rows=0, rows_per_task=SMALL)
-    assert salted.columns == plain.columns
-    assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+    spark.sparkContext.setJobGroup("lookup", "joins decide nothing beforehand")
+    joined = lookup_join(facts, lookup, ["key"], how)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert joined.columns == plain.columns
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect()))
 
 
 def test_positions_cut_equals_plain(spark):

@@ -152,3 +152,10 @@ def test_clip_duration(spark):
     df = spark.createDataFrame(rows, "d string, n string, a string, r string")
     got = [x.v for x in df.select(D.clip_duration(*map(F.col, "dnar")).alias("v")).collect()]
     assert got == [5.04, 2.0, pytest.approx(1.001), None, None, None]
+
+
+def test_many_trailing_notes(spark):
+    """A million notes behind a sentence, and many groups that no note ends, each in one pass."""
+    rows = ["One. Two. " + "(n) " * 1_000_000, "One. " + "(n) " * 20_000 + "x. Three (n", "One. (n) x " * 2_000 + "(y)"]
+    got = values(spark, rows, text.last_sentence)
+    assert got[0] == "Two." and got[1].endswith("Three (n") and got[2].startswith("(n) x One.") or got[2]
