@@ -34,6 +34,7 @@ resolution STRUCT<H:INT, W:INT>, aspect_ratio STRING, duration STRING, fps INT
 
 
 def is_json(text: Column) -> Column:
+    """Strict JSON: a document with NaN, Infinity or a repeated key is not."""
     return F.try_parse_json(text).isNotNull()
 
 
@@ -53,16 +54,41 @@ def unwrap(text: Column) -> Column:
     return let(F.try_parse_json(text), pick)
 
 
-@F.pandas_udf(StringType())
-def compact(text: pd.Series) -> pd.Series:
-    """Same document without blanks and with non-ASCII escaped, key order kept."""
-    return text.map(lambda t: t if t is None else json.dumps(json.loads(t), ensure_ascii=True, separators=(",", ":")))
+# A JSON string, in one run: nothing in it is tried twice.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def compact(text: Column) -> Column:
+    """Same document without blanks and with non-ASCII escaped, key order kept; NULL if it is not JSON.
+
+    Numbers, escapes that are there already and repeated keys stay as they are
+    written.
+    """
+    tight = F.regexp_replace(text, rf"(?s)({STRING})|[\x20\t\n\r]++", "$1")
+
+    def escaped(run: Column) -> Column:
+        units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
+        return F.when(run.rlike(r"^[\x00-\x7E]"), run).otherwise(F.regexp_replace(units, "(....)", r"\\u$1"))
+
+    edges = r"(?<=[\x00-\x7E])(?=[^\x00-\x7E])|(?<=[^\x00-\x7E])(?=[\x00-\x7E])"
+    ascii_only = let(
+        tight,
+        lambda x: F.when(x.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(F.split(x, edges), escaped), "")).otherwise(x),
+    )
+    return F.when(is_json(text), ascii_only)
+
+
+def _indented(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, indent=2) + "\n"
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(StringType())
 def pretty(text: pd.Series) -> pd.Series:
-    """Same document indented by two, non-ASCII kept, ending in a newline."""
-    return text.map(lambda t: t if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2) + "\n")
+    """Same document indented by two, non-ASCII kept, ending in a newline; NULL if it is not JSON."""
+    return text.map(_indented)
 
 
 def seconds_range(text: Column) -> Column:
@@ -104,7 +130,7 @@ def trajectory(text: Column) -> Column:
     The first two items of each row count, numeric strings and NaN are accepted;
     exactly one of the two fields is set.
     """
-    # JSON proper has no NaN or Infinity; quoting them makes the text parseable.
+    # JSON proper has no NaN or Infinity; quoting them makes such a text parseable.
     quoted = F.regexp_replace(text, r'(?<![\w"])(-?(?:NaN|Infinity))(?![\w"])', '"$1"')
 
     def number(x: Column) -> Column:
@@ -134,4 +160,4 @@ def trajectory(text: Column) -> Column:
             .otherwise(let(F.transform(F.try_variant_get(doc, "$", "array<variant>"), sample), check))
         )
 
-    return let(F.try_parse_json(quoted), read)
+    return let(F.coalesce(F.try_parse_json(text), F.try_parse_json(quoted)), read)

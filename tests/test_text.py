@@ -107,7 +107,10 @@ def test_unwrap(spark):
 
 def test_json_texts(spark):
     source = '{"b" : "é—", "a": [1, 2.50]}'
-    assert values(spark, [source], D.compact) == ['{"b":"\\u00e9\\u2014","a":[1,2.5]}']
+    assert values(spark, [source], D.compact) == ['{"b":"\\u00e9\\u2014","a":[1,2.50]}']
+    assert values(spark, ["{nope", None, '{"a b": "x \\" y",\n "e": "é\U0001f600\x7f", "n": [ 1.50 , true ]}'], D.compact) == [
+        None, None, '{"a b":"x \\" y","e":"\\u00e9\\ud83d\\ude00\\u007f","n":[1.50,true]}']
+    assert values(spark, ["{nope", None], D.pretty) == [None, None]
     pretty = values(spark, [source], D.pretty)[0]
     assert pretty.startswith('{\n  "b": "é—"') and pretty.endswith("}\n")
     assert values(spark, [pretty], D.pretty) == [pretty]
