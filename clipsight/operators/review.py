@@ -56,19 +56,15 @@ def upsert_labels(store: DataFrame, updates: DataFrame) -> DataFrame:
         updates.groupBy("rel_path")
         .agg(F.max_by(F.struct(*LABEL_COLUMNS), "seq").alias("u"), F.min("seq").alias("first_seq"))
     )
-    kept = lookup_join(store, latest.select("rel_path", "u"), ["rel_path"]).select(
-        "row_no", "rel_path", *[F.when(F.col("u").isNull(), F.col(c)).otherwise(F.col(f"u.{c}")).alias(c) for c in LABEL_COLUMNS]
-    )
-    # One row each: where the appended rows start numbering.
-    known = store.select("rel_path").distinct()
+    # One pass: a stored row without update, with one, or an update without a stored row.
+    met = store.join(latest, "rel_path", "full_outer")
     start = store.agg((F.coalesce(F.max("row_no"), F.lit(-1)) + 1).alias("_start"))
-    fresh = latest.join(known, "rel_path", "left_anti")
-    added = fresh.select(
-        (start.scalar() + F.col("first_seq")).cast("long").alias("row_no"),
+    chosen = lambda c: F.when(F.col("u").isNull(), F.col(c)).otherwise(F.col(f"u.{c}")).alias(c)
+    return met.select(
+        F.coalesce("row_no", (start.scalar() + F.col("first_seq")).cast("long")).alias("row_no"),
         "rel_path",
-        *[F.col(f"u.{c}").alias(c) for c in LABEL_COLUMNS],
+        *[chosen(c) for c in LABEL_COLUMNS],
     )
-    return kept.unionByName(added)
 
 
 def next_previous(queue: DataFrame, folder: str, rows_per_task: int | None = None, large: bool | None = None) -> DataFrame:

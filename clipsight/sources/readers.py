@@ -6,7 +6,7 @@ All of them list and read files on the executors and give the path relative to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -152,8 +152,9 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     """Label store ``(row_no, rel_path, label, heuristic, comment)``: strings, '' for no value.
 
     An absent file is an empty store, absent columns are '', others are dropped.
-    This is the exchange format: one file, read as one split so rows keep their
-    order.  ``writers.write_labels`` / ``current_labels`` keep the store itself.
+    This is the exchange format: a file or a folder of part files, whose rows are
+    numbered in the order of the file names (a file is one split).
+    ``writers.write_labels`` / ``current_labels`` keep the store itself.
     """
     if not _exists(spark, path):
         return empty_labels(spark)
@@ -165,10 +166,16 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
         c = F.col(f"`{header}`")
         return F.when(c.isNull() | c.isin(NULL_TOKENS), F.lit("")).otherwise(c)
 
-    return raw.select(
-        F.monotonically_increasing_id().alias("row_no"),
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().alias("_at"),
         *[value(h).alias(n) for h, n in zip(LABEL_HEADER, LABEL_NAMES)],
     )
+    # One row per file: where its rows begin.
+    files = rows.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(files.select("_file", "_first", before.alias("_before")), "_file")
+    return numbered.select((F.col("_before") + F.col("_at") - F.col("_first")).alias("row_no"), *LABEL_NAMES)
 
 
 def skip_list(spark: SparkSession, path: str, tree: str) -> DataFrame:

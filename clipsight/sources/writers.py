@@ -137,32 +137,50 @@ def write_flag_report(checked: DataFrame, target: str) -> None:
     flag_header(written).coalesce(1).write.mode("overwrite").text(f"{target}/section=0")
 
 
-def write_labels(store: DataFrame, folder: str) -> str:
-    """Write the label store as a new version below ``folder``, then append it to the list of versions.
-
-    The store being read is never overwritten, and the list only grows: readers
-    see the old or the new store, never half of one and never none.
-    """
-    spark, base = store.sparkSession, folder.rstrip("/")
-    version = f"{base}/v-{uuid.uuid4().hex}"
-    store.select("row_no", *readers.LABEL_NAMES).write.parquet(version)
-    last = _latest_version(spark, base)
-    number = 1 if last is None else last["n"] + 1
-    listed = spark.createDataFrame([(number, version)], "n long, path string")
-    listed.coalesce(1).write.mode("append").parquet(f"{base}/versions")
-    return version
+class StoreChanged(RuntimeError):
+    """Someone else wrote the label store since it was read."""
 
 
-def _latest_version(spark: SparkSession, base: str):
-    if not readers._exists(spark, f"{base}/versions"):
-        return None
-    return spark.read.parquet(f"{base}/versions").orderBy(F.desc("n")).first()
+def write_labels(store: DataFrame, folder: str, after: int | None = None) -> int:
+    """Write the label store as the next version below ``folder``; returns its number.
 
-
-def current_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of the label store; empty before the first write."""
-    last = _latest_version(spark, folder.rstrip("/"))
-    return readers.empty_labels(spark) if last is None else spark.read.parquet(last["path"])
+    ``after`` is the version the labels were derived from (``label_version``); by
+    default the newest.  Of two writers that build on the same version the second
+    is refused: the entry of a version is created exclusively, once.  Readers see
+    the old or the new store, never half of one.
+    """
+    spark, base = store.sparkSession, folder.rstrip("/")
+    number = (label_version(spark, base) if after is None else after) + 1
+    name = f"v-{uuid.uuid4().hex}"
+    store.select("row_no", *readers.LABEL_NAMES).write.parquet(f"{base}/{name}")
+    entry = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/versions/{number:012d}")
+    system = entry.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = system.create(entry, False)
+    except Exception as exc:
+        raise StoreChanged(f"version {number} of {base} exists already") from exc
+    out.write(bytearray(name.encode()))
+    out.close()
+    return number
+
+
+def label_version(spark: SparkSession, folder: str) -> int:
+    """Number of the newest version of a label store; 0 before the first write."""
+    versions = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/versions")
+    system = versions.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(versions):
+        return 0
+    return max((int(x.getPath().getName()) for x in system.listStatus(versions)), default=0)
+
+
+def current_labels(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The newest (or the given) version of the label store; empty before the first write."""
+    base = folder.rstrip("/")
+    number = label_version(spark, base) if version is None else version
+    if number == 0:
+        return readers.empty_labels(spark)
+    name = spark.read.text(f"{base}/versions/{number:012d}").first()["value"]
+    return spark.read.parquet(f"{base}/{name}")
 
 
 def export_labels(store: DataFrame, target: str) -> None:

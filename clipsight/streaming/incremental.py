@@ -70,8 +70,9 @@ def apply_label_updates(updates: DataFrame, folder: str, checkpoint: str) -> Str
     present and are overwritten with the same values.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        store = writers.current_labels(batch.sparkSession, folder)
-        writers.write_labels(review.upsert_labels(store, batch), folder)
+        version = writers.label_version(batch.sparkSession, folder)
+        store = writers.current_labels(batch.sparkSession, folder, version)
+        writers.write_labels(review.upsert_labels(store, batch), folder, version)
 
     return (
         updates.select("seq", "rel_path", *[F.col(c) for c in review.LABEL_COLUMNS])

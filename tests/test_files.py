@@ -211,6 +211,25 @@ def test_label_file_and_store(spark, root):
     assert back.columns == readers.LABEL_HEADER and back.count() == 3
 
 
+def test_labels_keep_their_order_over_part_files(spark, root):
+    rows = [(i, f"p{i % 7}.mp4", f"l{i}", "OK", f"c\n{i}") for i in range(2000)]
+    store = spark.createDataFrame(rows, "row_no long, rel_path string, label string, heuristic string, comment string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    writers.export_labels(store, f"{root}/export")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(f"{root}/export") if f.startswith("part-")]) >= 4
+    assert sorted(tuple(r) for r in readers.labels(spark, f"{root}/export").collect()) == rows
+
+
+def test_second_writer_of_a_version_is_refused(spark, root):
+    store = spark.createDataFrame([(0, "a", "V", "OK", "")], "row_no long, rel_path string, label string, heuristic string, comment string")
+    first = writers.write_labels(store, f"{root}/store")
+    writers.write_labels(store, f"{root}/store", after=first)
+    with pytest.raises(writers.StoreChanged):
+        writers.write_labels(store.limit(0), f"{root}/store", after=first)
+    assert writers.current_labels(spark, f"{root}/store").count() == 1 and writers.label_version(spark, f"{root}/store") == first + 1
+
+
 def test_upsert_overwrites_duplicates_in_place(spark):
     store = spark.createDataFrame([(0, "a", "V", "OK", ""), (1, "b", "V", "OK", ""), (2, "a", "I", "OK", "n")],
                                   "row_no long, rel_path string, label string, heuristic string, comment string")
