@@ -8,9 +8,9 @@ bins make buckets.  Documents with equal sets are one node from then on.
 Candidate links are stars: every node asks only the first node of a bucket, first
 the first one over all its buckets, then the remaining ones of buckets that still
 hold several groups.  What stars cannot decide (a bucket whose nodes are still in
-different groups) is compared in blocks of bounded size, by signatures, and only
-pairs whose signatures do not rule out the similarity go on.  Every link is
-confirmed on the full sets, so no false link stays; a true one is missed if all its
+different groups) is compared in blocks of bounded size, inside the tasks: pairs
+that the signatures do not rule out are compared in full, and only the links that
+join groups leave a task.  Every link is confirmed on the full sets, so no false link stays; a true one is missed if all its
 bands differ (at a similarity of exactly 0.75 once in four million).
 
 Defined cases: a null or empty text, or one of white space, has no set and is linked
@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from clipsight.llm.components import components
 from clipsight.llm.fertility import nonzero, window_hashes, word_places
-from clipsight.llm.shared import Rolling, fresh_name, mixed, runs_of, stored, text_views
+from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name, mixed, ragged, runs_of, stored, text_views
 
 #: Words of a shingle, least similarity in percent, bins of a signature and bins of a band.
 SHINGLE, SIMILAR, BINS, ROWS = 5, 75, 160, 4
@@ -169,44 +169,67 @@ def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
     return grouped.join(several.select("bucket"), "bucket")
 
 
+def met(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) between nodes of two blocks, enough to join all that are linked.
+
+    A node looks at the nodes of other groups that its signature does not rule out,
+    the most similar first.  Groups that a link joins are one from then on, so there
+    are fewer links than nodes, and decided pairs are not compared again.
+    """
+    n = len(sizes)
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    signed = (mixed(signatures(owner, hashes, n)) >> np.uint64(32)).astype(np.uint32)
+    group = np.unique(label, return_inverse=True)[1]
+    links = []
+    for i in np.flatnonzero(first).tolist():
+        own = hashes[begin[i] : begin[i + 1]]
+        others = np.flatnonzero(second & (group != group[i]))
+        smaller, larger = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others, smaller = (x[100 * smaller >= SIMILAR * larger] for x in (others, smaller))
+        equal = (signed[others] == signed[i]).sum(axis=1)
+        enough = equal >= BINS * (SIMILAR / 100 - DEVIATIONS * np.sqrt(0.1875 / np.minimum(BINS, smaller)))
+        others = others[enough][np.argsort(-equal[enough], kind="stable")]
+        while len(others):
+            now, others = others[:16], others[16:]
+            counts = begin[now + 1] - begin[now]
+            theirs = hashes[ragged(begin[now], counts)]
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.bincount(np.repeat(np.arange(len(now)), counts), weights=own[at] == theirs, minlength=len(now)).astype(np.int64)
+            for j in now[100 * common >= SIMILAR * (sizes[i] + sizes[now] - common)].tolist():
+                if group[j] != group[i]:
+                    links.append((i, j))
+                    group[group == group[j]] = group[i]
+            others = others[group[others] != group[i]]
+    return links
+
+
 def blockwise(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of nodes of different groups that share a bucket and whose signatures allow the similarity.
+    """Links between nodes of different groups that share a bucket.
 
     A bucket's nodes are dealt into blocks by hash, and each two blocks meet in a task
-    of their own, so a task holds two blocks however large the bucket is.
+    of their own, so a task holds two blocks however large the bucket is; pairs stay
+    in the task, and only links that join groups leave it.
     """
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_views(batch.column(1))
-            for i, j in runs_of(offsets, SLICE):
-                owner, hashes = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sizes = np.bincount(owner, minlength=j - i)
-                signed = (mixed(signatures(owner, hashes, j - i)) >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array([s.tobytes() for s in signed], pa.binary())], names=["node", "size", "signed"]
-                )
+            yield pa.RecordBatch.from_arrays([batch.column(0), compressed(batch.column(1)), pa.compute.binary_length(batch.column(1)).cast(pa.int64())], names=["node", "blob", "bytes"])
 
     def meet(table):
         node, label, block = (table.column(k).to_numpy() for k in ("node", "label", "block"))
-        first, second = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
-        sizes = table.column("size").to_numpy()
-        signed = np.frombuffer(b"".join(table.column("signed").to_pylist()), np.uint32).reshape(-1, BINS)
-        found = []
-        for i in np.flatnonzero(block == first).tolist():
-            others = np.flatnonzero((block == second) & (label != label[i]) & ((node > node[i]) if first == second else True))
-            equal = (signed[others] == signed[i]).sum(axis=1)
-            spread = DEVIATIONS * np.sqrt(0.1875 / np.minimum(BINS, np.minimum(sizes[others], sizes[i])))
-            found += [(min(node[i], x), max(node[i], x)) for x in node[others[equal >= BINS * (SIMILAR / 100 - spread)]].tolist()]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        low, high = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
+        data, offsets = text_views(decompressed(table.column("blob").combine_chunks(), table.column("bytes").combine_chunks()))
+        owner, hashes = shingles(data, offsets)
+        links = met(owner, hashes, np.bincount(owner, minlength=len(node)), label, block == low, block == high)
+        return pa.table({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    signed = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sign, "node long, size long, signed binary")
-    rows = met.join(signed, "node").select("bucket", "low", "high", "block", "node", "label", "size", "signed")
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    small = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(shrink, "node long, blob binary, bytes long")
+    rows = pairs.join(small, "node").select("bucket", "low", "high", "block", "node", "label", "blob", "bytes")
     return rows.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -226,11 +249,9 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
         more = stored(firsts.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         links = stored(links.unionByName(confirmed(more, texts)))
         labels = components(links)
-        ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = stored(undecided(members, labels))
         if not rest.isEmpty():
-            pairs = blockwise(rest, texts).join(ordered(tried.unionByName(more)), ["a", "b"], "left_anti")
-            links = stored(links.unionByName(confirmed(stored(pairs), texts)))
+            links = stored(links.unionByName(blockwise(rest, texts)))
             labels = components(links)
     return labels
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import Rolling, fresh_name, mixed, ragged, runs_of, stored, text_views
+from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name, mixed, ragged, runs_of, stored, text_views
 
 #: Bytes of a repeated string, and of the stretch at an anchor.
 WINDOW, GRAM = 200, 64
@@ -77,18 +77,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def compressed(text: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd", compression_level=3)
-    data, offsets = text_views(text)
-    raw = memoryview(data)
-    return pa.array([codec.compress(raw[a:b], asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
-
-
-def decompressed(blobs: pa.Array, sizes: pa.Array) -> pa.Array:
-    codec = pa.Codec("zstd")
-    return pa.array([codec.decompress(b, s, asbytes=True) if s else b"" for b, s in zip(blobs.to_pylist(), sizes.to_pylist())], pa.binary())
-
-
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = text_views(column)
     for i, j in runs_of(offsets, STRIDE):
