@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsight.functions import paths, text
-from clipsight.operators.skew import lookup_join
+from clipsight.operators.skew import lookup_join, positions
 
 # Prompt file names, preferred one first.
 PROMPT_FILES = ["updated_human_prompt.txt", "prompt.txt"]
@@ -50,6 +50,25 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def in_known_folder(clips: DataFrame, folder: str) -> DataFrame:
+    """``in_folder``, and an error if no clip is below the folder."""
+    return require_rows(in_folder(clips, folder), f"clips below {folder}")
+
+
+def folder_order(clips: DataFrame) -> DataFrame:
+    """``(folder, place)``: distinct folders, numbered from 0 in the order of their names."""
+    return _numbered(clips.select(paths.parent(F.col("rel_path")).alias("folder")).distinct(), "folder")
+
+
+def prompt_order(docs: DataFrame, key: str = "prompt_idx") -> DataFrame:
+    """``(key, place)``: distinct base prompts in the order of their numbers, however they are written."""
+    return _numbered(docs.select(F.col(key).cast("long").alias(key)).distinct(), key)
+
+
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    return positions(rows.withColumn("_all", F.lit(0)), ["_all"], [column], "place").drop("_all")
+
+
 def run_name_collisions(clips: DataFrame) -> DataFrame:
     """Run names shared by several paths (``a/b.mp4`` and ``a__b.mp4``)."""
     return (

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
-from clipsight.functions import text
+from clipsight.functions import paths, text
 
 MATCH, FLAG, NOTE = "MATCH", "FLAG", "NOTE"
+# Fixed value: name of a model output file.
+OUTPUT_FILE = "sample_outputs.json"
 
 # The log line of each case, the numbers in it, and the reasons of a mismatch.
 LINES = {
-    "no_prediction": "FLAG  %s: no prediction output",
+    "no_prediction": "FLAG  %s: no prediction output (%s)",
     "too_short": "FLAG  %s: action too short to derive a sequence",
     "no_sentence": "NOTE  %s: no matching prompt sentence; %s",
     "unclassified": "NOTE  %s: unclassified prompt; %s :: \"%s\"",
@@ -82,14 +84,20 @@ def assign_status(df: DataFrame) -> DataFrame:
     )
 
 
-def status_line() -> Column:
-    """Log line of a clip: tag, path, and the numbers behind the status."""
+def output_path(outputs_root: str = "") -> Column:
+    """Where a clip's model output is expected: in a folder of its run name."""
+    base = outputs_root.rstrip("/") + "/" if outputs_root else ""
+    return F.concat(F.lit(base), paths.run_name(F.col("rel_path")), F.lit(f"/{OUTPUT_FILE}"))
+
+
+def status_line(outputs_root: str = "") -> Column:
+    """Log line of a clip: tag, path, and what is behind the status (numbers, or the missing output's path)."""
     numbers = F.format_string(NUMBERS, *[F.round(c, 1) for c in ("init_v", "start_v", "end_v", "max_abs_h")])
     wanted = F.concat(
         F.coalesce(F.col("exp_speed"), F.lit("-")), F.when(F.col("exp_steer"), F.lit("+steer")).otherwise(F.lit(""))
     )
     parts = {
-        "no_prediction": [],
+        "no_prediction": [output_path(outputs_root)],
         "too_short": [],
         "no_sentence": [numbers],
         "unclassified": [numbers, F.col("sentence")],

@@ -86,12 +86,14 @@ def _facts(m: Column) -> dict[str, Column]:
         return F.coalesce(F.json_array_length(m[field]), F.lit(0)).cast("string")
 
     counted = F.from_json(
-        m["subjects"], "array<struct<number_of_subjects:int,number_of_arms:int,number_of_legs:int>>"
+        m["subjects"], "array<struct<description:string,number_of_subjects:int,number_of_arms:int,number_of_legs:int>>"
     )
+    first = F.from_json(m["subjects"], "array<string>")
     subjects = F.transform(
         counted, lambda x: F.concat_ws("/", x["number_of_subjects"], x["number_of_arms"], x["number_of_legs"])
     )
     size = F.from_json(m["resolution"], "struct<H:int,W:int>")
+    beats = F.from_json(m["segments"], "array<struct<time_range:string>>")
     return {
         "keys": F.array_join(F.sort_array(F.map_keys(m)), ","),
         "lighting_keys": _keys(m["lighting"]),
@@ -105,6 +107,9 @@ def _facts(m: Column) -> dict[str, Column]:
         "n_subjects": count("subjects"),
         "n_signage": count("text_and_signage_elements"),
         "subject_counts": F.array_join(subjects, ","),
+        "subject_identity": F.array_join(F.transform(counted, lambda x: F.coalesce(x["description"], F.lit(""))), "|"),
+        "subject_keys": F.array_join(F.transform(first, _keys), "|"),
+        "segment_times": F.array_join(F.transform(beats, lambda x: F.coalesce(x["time_range"], F.lit(""))), ","),
     }
 
 
@@ -114,26 +119,52 @@ def _with_facts(docs: DataFrame, keep: Sequence[str], prefix: str) -> tuple[Data
     return opened.select(*keep, *[value.alias(prefix + rule) for rule, value in facts.items()]), list(facts)
 
 
+def _compared(variants: DataFrame, base: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Facts of every variant next to those of its base; only the short fact strings are joined."""
+    want, rules = _with_facts(base, ["prompt_idx"], "want_")
+    got, _ = _with_facts(variants, ["file", "prompt_idx"], "got_")
+    return lookup_join(got, want, ["prompt_idx"]), rules
+
+
+def _holds(rule: str) -> Column:
+    return F.col(f"got_{rule}").eqNullSafe(F.col(f"want_{rule}"))
+
+
 def invariant_sweep(variants: DataFrame, base: DataFrame) -> DataFrame:
     """``(file, rule, ok, got, want)`` for every variant and every invariant.
 
-    Both sides have ``prompt_idx`` and ``json``; variants also ``file``.  Only
-    the short fact strings are joined, not the documents.
+    Both sides have ``prompt_idx`` and ``json``; variants also ``file``.
     """
-    want, rules = _with_facts(base, ["prompt_idx"], "want_")
-    got, _ = _with_facts(variants, ["file", "prompt_idx"], "got_")
-    compared = F.array(
+    joined, rules = _compared(variants, base)
+    rows = F.array(
         *[
-            F.struct(
-                F.lit(rule).alias("rule"),
-                F.col(f"got_{rule}").eqNullSafe(F.col(f"want_{rule}")).alias("ok"),
-                F.col(f"got_{rule}").alias("got"),
-                F.col(f"want_{rule}").alias("want"),
-            )
-            for rule in rules
+            F.struct(F.lit(r).alias("rule"), _holds(r).alias("ok"), F.col(f"got_{r}").alias("got"), F.col(f"want_{r}").alias("want"))
+            for r in rules
         ]
     )
-    return lookup_join(got, want, ["prompt_idx"]).select("file", F.inline(compared))
+    return joined.select("file", F.inline(rows))
+
+
+def invariant_totals(variants: DataFrame, base: DataFrame) -> DataFrame:
+    """``(rule, n_ok, n_broken)``, counted in one pass: no row per variant and rule is made."""
+    joined, rules = _compared(variants, base)
+    counted = joined.agg(*[F.count_if(_holds(r)).alias(f"ok_{r}") for r in rules], *[F.count_if(~_holds(r)).alias(f"no_{r}") for r in rules])
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"ok_{r}").alias("n_ok"), F.col(f"no_{r}").alias("n_broken")) for r in rules])
+    return counted.select(F.inline(rows))
+
+
+def marker_table_checks(docs: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """``(key, rule, hits, ok)`` by a table of rules ``(prompt_idx, rule, field, pattern, least, most)``.
+
+    ``docs`` has ``key``, ``prompt_idx`` and the columns that ``field`` names; a
+    rule counts in the documents of its base prompt, and a missing field has no
+    hits.  A base prompt has few rules, so their table is the looked-up side.
+    """
+    fields = [c for c in docs.columns if c not in (key, "prompt_idx")]
+    texts = F.create_map(*[x for c in fields for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    held = lookup_join(docs.select(key, "prompt_idx", texts.alias("_texts")), rules, ["prompt_idx"], "inner")
+    counted = held.withColumn("hits", F.regexp_count(F.coalesce(F.try_element_at("_texts", F.col("field")), F.lit("")), F.col("pattern")).cast("long"))
+    return counted.select(key, "rule", "hits", F.col("hits").between(F.col("least"), F.col("most")).alias("ok"))
 
 
 def marker_checks(docs: DataFrame, key: str, column: str, rules: Sequence[tuple[str, str, int, int]]) -> DataFrame:

@@ -196,10 +196,12 @@ FROM {customer}
 
 VARIANT_DOCUMENTS = """
 SELECT 'prompt_' || CAST(o_custkey AS STRING) || '_' || CAST(o_orderkey AS STRING) AS file, o_custkey AS prompt_idx,
-       '{{"subjects":[{{"description":"re-skinned","number_of_subjects":1,"number_of_arms":0,"number_of_legs":' ||
-       CASE o_orderstatus WHEN 'P' THEN '2' ELSE '4' END || '}}],' ||
+       '{{"subjects":[' || CASE o_orderkey % 7 WHEN 0 THEN '' ELSE '{{"description":"' ||
+       CASE o_orderkey % 3 WHEN 0 THEN 're-skinned' ELSE 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') END ||
+       '","number_of_subjects":1,"number_of_arms":0,"number_of_legs":' || CASE o_orderstatus WHEN 'P' THEN '2' ELSE '4' END || '}}' END ||
+       CASE o_orderkey % 7 WHEN 1 THEN ',{{"description":"b","pose":"c"}},{{}}' ELSE '' END || '],' ||
        '"lighting":{{"conditions":"rain","shadows":"none"}},"aesthetics":{{"patterns":"wet"}},' ||
-       '"actions":[],"segments":[{{"time_range":"0:00-0:05"}}],"duration":"' ||
+       '"actions":[],"segments":[{{"time_range":"0:00-0:0' || CASE o_orderstatus WHEN 'F' THEN '4' ELSE '5' END || '"}}],"duration":"' ||
        CASE o_orderpriority WHEN '5-LOW' THEN '8s' ELSE '5s' END || '","fps":' ||
        CASE o_orderstatus WHEN 'F' THEN '25' ELSE '24' END || ',' ||
        '"resolution":{{"H":720,"W":1280}},"aspect_ratio":"16,9"' ||

@@ -270,3 +270,33 @@ SELECT event_id, store, encoded, event_type || '/' || CASE WHEN event_id % 3 = 0
 FROM events, (VALUES ('file'), ('hdfs'), ('s3a')) s(store), (VALUES (true), (false)) e(encoded)
 """,
 )
+
+register(
+    "folder_order",
+    lambda t: catalog.folder_order(t.derive(I.CLIP_PATHS)),
+    with_inputs(
+        f"SELECT folder, row_number() OVER (ORDER BY folder) - 1 AS place FROM (SELECT DISTINCT {FOLDER} AS folder FROM clips)",
+        clips=I.CLIP_PATHS,
+    ),
+)
+register(
+    "prompt_order",
+    lambda t: catalog.prompt_order(t.derive("SELECT CAST(c_custkey AS STRING) AS prompt_idx FROM {customer}")),
+    "SELECT c_custkey AS prompt_idx, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer",
+)
+register(
+    "run_manifest",
+    lambda t: writers.run_manifest(
+        t.derive(I.CLIP_PATHS).withColumn("n", F.when(F.length("rel_path") % 3 != 0, F.length("rel_path"))), "/runs", "flags.txt"
+    ),
+    with_inputs(
+        """
+WITH listed AS (
+  SELECT replace(rel_path, '.mp4', s) AS path_in_repo
+  FROM clips, (SELECT unnest(['.txt', '_10fps.txt']) AS s) WHERE length(rel_path) % 3 <> 0
+  UNION ALL SELECT 'flags.txt')
+SELECT '/runs/' || path_in_repo AS local_path, path_in_repo FROM listed
+""",
+        clips=I.CLIP_PATHS,
+    ),
+)

@@ -77,11 +77,6 @@ FROM base b CROSS JOIN matrix m LEFT JOIN overrides o ON o.prompt_idx = b.prompt
 )
 
 
-def sweep(t: Tables):
-    rows = corpus.invariant_sweep(t.derive(I.VARIANT_DOCUMENTS), t.derive(I.BASE_DOCUMENTS))
-    return rows.groupBy("rule").agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_broken"))
-
-
 FACT_RULES = {
     "keys": "array_to_string(list_sort(json_keys({j})), ',')",
     "lighting_keys": "array_to_string(list_sort(json_keys({j}, '$.lighting')), ',')",
@@ -94,9 +89,15 @@ FACT_RULES = {
     "n_actions": "CAST(json_array_length({j}, '$.actions') AS VARCHAR)",
     "n_subjects": "CAST(json_array_length({j}, '$.subjects') AS VARCHAR)",
     "n_signage": "CAST(coalesce(json_array_length({j}, '$.text_and_signage_elements'), 0) AS VARCHAR)",
-    "subject_counts": "json_extract_string({j}, '$.subjects[0].number_of_subjects') || '/' || "
-                      "json_extract_string({j}, '$.subjects[0].number_of_arms') || '/' || "
-                      "json_extract_string({j}, '$.subjects[0].number_of_legs')",
+    "subject_counts": "array_to_string(list_transform(range(0, CAST(json_array_length({j}, '$.subjects') AS INT)), lambda i: concat_ws('/', "
+                      "json_extract_string({j}, '$.subjects[' || i || '].number_of_subjects'), "
+                      "json_extract_string({j}, '$.subjects[' || i || '].number_of_arms'), "
+                      "json_extract_string({j}, '$.subjects[' || i || '].number_of_legs'))), ',')",
+    "subject_identity": "array_to_string(list_transform(range(0, CAST(json_array_length({j}, '$.subjects') AS INT)), lambda i: "
+                        "coalesce(json_extract_string({j}, '$.subjects[' || i || '].description'), '')), '|')",
+    "subject_keys": "array_to_string(list_transform(range(0, CAST(json_array_length({j}, '$.subjects') AS INT)), lambda i: "
+                    "array_to_string(list_sort(json_keys(json_extract({j}, '$.subjects[' || i || ']'))), ',')), '|')",
+    "segment_times": "array_to_string(json_extract_string({j}, '$.segments[*].time_range'), ',')",
 }
 SWEEP_SQL = "\nUNION ALL\n".join(
     f"""SELECT '{rule}' AS rule,
@@ -105,7 +106,42 @@ SWEEP_SQL = "\nUNION ALL\n".join(
 FROM variants v LEFT JOIN bases b ON v.prompt_idx = b.prompt_idx"""
     for rule, fact in FACT_RULES.items()
 )
-register("invariant_sweep", sweep, with_inputs(SWEEP_SQL, variants=I.VARIANT_DOCUMENTS, bases=I.BASE_DOCUMENTS))
+register("invariant_sweep", lambda t: corpus.invariant_totals(t.derive(I.VARIANT_DOCUMENTS), t.derive(I.BASE_DOCUMENTS)), with_inputs(SWEEP_SQL, variants=I.VARIANT_DOCUMENTS, bases=I.BASE_DOCUMENTS))
+
+DETAIL_SQL = "\nUNION ALL\n".join(
+    f"""SELECT v.file, '{rule}' AS rule, {fact.format(j='v.json')} IS NOT DISTINCT FROM {fact.format(j='b.json')} AS ok,
+       {fact.format(j='v.json')} AS got, {fact.format(j='b.json')} AS want FROM variants v LEFT JOIN bases b ON v.prompt_idx = b.prompt_idx"""
+    for rule, fact in FACT_RULES.items()
+)
+register(
+    "invariant_details",
+    lambda t: corpus.invariant_sweep(t.derive(I.VARIANT_DOCUMENTS), t.derive(I.BASE_DOCUMENTS)),
+    with_inputs(DETAIL_SQL, variants=I.VARIANT_DOCUMENTS, bases=I.BASE_DOCUMENTS),
+)
+
+# Rules of a base prompt: how often a pattern may occur in a field.
+MARKER_RULES = """
+SELECT p_partkey AS prompt_idx, 'colour' AS rule, 'text' AS field, split_part(p_type, ' ', 3) AS pattern, 0 AS least, 0 AS most FROM {part}
+UNION ALL SELECT p_partkey, 'sentences', 'text', '[.!?]', CAST(p_size AS INT), 1000000 FROM {part} WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'language', 'lang', 'en', 1, 1 FROM {part} WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 'absent', 'no_field', 'x', 1, 2 FROM {part} WHERE p_partkey % 50 = 0
+"""
+MARKED_DOCUMENTS = "SELECT doc_id, doc_id % 150 AS prompt_idx, text, lang FROM {documents}"
+register(
+    "marker_table",
+    lambda t: corpus.marker_table_checks(t.derive(MARKED_DOCUMENTS), t.derive(MARKER_RULES), "doc_id"),
+    with_inputs(
+        """
+WITH counted AS (
+  SELECT d.doc_id, r.rule, r.least, r.most, len(regexp_extract_all(
+    CASE r.field WHEN 'text' THEN d.text WHEN 'lang' THEN d.lang ELSE '' END, r.pattern)) AS hits
+  FROM docs d JOIN rules r ON d.prompt_idx = r.prompt_idx)
+SELECT doc_id, rule, hits, hits BETWEEN least AND most AS ok FROM counted
+""",
+        docs=MARKED_DOCUMENTS,
+        rules=MARKER_RULES,
+    ),
+)
 
 # (rule, pattern, least hits, most hits)
 MARKERS = [

@@ -232,7 +232,7 @@ WITH worded AS (
          CASE WHEN NOT steer_ok THEN printf('expected steering, max|heading|=%.1fdeg', round(max_abs_h, 1)) END AS r2
   FROM kinds)
 SELECT rel_path, kind AS "case",
-       CASE kind WHEN 'no_prediction' THEN 'FLAG  ' || rel_path || ': no prediction output'
+       CASE kind WHEN 'no_prediction' THEN 'FLAG  ' || rel_path || ': no prediction output (clip_' || CAST(clip AS VARCHAR) || '/sample_outputs.json)'
                  WHEN 'no_sentence' THEN 'NOTE  ' || rel_path || ': no matching prompt sentence; ' || numbers
                  WHEN 'unclassified' THEN 'NOTE  ' || rel_path || ': unclassified prompt; ' || numbers || ' :: ' || quoted
                  WHEN 'matched' THEN 'MATCH ' || rel_path || ': expected=' || wanted || ' ' || numbers

@@ -100,14 +100,27 @@ def write_files(rows: DataFrame, root: str, path: str = "out_path", value: str =
 
 
 def upload_manifest(clips: DataFrame, root: str) -> DataFrame:
-    """``(local_path, path_in_repo)`` for both trajectory files of every clip."""
+    """``(local_path, path_in_repo)`` for both trajectory files of every clip handed in."""
     rel = F.col("rel_path")
     out = F.explode(
         F.array(*[paths.trajectory_path(rel, F.lit(m)) for m in ("downsampled", paths.FULL_RATE_MODE)])
     )
-    return clips.select(out.alias("path_in_repo")).select(
-        F.concat(F.lit(root.rstrip("/") + "/"), F.col("path_in_repo")).alias("local_path"), "path_in_repo"
-    )
+    return _mirrored(clips.select(out.alias("path_in_repo")), root)
+
+
+def _mirrored(files: DataFrame, root: str) -> DataFrame:
+    return files.select(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path_in_repo")).alias("local_path"), "path_in_repo")
+
+
+def run_manifest(checked: DataFrame, root: str, summary: str) -> DataFrame:
+    """Manifest of a checked run: both files of the clips that have a series, and the flag summary."""
+    flags = checked.sparkSession.createDataFrame([(summary,)], "path_in_repo string")
+    return upload_manifest(checked.filter("n >= 1"), root).unionByName(_mirrored(flags, root))
+
+
+def rendered_manifest(clips: DataFrame, root: str) -> DataFrame:
+    """Manifest of rendered clips themselves."""
+    return _mirrored(clips.select(F.col("rel_path").alias("path_in_repo")), root)
 
 
 def flag_lines(checked: DataFrame) -> DataFrame:
