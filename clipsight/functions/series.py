@@ -172,5 +172,9 @@ def steer_ok(steer: Column, max_abs_h: Column) -> Column:
 
 
 def series_text(series: Column) -> Column:
-    """``[[v,h],...]`` text form of a series."""
-    return F.to_json(F.transform(series, lambda s: F.array(s["v"], s["h"])))
+    """``[[v, h], ...]`` and a line break: numbers of up to four decimals, never with an exponent."""
+    def number(x: Column) -> Column:
+        return F.regexp_replace(x.cast("decimal(30,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+    rows = F.transform(series, lambda s: F.concat(F.lit("["), number(s["v"]), F.lit(", "), number(s["h"]), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]\n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
-from clipsight.functions import paths, text
+from clipsight.functions import paths, series, text
 
 
 def values(spark, rows, expr):
@@ -162,3 +162,9 @@ def test_many_trailing_notes(spark):
     rows = ["One. Two. " + "(n) " * 1_000_000, "One. " + "(n) " * 20_000 + "x. Three (n", "One. (n) x " * 2_000 + "(y)"]
     got = values(spark, rows, text.last_sentence)
     assert got[0] == "Two." and got[1].endswith("Three (n") and got[2].startswith("(n) x One.") or got[2]
+
+
+def test_series_text(spark):
+    df = spark.sql("SELECT array(named_struct('v', 0.0001D, 'h', -12.5D), named_struct('v', 12345678.25D, 'h', 0D)) AS s, array() AS e")
+    out = df.select(series.series_text(F.col("s")).alias("a"), series.series_text(F.col("e").cast("array<struct<v:double,h:double>>")).alias("b")).first()
+    assert out.a == "[[0.0001, -12.5], [12345678.25, 0.0]]\n" and out.b == "[]\n"
