@@ -33,16 +33,8 @@ def speed_heading(
         "pz",
         S.yaw(F.col("fx"), F.col("fz")).alias("yaw"),
     )
-    # A plain comparison on the stored column: row-group statistics answer it.
-    if poses.filter(F.col("k") >= rows_per_task * stride).isEmpty():
-        order = Window.partitionBy(key).orderBy("i")
-        steps = frames.withColumns(_step_columns(order)).withColumns(
-            {
-                "turns": F.sum("turn_in").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-                "yaw0": F.first("yaw").over(order),
-            }
-        )
-        return _samples(steps, key, hz)
+    if _all_short(poses, rows_per_task * stride):
+        return _samples(_in_one_window(frames, key), [key], S.d(hz))
 
     block = F.floor(F.col("i") / rows_per_task)
     halo = frames.withColumn(
@@ -78,7 +70,22 @@ def speed_heading(
         .join(carry, [key, "_b"])
         .withColumn("turns", F.col("turns") + F.col("turns_before"))
     )
-    return _samples(joined, key, hz)
+    return _samples(joined, [key], S.d(hz))
+
+
+def _all_short(poses: DataFrame, limit: int) -> bool:
+    """A plain comparison on the stored column: row-group statistics answer it."""
+    return poses.filter(F.col("k") >= limit).isEmpty()
+
+
+def _in_one_window(frames: DataFrame, *keys: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("i")
+    return frames.withColumns(_step_columns(order)).withColumns(
+        {
+            "turns": F.sum("turn_in").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "yaw0": F.first("yaw").over(order),
+        }
+    )
 
 
 def _step_columns(order) -> dict[str, Column]:
@@ -89,12 +96,12 @@ def _step_columns(order) -> dict[str, Column]:
     }
 
 
-def _samples(steps: DataFrame, key: str, hz: float) -> DataFrame:
+def _samples(steps: DataFrame, keys: list[str], hz: Column) -> DataFrame:
     """The last pose starts no step and yields no sample."""
     return steps.filter("dist is not null").select(
-        key,
+        *keys,
         "i",
-        F.round(S.mph(F.col("dist"), S.d(hz)), 4).alias("v"),
+        F.round(S.mph(F.col("dist"), hz), 4).alias("v"),
         F.round(F.degrees(F.col("yaw") - F.col("yaw0")) + F.col("turns") * S.d(360), 4).alias("h"),
     )
 
@@ -102,12 +109,21 @@ def _samples(steps: DataFrame, key: str, hz: float) -> DataFrame:
 def both_rates(poses: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Native and down-sampled series in one table, told apart by ``hz``.
 
-    The slower series is derived from strided poses, not from the faster one.
+    The slower series is derived from strided poses, not from the faster one.  A
+    pose that both use is handed to both, so one scan and one shuffle serve them.
     """
     stride = max(1, round(NATIVE_HZ / TARGET_HZ))
-    native = speed_heading(poses, key, NATIVE_HZ, 1, rows_per_task).withColumn("hz", F.lit(NATIVE_HZ))
-    slow = speed_heading(poses, key, TARGET_HZ, stride, rows_per_task).withColumn("hz", F.lit(TARGET_HZ))
-    return native.unionByName(slow)
+    if not _all_short(poses, task_rows(poses, rows_per_task)):
+        native = speed_heading(poses, key, NATIVE_HZ, 1, rows_per_task).withColumn("hz", F.lit(NATIVE_HZ))
+        slow = speed_heading(poses, key, TARGET_HZ, stride, rows_per_task).withColumn("hz", F.lit(TARGET_HZ))
+        return native.unionByName(slow)
+    k = F.col("k").cast("long")
+    native = F.struct(F.lit(NATIVE_HZ).alias("hz"), k.alias("i"))
+    slow = F.struct(F.lit(TARGET_HZ).alias("hz"), (k / stride).cast("long").alias("i"))
+    uses = F.when(k % stride == 0, F.array(native, slow)).otherwise(F.array(native))
+    frames = poses.select(key, F.inline(uses), "px", "pz", S.yaw(F.col("fx"), F.col("fz")).alias("yaw"))
+    samples = _samples(_in_one_window(frames, key, "hz"), [key, "hz"], F.col("hz").cast("double"))
+    return samples.select(key, "i", "v", "h", "hz")
 
 
 def start_speed(poses: DataFrame, key: str, hz: float = NATIVE_HZ) -> DataFrame:

@@ -25,7 +25,7 @@ def motion_check(clips: DataFrame, actions: DataFrame, prompt_lines: DataFrame,
     moved = kinematics.with_series(
         kinematics.poses_from_actions(actions, frame=frame).drop("action")
     ).withColumn("has_prediction", F.lit(True))
-    named = clips.withColumn("name", paths.run_name(F.col("rel_path")))
+    named = catalog.require_rows(clips, "clips").withColumn("name", paths.run_name(F.col("rel_path")))
     joined = named.join(moved, "name", "left").withColumn("has_prediction", F.coalesce("has_prediction", F.lit(False)))
     told = catalog.with_prompt_sentence(joined, prompt_lines)
     summary = told.withColumn("m", series.series_summary(F.col("series_10hz")))
@@ -61,7 +61,7 @@ def evaluate_model(
     clip without one becomes an error row.  Feed the result to
     ``evaluate.metrics`` / ``evaluate.report``.
     """
-    rows = catalog.labelled(clips)
+    rows = catalog.require_rows(catalog.labelled(clips), "labelled clips")
     if sidecars is not None:
         rows = rows.join(sidecars.select("rel_path", "action_text"), "rel_path", "left")
     else:
@@ -109,7 +109,7 @@ def review_queue(
 
 def prepare_prompts(prompts: DataFrame, fn: Callable[[str], str], **options) -> DataFrame:
     """Prompt lines ``(index, prompt)`` -> generated documents, unwrapped and compacted, errors kept."""
-    made = batch.enrich(prompts, "index", "prompt", fn, **options)
+    made = batch.enrich(catalog.require_rows(prompts, "prompts"), "index", "prompt", fn, **options)
     docs = corpus.unwrapped(made.withColumnRenamed("error", "call_error"), "output")
     return docs.select(
         "index",
