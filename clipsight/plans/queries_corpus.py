@@ -194,9 +194,11 @@ register(
     ),
     with_inputs(
         """
-SELECT file, 0 AS part_no, json_extract_string(json, '$.subjects[0].description') AS description,
-       CAST(json_extract_string(json, '$.subjects[0].number_of_legs') AS INT) AS number_of_legs
-FROM variants
+WITH counted AS (SELECT *, CAST(json_array_length(json, '$.subjects') AS INT) AS n FROM variants),
+parts AS (SELECT file, json, unnest(range(0, n)) AS i FROM counted UNION ALL SELECT file, json, NULL FROM counted WHERE n = 0)
+SELECT file, i AS part_no, json_extract_string(json, '$.subjects[' || i || '].description') AS description,
+       CAST(json_extract_string(json, '$.subjects[' || i || '].number_of_legs') AS INT) AS number_of_legs
+FROM parts
 """,
         variants=I.VARIANT_DOCUMENTS,
     ),
