@@ -36,8 +36,8 @@ from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name,
 
 #: Words of a shingle, least similarity in percent, bins of a signature and bins of a band.
 SHINGLE, SIMILAR, BINS, ROWS = 5, 75, 160, 4
-#: Texts handled at once (bytes); nodes of a block when a bucket is compared in blocks.
-SLICE, BLOCK = 1 << 20, 256
+#: Texts handled at once (bytes); nodes and bytes of a block when a bucket is compared in blocks.
+SLICE, BLOCK, BLOCK_BYTES = 1 << 20, 512, 8 << 20
 #: Signatures rule a pair out when they lie this many standard deviations below the similarity.
 DEVIATIONS = 6.0
 
@@ -223,8 +223,9 @@ def blockwise(members: DataFrame, texts: DataFrame) -> DataFrame:
         links = met(owner, hashes, np.bincount(owner, minlength=len(node)), label, block == low, block == high)
         return pa.table({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    weighed = members.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    sizes = weighed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all_bytes") / BLOCK_BYTES)).cast("int")
     placed = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
