@@ -1,7 +1,7 @@
 """Search, packing, archives, the registered queries and the pipeline."""
 
-import hashlib
 import base64
+import hashlib
 import os
 import zlib
 from collections import defaultdict
@@ -47,8 +47,8 @@ def test_products_stay_exact_beyond_doubles():
 
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_obeys_every_limit(rule):
-    sizes = np.sort(np.random.default_rng(1).integers(1, 100, 400))[::-1]
     room = bestfit_packing.Room(tokens=120, documents=3, attention=9000)
+    sizes = np.sort(np.random.default_rng(1).integers(1, room.longest() + 1, 400))[::-1]
     where, offset = bestfit_packing.best_fit(sizes, room, rule)
     for s in np.unique(where):
         mine = np.flatnonzero(where == s)
