@@ -33,7 +33,7 @@ from clipsight.llm.shared import mixed, runs_of, text_views
 from clipsight.llm.wordbpe import SLICE, encoder
 
 #: Tokens counted in dense pair tables; tokens and documents of a block; text bytes whose bigrams one task counts.
-FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 1_500_000, 60_000, 12 << 20
+FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 500_000, 60_000, 8 << 20
 DISCOUNT, LEAST = 0.4, 2
 UNIT = 1e6
 

@@ -37,7 +37,7 @@ from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name,
 #: Words of a shingle, least similarity in percent, bins of a signature and bins of a band.
 SHINGLE, SIMILAR, BINS, ROWS = 5, 75, 160, 4
 #: Texts handled at once (bytes); nodes and bytes of a block when a bucket is compared in blocks.
-SLICE, BLOCK, BLOCK_BYTES = 1 << 20, 512, 8 << 20
+SLICE, BLOCK, BLOCK_BYTES = 1 << 19, 512, 4 << 20
 #: Signatures rule a pair out when they lie this many standard deviations below the similarity.
 DEVIATIONS = 6.0
 

@@ -115,7 +115,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     out = np.ones(total, np.int64)
     full = counts > 0
-    starts, counts = starts[full], counts[full]
+    starts, counts = starts[full].astype(np.int64), counts[full].astype(np.int64)
     if not len(starts):
         return out[:0]
     at = np.cumsum(counts) - counts

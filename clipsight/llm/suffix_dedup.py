@@ -39,7 +39,7 @@ from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name,
 #: Bytes of a repeated string, and of the stretch at an anchor.
 WINDOW, GRAM = 200, 64
 #: Window starts handled at once; zone bytes sorted at once; anchors of one stretch in one group.
-STRIDE, SORTED, GROUP = 1 << 20, 8 << 20, 50_000
+STRIDE, SORTED, GROUP = 1 << 19, 4 << 20, 50_000
 #: Windows that an anchor can have, and bytes of their bitmap.
 SPAN = WINDOW - GRAM + 1
 BITMAP = -(-SPAN // 8)

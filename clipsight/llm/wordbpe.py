@@ -22,7 +22,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters below this never combine with a neighbour, so they fold one by one.
 PLAIN = 0x300
 #: Words the table remembers before it starts anew; characters handled at once.
-REMEMBERED, SLICE = 1_500_000, 1 << 20
+REMEMBERED, SLICE = 400_000, 1 << 19
 APOSTROPHE = ord("'")
 #: What may follow an apostrophe that begins a word.
 AFTER_ONE, AFTER_TWO = "stmd", ("re", "ve", "ll")
@@ -37,7 +37,7 @@ class WordTable:
     def clear(self, bits: int = 16) -> None:
         self.shift = np.uint64(64 - bits)
         self.mask = (1 << bits) - 1
-        self.keys, self.values, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
+        self.keys, self.values, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words, -1 for unknown ones."""
@@ -84,7 +84,7 @@ class Memory:
 
     def __init__(self):
         self.table, self.pool = WordTable(), np.zeros(1 << 16, np.int32)
-        self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.counts = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.words = self.used = 0
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
