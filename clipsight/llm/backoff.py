@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import mixed, runs_of, text_views
-from clipsight.llm.wordbpe import SLICE, encoder
+from clipsight.llm.shared import mixed, releasing, runs_of, text_views
+from clipsight.llm.wordbpe import SLICE, encoder, forget_words
 
 #: Tokens counted in dense pair tables; tokens and documents of a block; text bytes whose bigrams one task counts.
 FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 500_000, 60_000, 8 << 20
@@ -96,7 +96,7 @@ def unigrams(rows: DataFrame, tokenizer: str) -> Unigrams:
         some = np.flatnonzero(count)
         yield summed({"token": some.astype(np.int32), "n": count[some], "follows": follows[some]})
 
-    found = rows.mapInArrow(run, "token int, n long, follows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("follows").alias("follows"))
+    found = rows.mapInArrow(releasing(run, forget_words), "token int, n long, follows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("follows").alias("follows"))
     return Unigrams([tuple(r) for r in found.collect()], size)  # at most a row per token of the vocabulary
 
 
@@ -115,7 +115,7 @@ def frequent_pairs(rows: DataFrame, tokenizer: str, single: Unigrams) -> np.ndar
         yield summed({"pair": some.astype(np.int32), "n": count[some]})
 
     out = np.zeros(n * n, np.int64)
-    for pair, count in rows.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for pair, count in rows.mapInArrow(releasing(run, forget_words), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[pair] = count
     return out.reshape(n, n)
 
@@ -188,7 +188,7 @@ def packed_bigrams(rows: DataFrame, tokenizer: str, single: Unigrams, dense: np.
         if names:
             yield from flush(number, names, ids, lengths)
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(releasing(run, forget_words), PACKED)
 
 
 def scores(docs: DataFrame, tokenizer: str, discount: float = DISCOUNT, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import runs_of, stored, text_views
-from clipsight.llm.wordbpe import SLICE, encoder
+from clipsight.llm.shared import releasing, runs_of, stored, text_views
+from clipsight.llm.wordbpe import SLICE, encoder, forget_words
 
 #: Pieces packed together in one task.
 GROUP = 16_000
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = 2048
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(releasing(run, forget_words), PIECES)
 
 
 def best_fit(lengths: np.ndarray, room: Room, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

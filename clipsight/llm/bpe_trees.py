@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import runs_of, stored, text_views
-from clipsight.llm.wordbpe import SLICE, WordEncoder, encoder
+from clipsight.llm.shared import releasing, runs_of, stored, text_views
+from clipsight.llm.wordbpe import SLICE, WordEncoder, encoder, forget_words
 
 #: Characters of a part that is encoded in one go; words and ids in the first window; bytes of a long word.
 LEAF, WINDOW, LONG_WORD = 1 << 15, 4, 256
@@ -197,7 +197,7 @@ def texts_and_leaves(docs: DataFrame, tokenizer: str, leaf: int = LEAF, id_colum
                 yield batch_of(rows, FIRST)
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return chosen.withColumn("mark", F.xxhash64("text")).mapInArrow(run, FIRST)
+    return chosen.withColumn("mark", F.xxhash64("text")).mapInArrow(releasing(run, forget_words), FIRST)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -226,7 +226,7 @@ def encode_leaves(leaves: DataFrame, tokenizer: str) -> DataFrame:
 
     n = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = leaves.select("doc_id", "mark", "segment", "part", "parts", "special", "piece")
-    return rows.repartition(n, "mark", "segment", "part").mapInArrow(run, CODED)
+    return rows.repartition(n, "mark", "segment", "part").mapInArrow(releasing(run, forget_words), CODED)
 
 
 def join_leaves(coded: DataFrame, tokenizer: str) -> DataFrame:

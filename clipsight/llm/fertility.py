@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import BLANKS, Rolling, mixed, ragged, runs_of, text_views
+from clipsight.llm.shared import BLANKS, Rolling, mixed, ragged, releasing, runs_of, text_views
 from clipsight.llm.wordbpe import REMEMBERED, SLICE, Memory
 
 #: Symbols counted, words of a window, least words, greatest share of repeated words in percent.
@@ -98,6 +98,11 @@ def piece_words(path: str) -> PieceWords:
     return _KNOWN[path]
 
 
+def forget_words() -> None:
+    """Drop vocabularies and the words met with them; a model is loaded again in a moment."""
+    _KNOWN.clear()
+
+
 def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of every word and the byte behind it; no word runs over the end of a text."""
     n = len(data)
@@ -221,7 +226,7 @@ def measure(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band] =
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(kept)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(releasing(run, forget_words), SCHEMA)
 
 
 def kept_rows(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band] = BANDS, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -237,4 +242,4 @@ def kept_rows(docs: DataFrame, vocabulary: str, bands: Mapping[str | None, Band]
                 _, _, kept = verdicts(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], languages[i:j], bands)
                 yield batch.slice(i, j - i).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run, forget_words), docs.schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +72,18 @@ def runs_of(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def releasing(run: Callable[[Iterator], Iterator], release: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives up what it has remembered when the task ends: workers live on."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1

@@ -297,3 +297,9 @@ def encoder(path: str) -> WordEncoder:
     if path not in _KNOWN:
         _KNOWN[path] = WordEncoder(path)
     return _KNOWN[path]
+
+
+def forget_words() -> None:
+    """Drop the words that this process has met; the models stay."""
+    for coder in _KNOWN.values():
+        coder.memory.forget()
