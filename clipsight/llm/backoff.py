@@ -33,7 +33,7 @@ from clipsight.llm.shared import mixed, releasing, runs_of, text_views
 from clipsight.llm.wordbpe import SLICE, encoder, forget_words
 
 #: Tokens counted in dense pair tables; tokens and documents of a block; text bytes whose bigrams one task counts.
-FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 500_000, 60_000, 8 << 20
+FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 250_000, 60_000, 8 << 20
 DISCOUNT, LEAST = 0.4, 2
 UNIT = 1e6
 
@@ -181,7 +181,7 @@ def packed_bigrams(rows: DataFrame, tokenizer: str, single: Unigrams, dense: np.
                 if names and (tokens + at[j] - at[i] > BLOCK_TOKENS or docs + j - i > BLOCK_DOCS):
                     yield from flush(number, names, ids, lengths)
                     names, ids, lengths, tokens, docs, number = [], [], [], 0, 0, number + 1
-                names.append(some.slice(i, j - i))
+                names.append(some.take(pa.array(np.arange(i, j))))  # a slice would keep the whole batch
                 ids.append(found[at[i] : at[j]])
                 lengths.append(np.diff(at[i : j + 1]))
                 tokens, docs = tokens + int(at[j] - at[i]), docs + j - i

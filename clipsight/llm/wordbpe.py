@@ -11,6 +11,7 @@ a whole first.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -22,7 +23,7 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters below this never combine with a neighbour, so they fold one by one.
 PLAIN = 0x300
 #: Words the table remembers before it starts anew; characters handled at once.
-REMEMBERED, SLICE = 400_000, 1 << 19
+REMEMBERED, SLICE = 200_000, 1 << 18
 APOSTROPHE = ord("'")
 #: What may follow an apostrophe that begins a word.
 AFTER_ONE, AFTER_TWO = "stmd", ("re", "ve", "ll")
@@ -125,6 +126,8 @@ class WordHash:
 
 class WordEncoder:
     def __init__(self, path: str):
+        # A task has one core; threads of the library would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         whole = Tokenizer.from_file(path)
@@ -135,8 +138,8 @@ class WordEncoder:
         suffix = spec["model"]["end_of_word_suffix"]
         words = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ended = Tokenizer(models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=suffix, cache_capacity=0))
-        self.open = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
-        self.ended.pre_tokenizer = self.open.pre_tokenizer = words
+        self.ended.pre_tokenizer = words
+        self.path, self._open = path, None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -160,6 +163,16 @@ class WordEncoder:
                 self.fold[c], self.plain[c] = ord(folded), True
             self.plain_class[c] = self.class_of(c)
 
+    @property
+    def open(self) -> Tokenizer:
+        """The model without word ends, for words that go on behind a cut; made when first needed."""
+        if self._open is None:
+            with open(self.path, encoding="utf-8") as file:
+                spec = json.load(file)["model"]
+            self._open = Tokenizer(models.BPE(vocab=spec["vocab"], merges=[tuple(m) for m in spec["merges"]], cache_capacity=0))
+            self._open.pre_tokenizer = self.ended.pre_tokenizer
+        return self._open
+
     def class_of(self, c: int) -> int:
         """The class the file's own splitter gives to a character."""
         if c not in self.classes:
