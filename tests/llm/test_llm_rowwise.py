@@ -104,7 +104,7 @@ def test_secrets_and_their_owners(spark):
     assert found[3].b == "access:2:22" and found[3].n_copied == 1 and found[3].n_live == 0
     assert found[5].b == "hex:0:24,assign:25:58,hex:34:58"
     assert found[6].b == found[7].b == ""
-    assert found[8].s == "token:3:27" and found[8].b == ""  # one owner: added
+    assert found[8].s == "token:3:26" and found[8].b == ""  # one owner: added
     assert found[9].s == "" and found[9].n_copied == 1  # two owners: a copied example
     assert found[None].b == "assign:0:16"
     assert secret_scan.findings(docs.limit(0)).count() == 0
