@@ -1,8 +1,11 @@
 """Licence scans by known sentences and ordered rules, in SQL functions only.
 
-A text is cut into sentences, every sentence is normalised (lower case, runs of
-other characters than letters and digits become a blank) and looked up among known
-licence sentences.  The identifiers found, in order, are matched against licence
+A text is normalised (lower case, runs of other characters than letters and digits
+become a blank, so comment marks and bullets go) and its known licence sentences are
+found.  A sentence begins and ends at a line feed, a blank line, a list label or a
+full stop and the like; inside it, words may go on in the next line, as in licence
+files, but not over a blank line, a label or the end of a sentence.  Where several
+known sentences begin at one place the longest counts.  The identifiers found, in order, are matched against licence
 rules: a rule is a sequence of identifiers that must follow one another among the
 known sentences of the text.  Rules are tried in their order, and a match uses up
 its sentences, so a longer rule put first keeps shorter ones from its sentences.
@@ -21,9 +24,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence ends at a line feed, or at a full stop and the like before white space.
+#: Cuts table entries into pieces: line feeds, and a full stop and the like before white space.
 CUT = r"\n|[.!?;:][\x09-\x0D\x20]"
-#: Licence sentences by identifier, as they stand in the licences.
+#: Licence sentences by identifier, as notices of one line have them.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0",
     "apache-header": 'Licensed under the Apache License, Version 2.0 (the "License")',
@@ -54,6 +57,22 @@ SENTENCES = {
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
 }
+#: Further wordings of the same sentences: whole, where licences go on after the words above.
+WORDINGS = {
+    "apache-basis": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
+    "mit-grant": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'],
+    "mit-warranty": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
+}
+#: Titles that stand for a sentence where a paragraph begins with them.
+TITLES = {
+    "apache-short": ["Apache License Version 2.0, January 2004"],
+    "mit-title": ["MIT License", "The MIT License"],
+    "gpl3-short": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "bsd-short": ["BSD 3-Clause License"],
+    "mpl2-form": ["Mozilla Public License Version 2.0"],
+}
+#: Where a lower-case text is cut for good: ends of sentences, lines without letters or digits, list labels.
+ENDS = r"[.!?;:](?=[\x09-\x0D\x20])|\n[^a-z0-9\n]*(?=\n)|\n[^a-z0-9\n]*\(?(?:[0-9]{1,2}|[a-z])\)(?=[\x09\x20])"
 #: Ordered rules, longer ones before those they contain.
 RULES = [
     ("Apache-2.0", ["apache-header", "apache-compliance", "apache-obtain", "apache-basis"]),
@@ -97,19 +116,32 @@ def known(sentences: dict[str, str]) -> dict[str, int]:
     return {max(pieces(text), key=len): n for n, text in enumerate(sentences.values(), 1)}
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def laid_out(text: Column) -> Column:
+    """The normalised words of a text, with X (never left by lower case) at ends and a line feed where a line merely goes on."""
+    ended = F.concat(F.lit("X"), F.regexp_replace(F.lower(text), ENDS, "X"), F.lit("X"))
+    words = F.regexp_replace(ended, r"[^a-z0-9X\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(words, r"[\x20\n]*X[X\x20\n]*", "X"), r"\x20*\n[\x20\n]*", "\n")
 
 
-def recognised(text: Column, sentences: dict[str, str]) -> Column:
+def recognised(text: Column, sentences: dict[str, str], wordings: dict[str, list[str]], titles: dict[str, list[str]]) -> Column:
     """Numbers of the known sentences of a text, in order."""
-    table = known(sentences)
-    # Only lengths that a known sentence has are looked up.
-    lengths = F.array(*[F.lit(n) for n in sorted({len(s) for s in table})])
+    number = {name: n for n, name in enumerate(sentences, 1)}
+
+    def extra(entries: dict[str, list[str]]) -> dict[str, int]:
+        return {max(pieces(x), key=len): number[name] for name, more in entries.items() if name in number for x in more}
+
+    def any_of(entries: dict[str, int]) -> str:
+        longest_first = sorted(entries, key=lambda s: (-len(s), s))
+        return "(?:" + "|".join(s.replace(" ", r"[\x20\n]") for s in longest_first) + r")(?=[X\n])"
+
+    anywhere, at_the_head = extra(wordings) | known(sentences), extra(titles)
+    table = at_the_head | anywhere
+    if not table:
+        return F.array().cast("array<int>")
+    pattern = r"(?<=[X\n])" + any_of(anywhere) + (r"|(?<=X)" + any_of(at_the_head) if at_the_head else "")
     look_up = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    plain_ones = F.transform(F.split(text, CUT, -1), normalised)
-    candidates = F.filter(plain_ones, lambda s: F.array_contains(lengths, F.length(s)))
-    return F.filter(F.transform(candidates, lambda s: F.try_element_at(look_up, s)), lambda n: n.isNotNull())
+    found = F.regexp_extract_all(laid_out(text), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(look_up, F.translate(s, "\n", " ")))
 
 
 def matched(numbers: Column, rules: list[tuple[str, list[str]]], sentences: dict[str, str]) -> Column:
@@ -133,10 +165,10 @@ def matched(numbers: Column, rules: list[tuple[str, list[str]]], sentences: dict
     return F.aggregate(table, start, step, lambda state: state["found"])
 
 
-def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, id_column: str = "doc_id", text_column: str = "text", wordings: dict[str, list[str]] = WORDINGS, titles: dict[str, list[str]] = TITLES) -> DataFrame:
     """(doc_id, n_known, known, licences, n_matches) of every row; ``known`` names the sentences in order."""
     names = F.array(*[F.lit(x) for x in sentences])
-    rows = docs.select(F.col(id_column).alias("doc_id"), recognised(F.coalesce(F.col(text_column).cast("string"), F.lit("")), sentences).alias("numbers"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), recognised(F.coalesce(F.col(text_column).cast("string"), F.lit("")), sentences, wordings, titles).alias("numbers"))
     none = F.array().cast("array<string>")
     rows = rows.withColumn("found", F.when(F.size("numbers") > 0, matched(F.col("numbers"), rules, sentences)).otherwise(none))
     return rows.select(

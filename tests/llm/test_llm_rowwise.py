@@ -41,6 +41,98 @@ def test_licence_rules_take_sequences_in_order(spark):
     assert found[0][2] == "apache-header,apache-compliance,apache-obtain,apache-basis"
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_HEADER = """/*
+ * Copyright (c) 2019, A. Person
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ */
+"""
+MPL_HEADER = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GPL_HEADER = """# Copyright (C) 2018  A. Person
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE_HEADER = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+
+
+def one_line_paragraphs(text):
+    return "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+
+
+def test_licences_wrapped_over_lines(spark):
+    bsd3 = BSD_HEADER.replace(" */\n", " * 3. Neither the name of the copyright holder nor the names of its\n *    contributors may be used to endorse or promote products derived from\n *    this software without specific prior written permission.\n */\n")
+    rows = [
+        (1, MIT_FILE), (2, one_line_paragraphs(MIT_FILE)), (3, BSD_HEADER), (4, MPL_HEADER), (5, GPL_HEADER), (6, APACHE_HEADER), (7, bsd3),
+        (8, MIT_FILE.replace("\n", "\r\n")), (9, BSD_HEADER.replace("1.", "(a)").replace("2.", "(b)")),
+        (10, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n"),
+        (11, "Copyright 2020 A. Person\n" + "\n".join(MIT_FILE.split("\n")[4:])),  # a line stands right before the sentence
+        (12, "Licensed under\n\nCC BY 4.0"), (13, "Released under. The MIT\nLicense was not"), (14, "Not released under\nthe MIT License"),
+        (15, "Released under the MIT License\nLicensed under CC BY\n4.0"),
+    ]
+    found = {r.doc_id: r for r in license_rules.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (r.licences, r.n_matches) for i, r in found.items()} == {
+        1: ("MIT", 1), 2: ("MIT", 1), 3: ("BSD-2-Clause", 1), 4: ("MPL-2.0", 1), 5: ("GPL-3.0", 1), 6: ("Apache-2.0", 1), 7: ("BSD-3-Clause", 1),
+        8: ("MIT", 1), 9: ("BSD-2-Clause", 1), 10: ("GPL-3.0", 1), 11: ("MIT", 1), 12: ("", 0), 13: ("", 0), 14: ("", 0), 15: ("MIT,CC-BY-4.0", 2),
+    }
+    assert found[1].known == "mit-title,mit-grant,mit-notice,mit-warranty"
+    assert found[6].known == "apache-header,apache-compliance,apache-obtain,apache-basis"
+
+
 def test_every_licence_sentence_is_known_under_one_number():
     table = license_rules.known(license_rules.SENTENCES)
     assert len(table) == len(license_rules.SENTENCES)
