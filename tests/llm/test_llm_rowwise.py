@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
@@ -171,6 +172,32 @@ def test_fertility_bands_choose_by_language(spark):
     assert [r.doc_id for r in fertility.kept_rows(rows, PIECE_FILE, bands).collect()] == [1]
 
 
+def test_fertility_bands_choose_by_script(spark):
+    text, other = prose(60, 5), " ".join("日本語本"[k % 4] * (k % 3 + 1) for k in range(60))
+    rows = spark.createDataFrame([(1, text, None), (2, text, "zz"), (3, other, None), (4, other, "zz"), (5, text, "xx")], "doc_id long, text string, lang string")
+    never, always = fertility.Band(0, 99, 1, 2.0), fertility.Band(0, 99, 1, 0)
+    judged = lambda bands: {r.doc_id for r in fertility.measure(rows, PIECE_FILE, bands).filter("kept").collect()}
+    failed = {r.doc_id for r in fertility.measure(rows, PIECE_FILE).filter("base_failed").collect()}
+    assert judged({"xx": never, fertility.LATIN: always, None: never}) == {1, 2} - failed
+    assert judged({"xx": never, fertility.LATIN: never, None: always}) == {3, 4} - failed
+    assert not failed & {1, 2, 5}
+    loose = fertility.BANDS[None]
+    assert not any(fertility.BANDS[x] == loose for x in fertility.BANDS if x is not None)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="tables not here")
+def test_fertility_bands_tell_labels_apart(spark):
+    """Shares that the bands reject of documents that pass the base rules, per language and label; printed with -s."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    judged = fertility.measure(docs, PIECE_FILE).filter("NOT base_failed").join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id")
+    counts = judged.filter("quality IS NOT NULL").groupBy("lang", "quality").agg(F.count("*").alias("n"), F.avg(F.when(F.col("kept"), 0).otherwise(1)).alias("rejected")).collect()
+    rejected = {(r.lang, r.quality): r.rejected for r in counts}
+    for r in sorted(counts):
+        print(f"{r.lang} quality {r.quality}: {r.n} rows, rejected {r.rejected:.3f}, kept {1 - r.rejected:.3f}")
+    assert all(share <= 0.05 for (_, quality), share in rejected.items() if quality == 1)
+    assert rejected["en", 0] >= 0.95 and rejected["de", 0] >= 0.9 and rejected["fr", 0] >= 0.4 and rejected["es", 0] >= 0.2
+
+
 def test_kept_rows_keep_all_columns(spark):
     docs = awkward(spark)
     kept = fertility.kept_rows(docs, PIECE_FILE)
