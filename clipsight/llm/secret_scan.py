@@ -3,9 +3,11 @@
 ``scan`` finds the fixed patterns and, as weaker candidates, long tokens that mix
 letters and digits.  ``ownership`` counts for every candidate value in how many
 repositories (documents) and under how many owners (sources) it occurs.  A value
-under several owners is a copied example; one that only one owner has and that is
-varied enough to be real is live-looking.  ``findings`` keeps all spans of the
-fixed patterns and adds those tokens that are live-looking.
+under several owners, or in more than ``COMMON`` repositories of its one owner, is a
+copied example; one that only one owner has in few repositories and that is varied
+enough to be real is live-looking.  ``findings`` keeps all spans of the fixed
+patterns and adds those tokens that are live-looking; ``counts`` has the owners and
+repositories of every place.
 
 Defined cases: a null text is empty; a null owner or repository counts as one of
 its own; repeated rows are rows of the result of their own, and count once in the
@@ -29,6 +31,8 @@ TOKEN = r"[A-Za-z0-9_-]{20,}"
 KINDS = ["assign", "access", "hex", "token"]
 #: Least length of an assigned value; least number of different characters of a live-looking value.
 ASSIGNED, VARIED = 6, 8
+#: Most repositories of one owner in which a value is still that owner's own.
+COMMON = 10
 
 
 def located(text: Column, pattern: str, kind: int) -> Column:
@@ -88,17 +92,19 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner_column: str = "source") -> DataFrame:
-    """Per row: doc_id, owner, a hash of the text, all spans (base and added), and how many are live-looking or copied examples."""
+    """Per row: doc_id, owner, a hash of the text, all spans (base and added), how many are live-looking or copied examples, and owners and repositories of each."""
     scanned = stored(scan(docs, id_column, text_column, owner_column))
     found = candidates(scanned)
-    judged = found.join(ownership(found), "hash").withColumn("live", (F.col("owners") == 1) & F.col("varied"))
+    copied = (F.col("owners") > 1) | (F.col("repositories") > COMMON)
+    judged = found.join(ownership(found), "hash").withColumn("copied", copied).withColumn("live", ~F.col("copied") & F.col("varied"))
     span = F.struct("start", "kind", "end")
-    per_place = judged.groupBy("doc_id", "owner", "tag", "start", "kind", "end").agg(F.max("live").alias("live"), F.max("owners").alias("owners"))
+    per_place = judged.groupBy("doc_id", "owner", "tag", "start", "kind", "end").agg(*[F.max(c).alias(c) for c in ("live", "copied", "owners", "repositories")])
     verdicts = per_place.groupBy("doc_id", "owner", "tag").agg(
         F.collect_list(F.when(F.col("live"), span)).alias("live"),
-        F.collect_list(F.when(F.col("owners") > 1, span)).alias("copied"),
+        F.collect_list(F.when(F.col("copied"), span)).alias("copied"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("counts"),
     )
-    verdicts = verdicts.select(F.col("doc_id").alias("v_id"), F.col("owner").alias("v_owner"), F.col("tag").alias("v_tag"), "live", "copied")
+    verdicts = verdicts.select(F.col("doc_id").alias("v_id"), F.col("owner").alias("v_owner"), F.col("tag").alias("v_tag"), "live", "copied", "counts")
     has = F.size(F.concat("base", "tokens")) > 0
     same = F.col("doc_id").eqNullSafe(F.col("v_id")) & F.col("owner").eqNullSafe(F.col("v_owner")) & (F.col("tag") == F.col("v_tag"))
     joined = scanned.join(verdicts, same & has, "left")
@@ -114,6 +120,7 @@ def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.array_sort(F.concat(base, F.array_intersect(tokens, live))).alias("spans"),
         F.size(F.array_intersect(F.concat(base, tokens), live)).cast("long").alias("n_live"),
         F.size(F.array_intersect(F.concat(base, tokens), copied)).cast("long").alias("n_copied"),
+        F.coalesce("counts", F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repositories:bigint>>")).alias("counts"),
     )
 
 

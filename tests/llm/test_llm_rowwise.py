@@ -229,6 +229,20 @@ def test_secrets_and_their_owners(spark):
     assert secret_scan.findings(docs.limit(0)).count() == 0
 
 
+def test_a_value_that_one_source_repeats_is_copied(spark):
+    common, own, fixed = "Zx9_Qw8-Er7Ty6Ui5Op4As3", "Lk1_Jh2-Gf3Ds4Ap5Oi6Uy7", "password=Hunter22xyz"
+    rows = [(k, f"a {common} {fixed} b {own if k < secret_scan.COMMON else ''}", "hot") for k in range(secret_scan.COMMON + 1)]
+    docs = spark.createDataFrame([*rows, rows[0], (99, "c Mn8_Bv7-Cx6Za5Sd4Fg3Hj2 d", "cold")], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secret_scan.findings(docs).withColumn("s", secret_scan.joined(F.col("spans"))).collect()}
+    assert found[0].s == "assign:26:46,token:49:72"  # the fixed pattern stays, the common token is not added
+    assert (found[0].n_live, found[0].n_copied) == (1, 2) and (found[secret_scan.COMMON].n_live, found[secret_scan.COMMON].n_copied) == (0, 2)
+    n = secret_scan.COMMON + 1
+    assert [tuple(x) for x in found[0].counts] == [(2, 3, 25, 1, n), (26, 0, 46, 1, n), (49, 3, 72, 1, n - 1)]
+    assert [tuple(x) for x in found[99].counts] == [(2, 3, 25, 1, 1)] and found[99].n_live == 1
+    text = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert text[0] == f"a {common} [assign] b [token]" and text[99] == "c [token] d"
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame(SECRETS, "doc_id long, text string, source string").withColumn("tag", F.lit(1)).withColumn("spans", F.lit("x"))
     out = secret_scan.redacted(docs)
