@@ -3,7 +3,8 @@
 Pages become WARC records in text files that Spark writes and reads itself, so any
 store Spark knows will do.  A payload of more than ``chunk`` characters becomes
 several records (the first one plus ``continuation`` segments): rows of record
-identifier and chunk number, so no reader or writer holds more than a chunk of it.
+identifier and chunk number, so no reader holds more than a chunk of it.  The writer
+does: it hashes a whole payload at once and has all its chunks in one row.
 Records of one chunk are checked where they are read; for the others a running
 SHA-1 is carried from chunk to chunk (``running_digests``).
 
