@@ -17,9 +17,12 @@ from clipsight.llm import (
     backoff,
     bestfit_packing,
     bpe_trees,
+    conversation_repair,
+    dual_tree,
     fertility,
     license_rules,
     oph_dedup,
+    pii_disclosure,
     secret_scan,
     suffix_dedup,
     topk_search,
@@ -101,6 +104,22 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trees.encoded(tables(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+@query
+def op11_target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables(spark, sf_dir, "conversations")
+    return conversation_repair.repaired(conversation_repair.damaged(rows), rows.select("conv_id"))
+
+
+@query
+def op12_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.report(tables(spark, sf_dir, "documents"))
+
+
+@query
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 SQL["op4_one_permutation_minhash"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -233,3 +252,68 @@ FROM documents d LEFT JOIN {before} USING (doc_id)
 
 
 SQL["op1_license_sentence_rules"] = _license_sql()
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op13_dual_tree_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+sized AS (SELECT doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sized),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN weight USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+_KINDS = ", ".join(f"({n}, '{p}')" for n, p in enumerate(pii_disclosure.PLAIN.values()))
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN CAST(digits[i] AS INT) WHEN CAST(digits[i] AS INT) < 5 THEN 2 * CAST(digits[i] AS INT) ELSE 2 * CAST(digits[i] AS INT) - 9 END))"
+_SPAN = "concat_ws(':', (['email', 'ip', 'card', 'phone', 'general', 'remove'])[kind + 1], start, stop)"
+_WORDS = r"regexp_extract_all({}, '[\p{{L}}]+')"
+_NEAR = pii_disclosure.NEAR
+SQL["op12_disclosure_sanitiser"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT doc_id, kind, regexp_split_to_array(t, p) AS g, regexp_extract_all(t, p) AS h FROM t, (VALUES {_KINDS}) AS v(kind, p)),
+hit AS (
+  SELECT doc_id, kind, h[i] AS value, g[i] AS gap, g[i + 1] AS next,
+    coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM cut)),
+sized AS (SELECT *, start + length(value) AS stop, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM hit),
+base AS (
+  SELECT *, concat_ws(':', kind, CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END) AS entity,
+    list_distinct(list_concat(
+      {_WORDS.format(f"CASE WHEN length(gap) > {_NEAR} THEN regexp_replace(right(gap, {_NEAR + 1}), '^[{chr(92)}p{{L}}]+', '') ELSE gap END")},
+      {_WORDS.format(f"CASE WHEN length(next) > {_NEAR} THEN regexp_replace(left(next, {_NEAR + 1}), '[{chr(92)}p{{L}}]+{chr(92)}z', '') ELSE next END")})) AS near
+  FROM sized
+  WHERE kind = 0 OR kind = 1 AND len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS HUGEINT), 256) > 255)) = 0
+    OR kind = 2 AND length(digits) BETWEEN 14 AND 19 AND {_LUHN} % 10 = 0 OR kind = 3 AND length(digits) BETWEEN 10 AND 15),
+pairs AS (SELECT doc_id, entity, list_sort(near) AS around, unnest(near) AS word FROM base),
+likely AS (SELECT entity, word, count(DISTINCT doc_id) AS joint FROM pairs GROUP BY ALL HAVING count(DISTINCT around) >= {pii_disclosure.SUPPORT}),
+entities AS (SELECT entity, count(DISTINCT doc_id) AS df_c FROM base GROUP BY entity),
+words AS (SELECT word, count(*) AS df_t FROM (SELECT unnest(list_distinct({_WORDS.format('t')})) AS word FROM t) GROUP BY word),
+telling AS (
+  SELECT entity, word, round(ln(joint * n / (df_t * df_c)) / ln(n / df_c), 9) AS share
+  FROM likely JOIN words USING (word) JOIN entities USING (entity), (SELECT count(*) AS n FROM t) WHERE n > df_c),
+hidden AS (
+  SELECT doc_id, word, CASE WHEN max(share) >= {pii_disclosure.REMOVE} THEN 5 ELSE 4 END AS kind
+  FROM pairs JOIN telling USING (entity, word) WHERE share >= {pii_disclosure.GENERAL} GROUP BY ALL),
+said AS (
+  SELECT doc_id, h[i] AS word, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (
+    SELECT doc_id, regexp_split_to_array(t, '[\p{{L}}]+') AS g, {_WORDS.format('t')} AS h FROM t WHERE doc_id IN (SELECT doc_id FROM hidden)))),
+added AS (
+  SELECT doc_id, kind, start, start + length(word) AS stop FROM said s JOIN hidden USING (doc_id, word)
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.start + length(word) AND s.start < b.stop)),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+    string_agg({_SPAN}, ',' ORDER BY start, kind) FILTER (kind < 4) AS base, string_agg({_SPAN}, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (kind = 4) AS n_general, count(*) FILTER (kind = 5) AS n_remove
+  FROM (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_general, 0) AS n_general, coalesce(n_remove, 0) AS n_remove
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
