@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import random
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import Future
+from concurrent.futures import Future, ThreadPoolExecutor
 from threading import Thread
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +28,27 @@ def enrich(
     base_delay_s: float = 1.0,
     timeout_s: float | None = None,
     absent: str | None = None,
+    concurrency: int = 1,
+    journal: str | None = None,
 ) -> DataFrame:
     """``(key, *keep, output, error, tries, elapsed_s)``: one row per input, whatever happens.
 
     ``fn`` runs inside the tasks (for a model: its client call).  A row that
     still fails after its retries becomes an error row and the others go on.
-    Retries wait ``base_delay_s`` doubled each time; ``timeout_s`` bounds one try.
+    Retries wait ``base_delay_s`` doubled each time, or as long as the error's
+    ``retry_after`` says, and up to half as long again, so that tasks do not come back
+    together; ``timeout_s`` bounds one try.  A task makes ``concurrency`` calls at a time.
     With ``absent``, a null input is not sent to ``fn`` but becomes an error row of
     that text, without a try.  ``partitions`` spreads a small table of slow calls over that many tasks.
 
-    The plan is lazy and a lost task calls ``fn`` again, so store the result
+    Key and kept columns are passed on as they came, never through Python.  The plan is
+    lazy and a lost task starts again; with ``journal``, a folder that all executors
+    reach, answers are written there as they come and a row that has one is not sent
+    again, whichever task or later run asks.  Without it, store the result
     (``writers.stored``) before using it more than once.
     """
     carried = [key, *keep]
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried]
 
     def attempt(value: str) -> str:
         if timeout_s is None:
@@ -64,19 +75,92 @@ def enrich(
             except Exception as exc:  # noqa: BLE001 - any failure is a result here
                 problem = str(exc) or type(exc).__name__
                 if tries <= max_retries:
-                    time.sleep(base_delay_s * 2 ** (tries - 1))
+                    hint = getattr(exc, "retry_after", None)
+                    wait = base_delay_s * 2 ** (tries - 1) if hint is None else float(hint)
+                    time.sleep(wait * random.uniform(1.0, 1.5))
         return None, problem, tries, time.perf_counter() - started
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(values: list) -> Iterator[tuple]:
+        if concurrency <= 1:
+            yield from map(one, values)
+            return
+        with ThreadPoolExecutor(concurrency) as pool:
+            yield from pool.map(one, values)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes = None if journal is None else Journal(journal)
         for batch in batches:
-            out = pd.DataFrame([one(value) for value in batch[column]], columns=["output", "error", "tries", "elapsed_s"])
-            yield pd.concat([batch[carried].reset_index(drop=True), out], axis=1)
+            # So many rows at a time that answers reach the journal soon.
+            for at in range(0, batch.num_rows, CALLS):
+                part = batch.slice(at, CALLS)
+                values = part.column(column).to_pylist()
+                if notes is None:
+                    out = list(answers(values))
+                else:
+                    marks, buckets = part.column("_mark").to_pylist(), part.column("_bucket").to_pylist()
+                    out = [notes.found(b, m) for b, m in zip(buckets, marks)]
+                    asked = [k for k, a in enumerate(out) if a is None]
+                    for k, answer in zip(asked, answers([values[k] for k in asked])):
+                        out[k] = answer
+                        if answer[1] is None:
+                            notes.add(buckets[k], marks[k], answer)
+                    notes.flush()
+                types = [pa.string(), pa.string(), pa.int32(), pa.float64()]
+                columns = [part.column(c) for c in carried] + [pa.array(list(x), t) for x, t in zip(zip(*out), types)]
+                yield pa.RecordBatch.from_arrays(columns, [*carried, "output", "error", "tries", "elapsed_s"])
 
     schema = ", ".join([*kinds, "output string", "error string", "tries int", "elapsed_s double"])
-    inputs = rows.select(*carried, column)
-    if partitions:
+    inputs = rows.select(*carried, *([] if column in carried else [column]))
+    if journal is not None:
+        mark = F.sha2(F.concat_ws(":", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))), 256)
+        bucket = F.pmod(F.xxhash64("_mark"), F.lit(JOURNAL_BUCKETS)).cast("int")
+        inputs = inputs.withColumn("_mark", mark).withColumn("_bucket", bucket).repartition(partitions or JOURNAL_BUCKETS, "_bucket").sortWithinPartitions("_bucket")
+    elif partitions:
         inputs = inputs.repartition(partitions)
-    return inputs.mapInPandas(work, schema)
+    return inputs.mapInArrow(work, schema)
+
+
+#: Rows of a batch that are asked for before the next are; folders that a journal is dealt to.
+CALLS, JOURNAL_BUCKETS = 64, 64
+
+
+class Journal:
+    """Answers below a shared folder, in files of rows by bucket; only one bucket is held at a time."""
+
+    def __init__(self, folder: str):
+        self.files, self.root = FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (LocalFileSystem(), folder)
+        self.bucket, self.known, self.new = -1, {}, {}
+
+    def _open(self, bucket: int) -> None:
+        if bucket == self.bucket:
+            return
+        self.bucket, self.known = bucket, {}
+        where = FileSelector(f"{self.root}/bucket={bucket}", allow_not_found=True)
+        for info in self.files.get_file_info(where):
+            if info.type == FileType.File and info.base_name.endswith(".jsonl"):
+                with self.files.open_input_stream(info.path) as stream:
+                    for line in stream.read().decode().splitlines():
+                        mark, output, tries, elapsed = json.loads(line)
+                        self.known[mark] = (output, None, tries, elapsed)
+
+    def found(self, bucket: int, mark: str) -> tuple | None:
+        self._open(bucket)
+        return self.known.get(mark)
+
+    def add(self, bucket: int, mark: str, answer: tuple) -> None:
+        self.new.setdefault(bucket, []).append((mark, answer[0], answer[2], answer[3]))
+
+    def flush(self) -> None:
+        """One new file per bucket, in place under its name only when it is whole."""
+        for bucket, lines in self.new.items():
+            folder, name = f"{self.root}/bucket={bucket}", uuid.uuid4().hex
+            self.files.create_dir(folder, recursive=True)
+            with self.files.open_output_stream(f"{folder}/{name}.part") as stream:
+                stream.write("".join(json.dumps(x) + "\n" for x in lines).encode())
+            self.files.move(f"{folder}/{name}.part", f"{folder}/{name}.jsonl")
+            if bucket == self.bucket:
+                self.known.update({m: (o, None, t, e) for m, o, t, e in lines})
+        self.new = {}
 
 
 def tally(enriched: DataFrame) -> DataFrame:

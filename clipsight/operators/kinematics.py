@@ -6,18 +6,25 @@ frames are cut into blocks of that many rows, ``k div rows_per_task``: the first
 pose of a block is also handed to the block before it (so every step has both
 ends), and each block's starting turn count is carried in from a table with one
 row per block.
+
+Poses from steps are a running product of rigid motions, which is associative but
+not commutative: ``poses_from_steps`` takes it per block, over the blocks' products
+(in blocks again, while a clip has many), and puts the two together row by row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
 from clipsight.functions.paths import NATIVE_HZ, TARGET_HZ
 from clipsight.operators.skew import task_rows
+from clipsight.session import ensure_checkpoint_dir
 
 
 def speed_heading(
@@ -182,16 +189,20 @@ def _unpack(flat: Column) -> Column:
     )
 
 
+def _rigid(step: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """(..., 9) step vectors as rotations (..., 3, 3) and translations (..., 3)."""
+    a = step[..., 3:6]
+    a = a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-12)
+    b = step[..., 6:9]
+    b = b - np.sum(a * b, axis=-1, keepdims=True) * a
+    b = b / np.maximum(np.linalg.norm(b, axis=-1, keepdims=True), 1e-12)
+    return np.stack([a, b, np.cross(a, b)], axis=-1), step[..., 0:3] * scale
+
+
 def _fold_steps(step: np.ndarray, scale: float, local: bool) -> np.ndarray:
     """(clips, n, 9) steps -> (clips, n+1, 4) of px, pz, fx, fz; all clips advance together."""
     clips, n, _ = step.shape
-    a = step[:, :, 3:6]
-    a = a / np.maximum(np.linalg.norm(a, axis=2, keepdims=True), 1e-12)
-    b = step[:, :, 6:9]
-    b = b - np.sum(a * b, axis=2, keepdims=True) * a
-    b = b / np.maximum(np.linalg.norm(b, axis=2, keepdims=True), 1e-12)
-    turn = np.stack([a, b, np.cross(a, b)], axis=3)
-    move = step[:, :, 0:3] * scale
+    turn, move = _rigid(step, scale)
     rot = np.tile(np.eye(3), (clips, 1, 1))
     pos = np.zeros((clips, 3))
     out = np.empty((clips, n + 1, 4))
@@ -208,6 +219,94 @@ def _fold_steps(step: np.ndarray, scale: float, local: bool) -> np.ndarray:
     return out
 
 
+def _running(turn: np.ndarray, move: np.ndarray, local: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Running products of n motions in about log2(n) passes over all of them."""
+    turn, move, reach = turn.copy(), move.copy(), 1
+    while reach < len(turn):
+        first, then = (turn[:-reach], move[:-reach]), (turn[reach:], move[reach:])
+        outer, inner = (first, then) if local else (then, first)
+        moved = np.einsum("nij,nj->ni", outer[0], inner[1]) + outer[1]
+        turn[reach:], move[reach:] = outer[0] @ inner[0], moved
+        reach *= 2
+    return turn, move
+
+
+#: A motion as one array: nine numbers of the rotation by rows, then the translation.
+_AT_REST = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0]
+
+
+def _composed(outer: Column, inner: Column) -> Column:
+    """The motion that applies ``inner``, then ``outer``, as a column."""
+    o, i = (lambda r, c: F.get(outer, 3 * r + c)), (lambda r, c: F.get(inner, 3 * r + c))
+    turn = [o(r, 0) * i(0, c) + o(r, 1) * i(1, c) + o(r, 2) * i(2, c) for r in range(3) for c in range(3)]
+    move = [o(r, 0) * F.get(inner, 9) + o(r, 1) * F.get(inner, 10) + o(r, 2) * F.get(inner, 11) + F.get(outer, 9 + r) for r in range(3)]
+    return F.array(*turn, *move)
+
+
+def _block_products(motions: DataFrame, keys: list[str], local: bool, scale: float | None) -> DataFrame:
+    """``motions`` (keys, _b, _k, _m) with ``_m`` replaced by the running product within (keys, _b).
+
+    With ``scale``, ``_m`` holds step vectors of nine numbers, else motions.
+    """
+    kinds = motions.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_k")
+        steps = table.column("_m").combine_chunks()
+        width = 12 if scale is None else 9
+        numbers = np.full((len(steps), width), np.nan)
+        sound = pc.equal(pc.list_value_length(steps), width).fill_null(False).to_numpy(zero_copy_only=False)
+        numbers[sound] = pc.list_flatten(steps.filter(pa.array(sound))).to_numpy(zero_copy_only=False).reshape(-1, width)
+        turn, move = (numbers[:, :9].reshape(-1, 3, 3), numbers[:, 9:]) if scale is None else _rigid(numbers, scale)
+        turn, move = _running(turn, move, local)
+        flat = np.concatenate([turn.reshape(-1, 9), move], axis=1)
+        ends = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 12)
+        product = pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))
+        return table.set_column(table.schema.get_field_index("_m"), "_m", product)
+
+    out = ", ".join(f"`{f.name}` {'array<double>' if f.name == '_m' else f.dataType.simpleString()}" for f in kinds)
+    return motions.groupBy(*keys, "_b").applyInArrow(run, out)
+
+
+def _running_products(motions: DataFrame, key: str, local: bool, scale: float | None, rows: int) -> DataFrame:
+    """(key, _k, _m): running products along ``_k``, dense from 0, however long a key is."""
+    blocks = motions.withColumn("_b", F.floor(F.col("_k") / rows).cast("long"))
+    within = _block_products(blocks, [key], local, scale)
+    if motions.filter(F.col("_k") >= rows).isEmpty():
+        return within.drop("_b")
+    ensure_checkpoint_dir(motions.sparkSession)
+    within = within.checkpoint()
+    # One row per block: what each contributes, and with that what came before it.
+    totals = within.groupBy(key, "_b").agg(F.max_by("_m", "_k").alias("_m")).withColumnRenamed("_b", "_k")
+    carried = _running_products(totals, key, local, None, rows)
+    before = carried.select(F.col(key).alias("_key"), (F.col("_k") + 1).alias("_block"), F.col("_m").alias("_before"))
+    met = within.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_block")), "left")
+    whole = _composed(F.col("_before"), F.col("_m")) if local else _composed(F.col("_m"), F.col("_before"))
+    return met.select(key, "_k", F.when(F.col("_b") == 0, F.col("_m")).otherwise(whole).alias("_m"))
+
+
+def poses_from_steps(
+    steps: DataFrame, key: str, k: str = "k", column: str = "action", scale: float = 1.35, frame: str = "local", block_rows: int = 4096
+) -> DataFrame:
+    """``(key, k, px, py, pz, fx, fz)``: the poses of ``poses_from_actions`` from one row per step.
+
+    ``k`` is dense from 0 within a clip; a clip of n steps has n + 1 poses, the first
+    at rest.  A clip is cut into blocks of ``block_rows`` steps, which are shared out
+    over the tasks; of a block only its product goes on.  From a step on that is null
+    or has not nine numbers, positions and headings are null.
+    """
+    if frame not in ("local", "world"):
+        raise ValueError(f"unknown frame: {frame}")
+    motions = steps.select(key, F.col(k).cast("long").alias("_k"), F.col(column).cast("array<double>").alias("_m"))
+    done = _running_products(motions, key, frame == "local", scale, block_rows)
+    rest = F.struct(F.lit(0).cast("long").alias("k"), F.array(*[F.lit(x) for x in _AT_REST]).alias("m"))
+    pose = F.struct((F.col("_k") + 1).alias("k"), F.col("_m").alias("m"))
+    # The first step brings the pose before it along.
+    rows = done.select(key, F.inline(F.when(F.col("_k") == 0, F.array(rest, pose)).otherwise(F.array(pose))))
+    known = lambda i: F.nanvl(F.get("m", i), F.lit(None).cast("double"))
+    return rows.select(key, "k", *[known(i).alias(n) for n, i in (("px", 9), ("py", 10), ("pz", 11), ("fx", 2), ("fz", 8))])
+
+
 def with_series(clips: DataFrame, poses: str = "poses") -> DataFrame:
     """Row-local series for clips that carry their pose array: ``series_10hz``, ``series_5hz``, ``init_v``."""
     p = F.col(poses)

@@ -7,6 +7,8 @@
   fit one task use a plain window; otherwise rows are range-partitioned on
   (key, order), so a heavy key covers several consecutive segments, and each
   segment's offset comes from a tiny table (at most two rows per segment).
+* ``asof_join`` finds the last row at or before a time by sorting both sides
+  together along the same segments.
 
 ``spark.clipsight.rowsPerTask`` sets how many rows of a key one task may take.
 """
@@ -111,3 +113,50 @@ def positions_and_size(
     if total:
         out = out.withColumn(total, F.coalesce("_all", F.col(total)))
     return out.drop("_seg", "_before", "_all"), True
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    time: str,
+    order: Sequence[str] = (),
+    clamp: bool = False,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """``left`` with ``found``: the row of ``right`` of the same key that is last at or before ``time``.
+
+    Both sides are sorted together by (key, time), the right one first, and its last
+    row is carried along: rows in and out are those of the two tables, whatever the
+    times.  A heavy key covers several range segments; what a segment ends with is
+    handed on in one row.  Of right rows at the same time the greatest by ``order``
+    counts.  Without a row at or before it ``found`` is null, or with ``clamp`` the
+    key's first row.  Rows of ``left`` without key or time find nothing.
+    """
+    value = F.struct(*[c for c in right.columns if c != key])
+    kind = right.select(value.alias("v")).schema["v"].dataType
+    own = left.select(F.struct("*").alias("v")).schema["v"].dataType
+    tie = F.struct(F.lit(0).alias("_"), *order)
+    tie_kind = right.select(tie.alias("v")).schema["v"].dataType
+    asked = left.select(F.col(key).alias("_key"), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(tie_kind).alias("_tie"),
+                        F.struct("*").alias("_row"), F.lit(None).cast(kind).alias("_found"))
+    given = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(time).alias("_t"), F.lit(0).alias("_side"), tie.alias("_tie"), F.lit(None).cast(own).alias("_row"), value.alias("_found"))
+    known = F.col("_key").isNotNull() & F.col("_t").isNotNull()
+    along = ["_t", "_side", "_tie"]
+    rows, split = ordered_segments(asked.filter(known).unionAll(given), ["_key"], along, rows_per_task)
+    run = Window.partitionBy("_key", "_seg").orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_found", F.last("_found", ignorenulls=True).over(run))
+    if split:
+        # At most two rows per segment: what it ends with goes to the next ones of its key.
+        place = F.when(F.col("_side") == 0, F.struct(*along))
+        ends = rows.groupBy("_key", "_seg").agg(F.max_by("_found", place).alias("_end"))
+        before = Window.partitionBy("_key").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        carry = spanning(ends, ["_key"]).select("_key", "_seg", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+        out = out.join(carry, ["_key", "_seg"], "left").withColumn("_found", F.coalesce("_found", "_before")).drop("_before")
+    out = out.filter("_side = 1")
+    if clamp:
+        first = given.groupBy("_key").agg(F.min_by("_found", F.struct("_t", "_tie")).alias("_first"))
+        out = lookup_join(out, first, ["_key"]).withColumn("_found", F.coalesce("_found", "_first"))
+    found = out.select("_row.*", F.col("_found").alias("found"))
+    return found.unionAll(left.filter(F.col(key).isNull() | F.col(time).isNull()).withColumn("found", F.lit(None).cast(kind)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsight.functions import series as S
-from clipsight.operators.skew import has_heavy_key, lookup_join
+from clipsight.operators.skew import asof_join, has_heavy_key, lookup_join
 
 
 def explode_series(clips: DataFrame, key: str, series: str, hz: float) -> DataFrame:
@@ -109,3 +111,19 @@ def cursor_samples(samples: DataFrame, cursors: DataFrame, key: str, hz: float)
     # Many cursors past the end of one clip meet at its last sample, hence no plain join.
     placed = clamped.withColumn("i", at).drop("_last")
     return lookup_join(placed, samples.select(key, "i", "v", "h"), [key, "i"], "inner")
+
+
+def cursor_samples_at(
+    samples: DataFrame, cursors: DataFrame, key: str, time: str = "t", order: Sequence[str] = (), rows_per_task: int | None = None
+) -> DataFrame:
+    """The same for series whose samples stand at any times: cursors with ``cursor_t`` and the sample's columns.
+
+    A cursor before the first sample takes the first, one after the last the last;
+    cursors of clips without samples are left out.  ``order`` decides between
+    samples of the same time, the greatest counts.
+    """
+    ends = samples.filter(F.col(time).isNotNull()).groupBy(key).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    clamped = lookup_join(cursors, ends, [key], "inner").withColumn("cursor_t", F.greatest("_lo", F.least(F.col(time), F.col("_hi")))).drop("_lo", "_hi")
+    met = asof_join(clamped.withColumnRenamed(time, "_asked").withColumn(time, F.col("cursor_t")), samples, key, time, order, rows_per_task=rows_per_task)
+    values = [c for c in samples.columns if c not in (key, time)]
+    return met.drop(time).withColumnRenamed("_asked", time).select(*cursors.columns, "cursor_t", *[F.col(f"found.`{c}`").alias(c) for c in values])

@@ -110,16 +110,21 @@ FROM predictions
 )
 
 
-def experiment_report(t: Tables):
-    """Every result row of the reports next to all figures of its report's header."""
+def experiments_of(t: Tables):
+    """One row per experiment with what its report header says of the run."""
     names = t.derive("SELECT DISTINCT 'exp_' || CAST(doc_id % 3 AS STRING) AS exp_name FROM {documents}")
-    experiments = names.select(
+    return names.select(
         "exp_name",
         F.struct("exp_name", F.lit("no_action").alias("mode")).alias("experiment"),
         F.create_map(F.lit("hostname"), F.lit("local")).alias("environment"),
         F.create_map(F.lit("exp_name"), "exp_name").alias("cli_args"),
         F.create_map(F.lit("fps"), F.lit("4")).alias("inference_params"),
     )
+
+
+def experiment_report(t: Tables):
+    """Every result row of the reports next to all figures of its report's header."""
+    experiments = experiments_of(t)
     answered = predictions(t)
     headers = evaluate.report_headers(answered, experiments).select(
         "exp_name", "experiment.mode", F.col("environment.hostname").alias("host"), F.col("inference_params.fps").alias("fps"), "summary.*", "metrics.*"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipsight.functions import documents as D
 from clipsight.operators import batch, checks, kinematics, trajectory
-from clipsight.operators.skew import lookup_join, positions
+from clipsight.operators.skew import asof_join, lookup_join, positions
 from clipsight.plans import inputs as I
 from clipsight.plans import workflows
 from clipsight.plans.queries_catalog import (
@@ -102,10 +102,11 @@ def poses_from_actions(t: Tables):
 
 
 # Gram-Schmidt per step, then a recursive running product.
-WALK_SQL = """
-WITH RECURSIVE raw AS (
+VECTOR_STEPS_SQL = """
   SELECT vec_id, k, list_transform(embedding[k * 9 + 1 : k * 9 + 9], lambda x: CAST(x AS DOUBLE)) AS s
-  FROM embeddings, (SELECT unnest(range(7)) AS k)),
+  FROM embeddings, (SELECT unnest(range(7)) AS k)
+"""
+PRODUCT_SQL = """
 n1 AS (SELECT *, sqrt(s[4]*s[4] + s[5]*s[5] + s[6]*s[6]) AS la FROM raw),
 a AS (SELECT vec_id, k, s[1]*1.35E0 AS tx, s[2]*1.35E0 AS ty, s[3]*1.35E0 AS tz, s[4]/la AS ax, s[5]/la AS ay, s[6]/la AS az,
              s[7] AS ux, s[8] AS uy, s[9] AS uz FROM n1),
@@ -118,7 +119,7 @@ walk AS (
   SELECT vec_id, CAST(0 AS BIGINT) AS k, 0.0E0 AS px, 0.0E0 AS py, 0.0E0 AS pz,
          1.0E0 AS r11, 0.0E0 AS r12, 0.0E0 AS r13, 0.0E0 AS r21, 1.0E0 AS r22, 0.0E0 AS r23,
          0.0E0 AS r31, 0.0E0 AS r32, 1.0E0 AS r33
-  FROM embeddings
+  FROM (SELECT DISTINCT vec_id FROM raw)
   UNION ALL
   SELECT w.vec_id, w.k + 1,
          px + r11*tx + r12*ty + r13*tz, py + r21*tx + r22*ty + r23*tz, pz + r31*tx + r32*ty + r33*tz,
@@ -127,12 +128,91 @@ walk AS (
          r31*ax + r32*ay + r33*az, r31*bx1 + r32*by1 + r33*bz1, r31*cx1 + r32*cy1 + r33*cz1
   FROM walk w JOIN step s ON w.vec_id = s.vec_id AND w.k = s.k)
 """
+WALK_SQL = f"WITH RECURSIVE raw AS ({VECTOR_STEPS_SQL}), {PRODUCT_SQL}"
 POSES_SQL = WALK_SQL + """
 SELECT vec_id, CAST(k AS INT) AS k, round(px, 4) + 0.0E0 AS px, round(pz, 4) + 0.0E0 AS pz,
        round(r13, 4) + 0.0E0 AS fx, round(r33, 4) + 0.0E0 AS fz FROM walk
 """
 register("poses_from_actions", poses_from_actions, POSES_SQL)
 
+
+def poses_from_steps(t: Tables):
+    """The vectors strung into three long tracks, the first with three fifths of all steps; short blocks."""
+    vec, first = F.col("vec_id"), F.floor(F.col("vec_id") / 5)
+    long = vec % 5 < 3
+    steps = t.embeddings.select(
+        F.when(long, 0).otherwise(vec % 5).cast("long").alias("track"),
+        F.when(long, first * 3 + vec % 5).otherwise(first).alias("place"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.slice(F.col("embedding"), k * 9 + 1, F.lit(9)))).alias("j", "action"),
+    )
+    moved = kinematics.poses_from_steps(steps.withColumn("k", F.col("place") * 7 + F.col("j")), "track", block_rows=64)
+    return moved.select("track", "k", *[F.round(F.col(c) + 0.0, 4).alias(c) for c in ("px", "pz", "fx", "fz")])
+
+
+register(
+    "poses_from_steps",
+    poses_from_steps,
+    f"""
+WITH RECURSIVE raw AS MATERIALIZED (
+  SELECT CASE WHEN vec_id % 5 < 3 THEN 0 ELSE vec_id % 5 END AS vec_id,
+         7 * CASE WHEN vec_id % 5 < 3 THEN vec_id // 5 * 3 + vec_id % 5 ELSE vec_id // 5 END + k AS k, s
+  FROM ({VECTOR_STEPS_SQL})),
+{PRODUCT_SQL}
+SELECT vec_id AS track, k, round(px, 4) + 0.0E0 AS px, round(pz, 4) + 0.0E0 AS pz, round(r13, 4) + 0.0E0 AS fx, round(r33, 4) + 0.0E0 AS fz FROM walk
+""",
+    writes=True,
+)
+
+# A third of the users share one clip; a cursor stands some time before or after every other event.
+IRREGULAR_SQL = "SELECT CASE user_id % 3 WHEN 0 THEN 0 ELSE user_id END AS clip, ts AS t, event_id, value AS v FROM events"
+CURSORS_SQL = """
+SELECT event_id AS cursor, CASE user_id % 3 WHEN 0 THEN 0 ELSE user_id + event_id // 2 % 2 END AS clip,
+       ts + to_microseconds((event_id * 7919003) % 40000000000 - 20000000000) AS t
+FROM events WHERE event_id % 2 = 0
+"""
+
+
+def _irregular(t: Tables):
+    user = F.col("user_id")
+    return t.events.select(F.when(user % 3 == 0, 0).otherwise(user).cast("long").alias("clip"), F.col("ts").alias("t"), "event_id", F.col("value").alias("v"))
+
+
+def _cursors(t: Tables):
+    user, event = F.col("user_id"), F.col("event_id")
+    shift = (event * 7919003) % 40_000_000_000 - 20_000_000_000
+    other = user + F.floor(event / 2) % 2
+    return t.events.filter(event % 2 == 0).select(
+        event.alias("cursor"), F.when(user % 3 == 0, 0).otherwise(other).cast("long").alias("clip"),
+        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + shift).cast(t.events.schema["ts"].dataType).alias("t"))
+
+
+def asof_samples(t: Tables):
+    met = asof_join(_cursors(t), _irregular(t), "clip", "t", ["event_id"])
+    return met.select("cursor", "clip", F.col("found.event_id").alias("event_id"), F.col("found.v").alias("v"))
+
+
+register(
+    "asof_samples",
+    asof_samples,
+    f"""
+SELECT c.cursor, c.clip, s.event_id, s.v
+FROM ({CURSORS_SQL}) c
+ASOF LEFT JOIN (SELECT clip, t, max(event_id) AS event_id, max_by(v, event_id) AS v FROM ({IRREGULAR_SQL}) GROUP BY clip, t) s
+  ON c.clip = s.clip AND c.t >= s.t
+""",
+)
+register(
+    "cursor_irregular",
+    lambda t: trajectory.cursor_samples_at(_irregular(t), _cursors(t), "clip", order=["event_id"]).select(
+        "cursor", "clip", F.unix_micros(F.col("cursor_t").cast("timestamp")).alias("at_us"), "event_id", "v"),
+    f"""
+WITH samples AS (SELECT clip, t, max(event_id) AS event_id, max_by(v, event_id) AS v FROM ({IRREGULAR_SQL}) GROUP BY clip, t),
+ends AS (SELECT clip, min(t) AS lo, max(t) AS hi FROM samples GROUP BY clip),
+cursors AS (SELECT cursor, clip, greatest(lo, least(t, hi)) AS t FROM ({CURSORS_SQL}) JOIN ends USING (clip))
+SELECT c.cursor, c.clip, epoch_us(c.t) AS at_us, s.event_id, s.v FROM cursors c ASOF JOIN samples s ON c.clip = s.clip AND c.t >= s.t
+""",
+)
+
 MEANS_SQL = """
 SELECT clip, n, max_abs_h, avg(v) FILTER (WHERE i >= i0 AND i < i1) AS start_v, avg(v) FILTER (WHERE i >= j0 AND i < j1) AS end_v
 FROM (SELECT *, greatest(0, least(a0, n - 1)) AS i0, greatest(1, least(greatest(a0 + 1, a1), n)) AS i1,

@@ -4,6 +4,7 @@ from clipsight.plans import (  # noqa: F401
     queries_catalog,
     queries_corpus,
     queries_evaluate,
+    queries_files,
     queries_motion,
     queries_review,
 )

@@ -32,15 +32,17 @@ class Tables:
 class Query:
     run: Callable[[Tables], DataFrame]
     sql: str | None
+    #: Whether jobs run before the result is asked for: files are written, or lineage is cut.
+    writes: bool = False
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
+def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None, *, writes: bool = False) -> None:
     if name in QUERIES:
         raise ValueError(f"query registered twice: {name}")
-    QUERIES[name] = Query(run, sql)
+    QUERIES[name] = Query(run, sql, writes)
 
 
 def with_inputs(body: str, **inputs: str) -> str:

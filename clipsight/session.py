@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="clipsight-ckpt-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder of ``spark.checkpoint.dir``; whoever owns that folder clears it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        ensure_checkpoint_dir(spark)
+        shared = spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/clipsight-{uuid.uuid4().hex}"

@@ -58,7 +58,7 @@ def opened(root: str) -> arrow_fs.FileSystem:
     return arrow_fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", scheme) + "/")[0]
 
 
-def _bare(root: str) -> str:
+def bare(root: str) -> str:
     """A root as its pyarrow file system names it: with the bucket for object stores."""
     bucket = re.match(r"^(?:s3[an]?|gs|gcs|abfss?)://([^/]*)", root)
     return (bucket.group(1) if bucket else "") + plain_path(root)
@@ -67,7 +67,7 @@ def _bare(root: str) -> str:
 def files(spark: SparkSession, root: str, pattern: str = "*", folder: str = "") -> DataFrame:
     """``(rel_path, size)`` of every file below ``root`` (or its sub-folder) whose name matches."""
     base = qualified(spark, root)
-    top, name = _bare(base), re.compile(fnmatch.translate(pattern))
+    top, name = bare(base), re.compile(fnmatch.translate(pattern))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = opened(base)
@@ -102,17 +102,24 @@ def files(spark: SparkSession, root: str, pattern: str = "*", folder: str = "")
 
 
 def texts(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
-    """``(rel_path, text)`` of the listed files below ``root``, read whole where the row is; for small files."""
+    """``(rel_path, text)`` of the listed files below ``root``, read whole where the row is; for small files.
+
+    The text of a file that is not UTF-8 is null.
+    """
     base = qualified(spark, root)
-    top = _bare(base)
+    top = bare(base)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = opened(base)
         for batch in batches:
             for rel in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{top}/{rel}") as stream:
-                    text = stream.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text])], names=["rel_path", "text"])
+                    content = stream.read()
+                try:
+                    text = content.decode()
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string())], names=["rel_path", "text"])
 
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return listing.select("rel_path").repartition(spread, "rel_path").mapInArrow(read, "rel_path string, text string")

@@ -114,10 +114,13 @@ def trajectory_table(spark: SparkSession, path: str, clips: DataFrame, mode: str
 
 
 def attach_series(clips: DataFrame, stored: DataFrame, mode: str) -> DataFrame:
-    """Clips with the parsed text of ``stored(series_path, text)``; ``error`` says what is wrong with it."""
+    """Clips with the parsed text of ``stored(series_path, text)``; ``error`` says what is wrong with it.
+
+    A stored null is a file that is no text: unreadable, not missing.
+    """
     wanted = clips.withColumn("series_path", paths.trajectory_path(F.col("rel_path"), F.lit(mode)))
     return (
-        wanted.join(stored, "series_path", "left")
+        wanted.join(stored.withColumn("text", F.coalesce("text", F.lit("\x00"))), "series_path", "left")
         .withColumn("t", D.trajectory(F.col("text")))
         .select(*clips.columns, "series_path", "t.series", "t.error")
     )

@@ -6,7 +6,6 @@ pointers are single rows.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable
 
@@ -17,7 +16,7 @@ from clipsight.functions import documents as D
 from clipsight.functions import paths
 from clipsight.functions import series as S
 from clipsight.operators import checks, evaluate
-from clipsight.sources import readers
+from clipsight.sources import listing, readers
 
 # Constants of a job line, in field order.
 JOB_CONSTANTS = {
@@ -79,22 +78,28 @@ def write_trajectories(clips: DataFrame, target: str) -> None:
 
 
 def write_files(rows: DataFrame, root: str, path: str = "out_path", value: str = "value") -> None:
-    """One text file per row at ``root`` / ``path``, written by the tasks.
+    """One file per row at ``root`` / ``path``, written by the tasks; ``value`` is text or bytes.
 
-    For tools that read the files next to the clips; ``root`` must be a folder
-    that every executor mounts.  Each file appears whole (temporary name, then
-    rename), so a repeated task writes the same files again.
+    For tools that read the files next to the clips; ``root`` is a folder or store that
+    every executor reaches.  Each file appears whole (temporary name, then rename), so a
+    repeated task writes the same files again.
     """
-    base = root.rstrip("/")
+    base = listing.qualified(rows.sparkSession, root)
+    top = listing.bare(base)
 
     def put(part: Iterable[Row]) -> None:
+        store, made = listing.opened(base), set()
         for row in part:
-            target = f"{base}/{row[path]}"
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            target = f"{top}/{row[path]}"
+            folder = target.rpartition("/")[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
             partial = f"{target}.{uuid.uuid4().hex}.tmp"
-            with open(partial, "w", encoding="utf-8") as out:
-                out.write(row[value])
-            os.replace(partial, target)
+            content = row[value]
+            with store.open_output_stream(partial) as out:
+                out.write(content.encode() if isinstance(content, str) else bytes(content))
+            store.move(partial, target)
 
     rows.select(path, value).foreachPartition(put)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clipsight.operators import evaluate, review
-from clipsight.sources import readers, writers
+from clipsight.sources import readers
+from clipsight.sources.label_store import BUCKETS, LabelStore
 
 
 def new_files(spark: SparkSession, root: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -63,16 +64,17 @@ def latest_metrics(spark: SparkSession, target: str) -> DataFrame:
     return review.last_per_key(spark.read.parquet(target), "exp_name", "batch").drop("batch")
 
 
-def apply_label_updates(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Upsert streamed label updates (``seq``, ``rel_path``, label columns) into the store below ``folder``.
+def apply_label_updates(updates: DataFrame, folder: str, checkpoint: str, buckets: int = BUCKETS, compact_at: int = 8) -> StreamingQuery:
+    """Upsert streamed label updates (``seq``, ``rel_path``, label columns) into the ``LabelStore`` below ``folder``.
 
-    Replaying a batch after a failure gives the same store: its paths are then
-    present and are overwritten with the same values.
+    A batch writes its own rows; buckets with ``compact_at`` deltas are folded
+    afterwards.  Replaying a batch after a failure gives the same store: its paths are
+    then present and are overwritten with the same values.
     """
     def merge(batch: DataFrame, _: int) -> None:
-        version = writers.label_version(batch.sparkSession, folder)
-        store = writers.current_labels(batch.sparkSession, folder, version)
-        writers.write_labels(review.upsert_labels(store, batch), folder, version)
+        store = LabelStore(batch.sparkSession, folder, buckets)
+        store.update(batch)
+        store.compact(compact_at)
 
     return (
         updates.select("seq", "rel_path", *[F.col(c) for c in review.LABEL_COLUMNS])

@@ -11,6 +11,7 @@ from clipsight.functions import series as S
 from clipsight.operators import batch, catalog, checks, corpus, evaluate, kinematics, review
 from clipsight.plans import workflows
 from clipsight.sources import listing, readers, writers
+from clipsight.sources.label_store import LabelStore
 from clipsight.streaming import incremental
 
 
@@ -172,7 +173,20 @@ def test_invariant_sweep(spark):
     rows = corpus.invariant_sweep(variants, bases).collect()
     failed = {(r.file, r.rule) for r in rows if not r.ok and r.file != "lost"}
     assert failed == {("bad", "fps"), ("bad", "n_segments"), ("bad", "lighting_keys"), ("bad", "keys")}
-    assert len(rows) == 36 and not any(r.ok for r in rows if r.file == "lost" and r.rule == "fps")
+    rules = {r.rule for r in rows}
+    assert len(rows) == 3 * len(rules) and not any(r.ok for r in rows if r.file == "lost" and r.rule == "fps")
+
+
+@pytest.mark.parametrize("rule, change", [
+    ("subject_identity", {"subjects": [{"description": "a cat", "number_of_subjects": 1, "pose": "low"}]}),
+    ("subject_keys", {"subjects": [{"description": "a dog", "number_of_subjects": 1, "gait": "slow"}]}),
+    ("segment_times", {"segments": [{"time_range": "0:00-0:04"}]}),
+])
+def test_single_invariants(spark, rule, change):
+    base = {"subjects": [{"description": "a dog", "number_of_subjects": 1, "pose": "low"}], "segments": [{"time_range": "0:00-0:05"}]}
+    bases = spark.createDataFrame([(1, json.dumps(base))], "prompt_idx int, json string")
+    variants = spark.createDataFrame([("same", 1, json.dumps(base)), ("other", 1, json.dumps({**base, **change}))], "file string, prompt_idx int, json string")
+    assert {(r.file, r.rule) for r in corpus.invariant_sweep(variants, bases).collect() if not r.ok} == {("other", rule)}
 
 
 def test_trajectory_files(spark, root):
@@ -473,7 +487,7 @@ def test_streams(spark, root):
     put(inbox, "2.json", '{"seq":2,"rel_path":"a","label":"Invalid","heuristic":"OK","comment":"x"}\n'
                          '{"seq":3,"rel_path":"b","label":"Valid","heuristic":"OK","comment":""}\n')
     incremental.apply_label_updates(incremental.label_updates(spark, inbox), store, f"{root}/c1").awaitTermination()
-    rows = writers.current_labels(spark, store).orderBy("row_no").collect()
+    rows = LabelStore(spark, store).current().orderBy("row_no").collect()
     assert [(r.rel_path, r.label) for r in rows] == [("a", "Invalid"), ("b", "Valid")]
 
     schema = "exp_name string, prediction string, pred_label int, true_label int, seconds double"

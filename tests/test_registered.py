@@ -39,7 +39,7 @@ def tight(spark):
 
 
 SKEW_AWARE = [
-    "allowed_prompts", "cursor_clamp", "eval_metrics", "experiment_report", "heuristic_status", "invariant_sweep",
+    "allowed_prompts", "asof_samples", "cursor_clamp", "cursor_irregular", "eval_metrics", "experiment_report", "heuristic_status", "invariant_sweep",
     "kinematics_5hz", "kinematics_native", "label_lookup", "label_upsert", "motion_check", "nearest_prompt_file",
     "next_unskipped", "pending_anti", "prompt_sentence", "queue_position", "skip_filter", "time_axis", "traj_check",
     "variation_cross",
