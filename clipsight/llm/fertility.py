@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import BLANKS, Rolling, mixed, ragged, releasing, runs_of, text_views
+from clipsight.llm.shared import BLANKS, Rolling, mixed, ragged, releasing, runs_of, same_ranges, text_views
 from clipsight.llm.wordbpe import REMEMBERED, SLICE, Memory
 
 #: Symbols counted, words of a window, least words, greatest share of repeated words in percent.
@@ -76,22 +76,16 @@ class PieceWords:
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
-        self.memory = Memory()
+        self.memory = Memory(np.uint8)
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        if self.memory.words > REMEMBERED:
-            self.memory.forget()
-        found = self.memory.table.find(hashes)
-        unknown = np.flatnonzero(found < 0)
-        if len(unknown):
-            new, first = np.unique(hashes[unknown], return_index=True)
-            at = unknown[first]
-            words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        def model(first: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(first.tolist(), behind.tolist())]
             ids = self.model.encode(words, num_threads=1)
             counts = np.array([len(x) for x in ids], np.int64)
-            self.memory.add(new, np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts)
-            found[unknown] = self.memory.table.find(hashes[unknown])
-        return found
+            return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
+
+        return self.memory.numbers(data, starts, ends, hashes, model)
 
 
 _KNOWN: dict[str, PieceWords] = {}
@@ -170,25 +164,46 @@ def measured(words: PieceWords, data: np.ndarray, offsets: np.ndarray) -> dict[s
     feed_ended = (line_ends > line_starts) & (data[line_ends - 1] == 10) if len(line_ends) else np.zeros(0, bool)
     line_ends = line_ends - feed_ended
     has_word = np.searchsorted(starts, line_ends, "left") > np.searchsorted(starts, line_starts, "left")
-    line = mixed(_ROLLING.ranges(sums, line_starts, line_ends)[has_word] + line_text[has_word].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(line, return_index=True)
+    line_text, line_starts, line_ends = line_text[has_word], line_starts[has_word], line_ends[has_word]
+    line = mixed(_ROLLING.ranges(sums, line_starts, line_ends) + line_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, first, where = np.unique(line, return_index=True, return_inverse=True)
     again = np.ones(len(line), bool)
     again[first] = False
-    out["n_dup_lines"] = np.bincount(line_text[has_word][again], minlength=n)
-    # Words covered by windows that occur again in the same text.
+    # A hash only proposes: lines are compared byte by byte with the first of their hash.
+    rows = np.flatnonzero(again)
+    before = first[where[rows]]
+    same = same_ranges(data, line_starts[rows], line_ends[rows], data, line_starts[before], line_ends[before])
+    for t in np.unique(line_text[rows[~same]]).tolist():
+        seen: set[bytes] = set()
+        for k in np.flatnonzero(line_text == t).tolist():
+            body = data[line_starts[k] : line_ends[k]].tobytes()
+            again[k] = body in seen
+            seen.add(body)
+    out["n_dup_lines"] = np.bincount(line_text[again], minlength=n)
+    # Words covered by windows that occur again in the same text; a word's number stands for its bytes.
+    numbers = words.numbers(data, starts, ends, hashes)
     windows, at = window_hashes(hashes, text)
     windows = mixed(windows + text[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(windows, kind="stable")
-    equal = windows[order][1:] == windows[order][:-1]
+    equal = np.flatnonzero(windows[order][1:] == windows[order][:-1])
+    later, earlier = order[equal + 1], order[equal]
     twice = np.zeros(len(windows), bool)
-    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    twice[later] = twice[earlier] = True
+    true = np.ones(len(equal), bool)
+    for k in range(WINDOW):
+        true &= numbers[at[later] + k] == numbers[at[earlier] + k]
+    for t in np.unique(text[at[later[~true]]]).tolist():
+        found: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(text[at] == t).tolist():
+            found.setdefault(tuple(data[starts[w] : ends[w]].tobytes() for w in range(at[k], at[k] + WINDOW)), []).append(k)
+        for places in found.values():
+            twice[places] = len(places) > 1
     cover = np.zeros(len(starts) + WINDOW + 1, np.int64)
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + WINDOW, -1)
     covered = np.cumsum(cover)[: len(starts)] > 0
     out["n_repeat_words"] = np.bincount(text[covered], minlength=n)
     # Tokens.
-    numbers = words.numbers(data, starts, ends, hashes)
     counts = words.memory.counts[numbers]
     ids = words.memory.pool[ragged(words.memory.starts[numbers], counts)].astype(np.int64)
     owner = np.repeat(text, counts)

@@ -10,8 +10,9 @@ the first one over all its buckets, then the remaining ones of buckets that stil
 hold several groups.  What stars cannot decide (a bucket whose nodes are still in
 different groups) is compared in blocks of bounded size, inside the tasks: pairs
 that the signatures do not rule out are compared in full, and only the links that
-join groups leave a task.  Every link is confirmed on the full sets, so no false link stays; a true one is missed if all its
-bands differ (at a similarity of exactly 0.75 once in four million).
+join groups leave a task.  Every link is confirmed on the full sets of shingle hashes (of 62 bits, see
+``shared.RangeHash``), so a false link stays only where hashes meet; a true one is missed
+if all its bands differ (at a similarity of exactly 0.75 once in four million).
 
 Defined cases: a null or empty text, or one of white space, has no set and is linked
 with nothing; a document of fewer than five words has the sequence as its only

@@ -13,9 +13,9 @@ from clipsight.session import ensure_checkpoint_dir
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
-#: Odd multiplier of the rolling hashes and its inverse modulo 2**64.
-FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Modulus of the rolling hashes, a Mersenne prime, and a base for each of their two halves.
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1_103_515_245, 1_640_531_527)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -84,33 +84,106 @@ def releasing(run: Callable[[Iterator], Iterator], release: Callable[[], None])
     return task
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**62 as smaller ones of the same residue, below 2**32."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
 
+def residues(x: np.ndarray) -> np.ndarray:
+    """The residues of numbers below 2**63."""
+    x = folded(folded(x))
+    return np.where(x >= PRIME, x - PRIME, x)
 
-class Rolling:
-    """Hashes of byte ranges by differences of prefix sums, modulo 2**64, then mixed."""
+
+def powers(n: int, base: int) -> np.ndarray:
+    """The first n powers of a base modulo the prime."""
+    out = np.ones(max(n, 1), np.uint32)
+    have, step = 1, base % int(PRIME)
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = residues(out[:more].astype(np.uint64) * np.uint64(step))
+        have, step = have + more, step * step % int(PRIME)
+    return out
+
+
+class RangeHash:
+    """Hashes of ranges of symbols by differences of prefix sums.
+
+    Each half is a polynomial in a base of its own modulo a prime, so no structure of
+    a text makes different ranges alike, as powers of two do; two ranges of n symbols
+    meet by chance less than (n / 2**31)**2 of the time, of ordinary texts once in 2**62.
+    Where equality decides a result the symbols themselves are compared.
+    """
+
+    def __init__(self):
+        self.up = [np.ones(1, np.uint32) for _ in BASES]
+        self.down = [np.ones(1, np.uint32) for _ in BASES]
+
+    def sums(self, *values: np.ndarray) -> list[np.ndarray]:
+        """Prefix sums of a text whose symbols have these values (below the prime), one array per half."""
+        n = len(values[0])
+        if n + 1 > len(self.up[0]):
+            self.up = [powers(n + 1, b) for b in BASES]
+            self.down = [powers(n + 1, pow(b, -1, int(PRIME))) for b in BASES]
+        out = []
+        for value, up in zip(values, self.up):
+            sums = np.zeros(n + 1, np.uint64)
+            product = sums[1:]
+            np.multiply(value, up[:n], out=product, dtype=np.uint64)
+            high = product >> np.uint64(31)
+            product &= PRIME
+            product += high
+            np.cumsum(product, out=product)
+            out.append(sums)
+        return out
+
+    @staticmethod
+    def joined(halves: list[np.ndarray]) -> np.ndarray:
+        return mixed(halves[0] << np.uint64(31) | halves[1])
+
+    def ranges(self, sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.joined([residues(folded(residues(x[ends] - x[starts]) * down[starts])) for x, down in zip(sums, self.down)])
+
+
+class Rolling(RangeHash):
+    """Hashes of ranges of bytes."""
 
     def __init__(self, seed: int = 7):
-        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+        super().__init__()
+        self.tables = np.random.default_rng(seed).integers(1, int(PRIME), (len(BASES), 256), dtype=np.uint32)
+
+    def prefix(self, data: np.ndarray) -> list[np.ndarray]:
+        return self.sums(*[table[data] for table in self.tables])
+
+
+class Stretches:
+    """Hashes of all byte ranges of one short width, modulo 2**64: to choose places, not to tell texts apart."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.table, self.factor = rng.integers(0, 1 << 64, 256, dtype=np.uint64), 0x9E3779B97F4A7C15
         self.up = self.down = np.ones(1, np.uint64)
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
+    def every(self, data: np.ndarray, width: int) -> np.ndarray:
         n = len(data)
         if n + 1 > len(self.up):
-            self.up, self.down = powers(n + 1, FACTOR), powers(n + 1, INVERSE)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, f, np.uint64)])) for f in (self.factor, pow(self.factor, -1, 1 << 64)))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
-        return sums
+        return mixed((sums[width:] - sums[:-width]) * self.down[: len(sums) - width])
 
-    def ranges(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((sums[ends] - sums[starts]) * self.down[starts])
 
-    def every(self, sums: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of all ranges of one width."""
-        return mixed((sums[width:] - sums[:-width]) * self.down[: len(sums) - width])
+def same_ranges(left: np.ndarray, starts: np.ndarray, ends: np.ndarray, right: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which ranges of ``left`` hold the same symbols as those of ``right``."""
+    same = ends - starts == other_ends - others
+    rows = np.flatnonzero(same)
+    sizes = ends[rows] - starts[rows]
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()))
+    differs = left[place + np.repeat(starts[rows] - begin, sizes)] != right[place + np.repeat(others[rows] - begin, sizes)]
+    if differs.any():
+        same[np.unique(np.repeat(rows, sizes)[differs])] = False
+    return same
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -17,7 +17,9 @@ suffixes at anchors are enough.
    by the offset of its windows, so its parts may lie in different buckets.
 4. The verdict of a distinct zone goes back to the places where it occurs.
 
-Equal texts are one text with copies, and wholly removed if long enough.
+Equal texts are one text with copies, and wholly removed if long enough.  Windows are
+compared word by word; that two texts or two zones are the same is told by 64-bit hashes
+of them (of texts by ``xxhash64``, of zones by ``shared.RangeHash``).
 
 Defined cases: a null text is empty; rows that repeat a document count as copies of
 it; a null identifier is kept; a text shorter than the window is left as it is.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import Rolling, compressed, decompressed, fresh_name, mixed, ragged, runs_of, stored, text_views
+from clipsight.llm.shared import Rolling, Stretches, compressed, decompressed, fresh_name, mixed, ragged, runs_of, stored, text_views
 
 #: Bytes of a repeated string, and of the stretch at an anchor.
 WINDOW, GRAM = 200, 64
@@ -44,7 +46,7 @@ STRIDE, SORTED, GROUP = 1 << 19, 4 << 20, 50_000
 SPAN = WINDOW - GRAM + 1
 BITMAP = -(-SPAN // 8)
 
-_ROLLING = Rolling(13)
+_ROLLING, _STRETCHES = Rolling(13), Stretches(13)
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -53,7 +55,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     found = []
     for at in range(0, max(0, len(data) - WINDOW + 1), STRIDE):
         part = data[at : at + STRIDE + WINDOW - 1]
-        grams = _ROLLING.every(_ROLLING.prefix(part), GRAM)
+        grams = _STRETCHES.every(part, GRAM)
         keys = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)  # of equals the leftmost is least
         pad = np.full(-len(keys) % SPAN, ~np.uint64(0))
         rows = np.concatenate([keys, pad]).reshape(-1, SPAN)

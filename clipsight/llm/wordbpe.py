@@ -3,8 +3,8 @@
 Gives the ids the tokenizers library gives.  A batch of texts is cut into words
 with array operations (folding and character classes are asked from the file's own
 normalizer and pre-tokenizer, one character at a time, once), every word is looked
-up by hash among those met before, and only new words go through the library's BPE
-model.  Texts with characters that may combine go through the file's normalizer as
+up by hash among those met before (and compared with what it finds, so words of one
+hash stay apart), and only new words go through the library's BPE model.  Texts with characters that may combine go through the file's normalizer as
 a whole first.
 """
 
@@ -13,11 +13,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from clipsight.llm.shared import FACTOR, INVERSE, mixed, powers, ragged
+from clipsight.llm.shared import PRIME, RangeHash, mixed, ragged, same_ranges
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Characters below this never combine with a neighbour, so they fold one by one.
@@ -81,45 +82,78 @@ class WordTable:
 
 
 class Memory:
-    """Ids of the words met so far: a table of hashes and one pool of ids."""
+    """Ids of the words met so far: a table of hashes, and pools of the words' symbols and of their ids."""
 
-    def __init__(self):
-        self.table, self.pool = WordTable(), np.zeros(1 << 16, np.int32)
-        self.starts, self.counts = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-        self.words = self.used = 0
+    def __init__(self, symbol: type = np.uint32):
+        self.symbol = symbol
+        self.table, self.pool, self.symbols = WordTable(), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, symbol)
+        self.starts, self.counts, self.at, self.end = (np.zeros(1 << 14, np.int32) for _ in range(4))
+        self.words = self.used = self.spelt = 0
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        n, total = len(hashes), len(ids)
+    def put(self, ids: np.ndarray, counts: np.ndarray, source: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keep words (ranges of ``source``) with their ids; their numbers."""
+        n, total, sizes = len(counts), len(ids), ends - starts
         while self.words + n > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.at, self.end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.at, self.end))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        spelt = int(sizes.sum())
+        while self.spelt + spelt > len(self.symbols):
+            self.symbols = np.concatenate([self.symbols, np.zeros_like(self.symbols)])
+        numbers = np.arange(self.words, self.words + n)
         self.pool[self.used : self.used + total] = ids
-        self.starts[self.words : self.words + n] = self.used + np.cumsum(counts) - counts
-        self.counts[self.words : self.words + n] = counts
-        self.table.add(hashes, np.arange(self.words, self.words + n))
-        self.words, self.used = self.words + n, self.used + total
+        self.symbols[self.spelt : self.spelt + spelt] = source[ragged(starts, sizes)]
+        self.starts[numbers] = self.used + np.cumsum(counts) - counts
+        self.counts[numbers] = counts
+        self.end[numbers] = self.spelt + np.cumsum(sizes)
+        self.at[numbers] = self.end[numbers] - sizes
+        self.words, self.used, self.spelt = self.words + n, self.used + total, self.spelt + spelt
+        return numbers
+
+    def numbers(self, source: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, model: Callable[[np.ndarray, np.ndarray], tuple]) -> np.ndarray:
+        """Numbers of words, of which ``model(starts, ends)`` gives the ids and their counts where they are new.
+
+        A hash only proposes a word: its symbols are compared, and of words with one
+        hash those that are not the one in the table are kept beside it.
+        """
+        if self.words > REMEMBERED:
+            self.forget()
+        found = self.table.find(hashes)
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            new, first = np.unique(hashes[unknown], return_index=True)
+            at = unknown[first]
+            self.table.add(new, self.put(*model(starts[at], ends[at]), source, starts[at], ends[at]))
+            found[unknown] = self.table.find(hashes[unknown])
+        other = np.flatnonzero(~same_ranges(source, starts, ends, self.symbols, self.at[found], self.end[found]))
+        if len(other):
+            apart: dict[bytes, list[int]] = {}
+            for k in other.tolist():
+                apart.setdefault(source[starts[k] : ends[k]].tobytes(), []).append(k)
+            at = np.array([x[0] for x in apart.values()])
+            for number, places in zip(self.put(*model(starts[at], ends[at]), source, starts[at], ends[at]), apart.values()):
+                found[places] = number
+        return found
 
     def forget(self) -> None:
-        self.__init__()
+        self.__init__(self.symbol)
 
 
-class WordHash:
+class WordHash(RangeHash):
     """Hashes of character ranges of a slice of text."""
 
     def __init__(self):
-        self.plain = mixed(np.arange(PLAIN, dtype=np.uint64) + np.uint64(1))
-        self.up, self.down = powers(SLICE + 1, FACTOR), powers(SLICE + 1, INVERSE)
+        super().__init__()
+        self.plain = self.values(np.arange(PLAIN, dtype=np.uint64))
 
-    def ranges(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(points)
-        if n + 1 > len(self.up):
-            self.up, self.down = powers(n + 1, FACTOR), powers(n + 1, INVERSE)
-        low = points < PLAIN
-        values = self.plain[points] if low.all() else mixed(points.astype(np.uint64) + np.uint64(1))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=sums[1:])
-        h = mixed((sums[ends] - sums[starts]) * self.down[starts])
+    @staticmethod
+    def values(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mixed(points.astype(np.uint64) + np.uint64(1))
+        return tuple((x % (PRIME - np.uint64(1)) + np.uint64(1)).astype(np.uint32) for x in (h >> np.uint64(32), h & np.uint64(0xFFFFFFFF)))
+
+    def of(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        low = not len(points) or points.max() < PLAIN
+        h = self.ranges(self.sums(*([x[points] for x in self.plain] if low else self.values(points))), starts, ends)
         h[h == 0] = 1  # 0 marks a free place
         return h
 
@@ -243,21 +277,12 @@ class WordEncoder:
         return [np.array(e.ids, np.int32) for e in self.ended.encode_batch_fast(groups, add_special_tokens=False)]
 
     def word_numbers(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        memory = self.memory
-        if memory.words > REMEMBERED:
-            memory.forget()
-        hashes = self.hash.ranges(points, starts, ends)
-        numbers = memory.table.find(hashes)
-        unknown = np.flatnonzero(numbers < 0)
-        if len(unknown):
-            new, first = np.unique(hashes[unknown], return_index=True)
-            at = unknown[first]
-            words = [points[s:e].tobytes().decode("utf-32-le", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        def model(first: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            words = [points[s:e].tobytes().decode("utf-32-le", "replace") for s, e in zip(first.tolist(), behind.tolist())]
             ids = np.concatenate(self.model_ids(words))
-            last = np.flatnonzero(self.ends_word[ids])
-            memory.add(new, ids, np.diff(last, prepend=-1))
-            numbers[unknown] = memory.table.find(hashes[unknown])
-        return numbers
+            return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+
+        return self.memory.numbers(points, starts, ends, self.hash.of(points, starts, ends), model)
 
     def encode_points(self, points: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of normalised texts together, and the n + 1 places where each text's ids begin."""
