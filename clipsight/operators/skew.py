@@ -115,6 +115,21 @@ def positions_and_size(
     return out.drop("_seg", "_before", "_all"), True
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, name: str, rows_per_task: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` from a key's first row in the given (unique) order to this one."""
+    keys = list(keys)
+    rows, split = ordered_segments(df, keys, order, rows_per_task)
+    run = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn(name, F.sum(value).over(run))
+    if not split:
+        return out.drop("_seg")
+    sums = spanning(rows.groupBy(*keys, "_seg").agg(F.sum(value).alias("_sum")), keys)
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*keys, "_seg", F.sum("_sum").over(before).alias("_before"))
+    out = out.join(carry, [*keys, "_seg"], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_seg", "_before")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

@@ -7,5 +7,6 @@ from clipsight.plans import (  # noqa: F401
     queries_files,
     queries_motion,
     queries_review,
+    queries_structure,
 )
 from clipsight.plans.registry import QUERIES  # noqa: F401
