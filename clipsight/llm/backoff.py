@@ -6,6 +6,7 @@ the bigram ``v w`` occurs at least ``least`` times in the corpus, else ``discoun
 times ``c(w) / N``; a text's first token scores ``c(w) / N``.  ``c(v .)`` counts the
 places where ``v`` is followed by a token.
 
+Texts are tokenised once, into a stored table of ids that every later step reads.
 Bigrams among the most frequent tokens are counted in dense tables of a fixed size,
 so none that is routed holds more than one part in ``FREQUENT`` of all places.  The
 others leave each block of documents once per document, packed by a hash of the
@@ -29,23 +30,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsight.llm.shared import mixed, releasing, runs_of, text_views
+from clipsight.llm.shared import mixed, releasing, runs_of, stored, text_views
 from clipsight.llm.wordbpe import SLICE, encoder, forget_words
 
-#: Tokens counted in dense pair tables; tokens and documents of a block; text bytes whose bigrams one task counts.
-FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, PART_BYTES = 512, 250_000, 60_000, 8 << 20
+#: Tokens counted in dense pair tables; tokens and documents of a block; tokens handled at once; places that one task counts.
+FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, RUN_TOKENS, PART_TOKENS = 512, 250_000, 60_000, 100_000, 2_500_000
 DISCOUNT, LEAST = 0.4, 2
 UNIT = 1e6
 
 
-def token_runs(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def tokenised(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids) of every document, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
+        for batch in batches:
+            data, offsets = text_views(batch.column(1))
+            for i, j in runs_of(offsets, SLICE):
+                ids, at = coder.encode_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                names = batch.column(0).take(pa.array(np.arange(i, j)))  # a slice would keep the whole batch
+                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+
+    return stored(rows.mapInArrow(releasing(run, forget_words), "doc_id long, ids array<int>"))
+
+
+def token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(document ids, token ids, places where each document's ids begin) of small groups of documents."""
-    coder = encoder(tokenizer)
     for batch in batches:
-        data, offsets = text_views(batch.column(1))
-        for i, j in runs_of(offsets, SLICE):
-            ids, at = coder.encode_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield batch.column(0).slice(i, j - i), ids, at
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy()
+        for i, j in runs_of(offsets, RUN_TOKENS):
+            yield batch.column(0).slice(i, j - i), ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
 def micro(x: np.ndarray) -> np.ndarray:
@@ -84,29 +100,29 @@ def summed(counts: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in counts.values()], names=list(counts))
 
 
-def unigrams(rows: DataFrame, tokenizer: str) -> Unigrams:
-    size = len(encoder(tokenizer).surface)
+def unigrams(tokens: DataFrame, size: int) -> Unigrams:
+    """Counts by token of a vocabulary of ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, follows = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for _, ids, at in token_runs(batches, tokenizer):
+        for _, ids, at in token_runs(batches):
             second, _ = bigrams(ids, at)
             count += np.bincount(ids, minlength=size)
             follows += np.bincount(ids[second - 1], minlength=size)
         some = np.flatnonzero(count)
         yield summed({"token": some.astype(np.int32), "n": count[some], "follows": follows[some]})
 
-    found = rows.mapInArrow(releasing(run, forget_words), "token int, n long, follows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("follows").alias("follows"))
+    found = tokens.mapInArrow(run, "token int, n long, follows long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("follows").alias("follows"))
     return Unigrams([tuple(r) for r in found.collect()], size)  # at most a row per token of the vocabulary
 
 
-def frequent_pairs(rows: DataFrame, tokenizer: str, single: Unigrams) -> np.ndarray:
+def frequent_pairs(tokens: DataFrame, single: Unigrams) -> np.ndarray:
     """Counts of the bigrams among the frequent tokens, as a matrix of fixed size."""
     n = max(1, len(single.frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n * n, np.int64)
-        for _, ids, at in token_runs(batches, tokenizer):
+        for _, ids, at in token_runs(batches):
             second, _ = bigrams(ids, at)
             a, b = single.rank[ids[second - 1]], single.rank[ids[second]]
             both = (a >= 0) & (b >= 0)
@@ -115,7 +131,7 @@ def frequent_pairs(rows: DataFrame, tokenizer: str, single: Unigrams) -> np.ndar
         yield summed({"pair": some.astype(np.int32), "n": count[some]})
 
     out = np.zeros(n * n, np.int64)
-    for pair, count in rows.mapInArrow(releasing(run, forget_words), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for pair, count in tokens.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[pair] = count
     return out.reshape(n, n)
 
@@ -132,7 +148,7 @@ def opened(blob: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True) if size else b"", kind)
 
 
-def packed_bigrams(rows: DataFrame, tokenizer: str, single: Unigrams, dense: np.ndarray, parts: int, least: int, discount: float) -> DataFrame:
+def packed_bigrams(rows: DataFrame, single: Unigrams, dense: np.ndarray, parts: int, least: int, discount: float) -> DataFrame:
     """Blocks of documents, cut by bigram hash; one more row per block has what needs no other place's counts."""
     n = len(single.frequent)
     a, b = np.divmod(np.arange(dense.size), dense.shape[1])
@@ -175,7 +191,7 @@ def packed_bigrams(rows: DataFrame, tokenizer: str, single: Unigrams, dense: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         names, ids, lengths, tokens, docs = [], [], [], 0, 0
-        for some, found, at in token_runs(batches, tokenizer):
+        for some, found, at in token_runs(batches):
             for i in range(0, len(some), BLOCK_DOCS):
                 j = min(len(some), i + BLOCK_DOCS)
                 if names and (tokens + at[j] - at[i] > BLOCK_TOKENS or docs + j - i > BLOCK_DOCS):
@@ -188,17 +204,19 @@ def packed_bigrams(rows: DataFrame, tokenizer: str, single: Unigrams, dense: np.
         if names:
             yield from flush(number, names, ids, lengths)
 
-    return rows.mapInArrow(releasing(run, forget_words), PACKED)
+    return rows.mapInArrow(run, PACKED)
 
 
 def scores(docs: DataFrame, tokenizer: str, discount: float = DISCOUNT, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_score, mean_log_score) of every row, in natural logarithms."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / PART_BYTES))
-    single = unigrams(rows, tokenizer)
-    dense = frequent_pairs(rows, tokenizer, single)
-    packed = packed_bigrams(rows, tokenizer, single, dense, parts, least, discount)
+    size = len(encoder(tokenizer).surface)
+    if size > 1 << 16:
+        raise ValueError("a bigram's code has 16 bits for each of its tokens")
+    tokens = tokenised(rows, tokenizer)
+    single = unigrams(tokens, size)
+    dense = frequent_pairs(tokens, single)
+    packed = packed_bigrams(tokens, single, dense, max(1, math.ceil(single.total / PART_TOKENS)), least, discount)
 
     def count_and_score(table):
         rows = table.to_pylist()

@@ -156,10 +156,10 @@ def test_multikey_sort_finds_equal_windows():
     assert suffix_dedup.repeated(data, starts, group).tolist() == want and any(want) and not all(want)
 
 
-@pytest.mark.parametrize("frequent, part", [(512, 12 << 20), (4, 2000)])
+@pytest.mark.parametrize("frequent, part", [(512, 4_000_000), (4, 600)])
 def test_backoff_scores_match_brute_force(spark, monkeypatch, frequent, part):
     monkeypatch.setattr(backoff, "FREQUENT", frequent)
-    monkeypatch.setattr(backoff, "PART_BYTES", part)
+    monkeypatch.setattr(backoff, "PART_TOKENS", part)
     library = Tokenizer.from_file(WORD_FILE)
     rows = awkward_texts() + list(enumerate(passages(), 100))
     ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
