@@ -3,10 +3,12 @@
 Query vectors are packed into blocks and all vectors into shards.  Every tile
 (block x shard) is one matrix product followed by a partial selection, so a tile
 hands on at most ``k`` rows per query; the lists are then merged in a tree whose
-fan-in is fixed, so no task ever sees all lists of a query.
+fan-in is fixed, so no task ever sees all lists of a query.  A block goes to its shards
+in copies, one per part of the table (``SPREAD`` parts at most), so that the shards it
+meets are shared out over the tasks however few blocks there are.
 
 Defined cases: null vectors, empty vectors, and vectors with a null, infinite or
-NaN component take no part, nor do rows without an id.  Only vectors of equal
+NaN component, or one that is infinite when scaled, take no part, nor do rows without an id.  Only vectors of equal
 length are compared.  Rows that repeat an id are candidates of their own for the
 other ids; a query never meets a row of its own id, and equal queries are one.
 Ties go to the smaller id.  An empty table gives no rows.  Scores beyond 64 bits
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in a block, and how many lists one step of the tree merges.
-BLOCK, FAN_IN = 1024, 32
+#: Query vectors in a block, how many lists one step of the tree merges, and parts of the table that a block meets apart.
+BLOCK, FAN_IN, SPREAD = 1024, 32, 512
 PACKED = "dim int, ids binary, vectors binary"
 
 
@@ -40,7 +42,8 @@ def pack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
-    broken = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    with np.errstate(over="ignore"):
+        broken = np.concatenate([[0], np.cumsum(~np.isfinite(scaled(flat)))])
     usable &= (sizes > 0) & (broken[ends] == broken[ends - sizes])
     for dim in np.unique(sizes[usable]):
         rows = np.flatnonzero(usable & (sizes == dim))
@@ -104,16 +107,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
             "q_vectors": pa.array([m.tobytes() for _, _, m in found], pa.binary()),
         })
 
+    width = max(1, rows.rdd.getNumPartitions())
+    spread = min(2 * width, SPREAD)
     questions = (
         asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         .groupBy("block")
         .applyInArrow(pack_block, "block int, dim int, q_ids binary, q_vectors binary")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     )
     shards = (
         rows.select("vec_id", "v")
         .mapInArrow(packed, PACKED)
         .withColumn("shard", F.monotonically_increasing_id())
+        .withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(spread)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # Products are dear and rows are few: tasks are not joined for being small.
+        .repartition(max(spread, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "dim", "part")
     )
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +140,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
                         names=["query_id", "shard", "vec_id", "score"],
                     )
 
-    lists = questions.join(shards, ["block", "dim"]).mapInArrow(tile, "query_id long, shard long, vec_id long, score long")
+    lists = shards.join(questions, ["block", "dim", "part"]).mapInArrow(tile, "query_id long, shard long, vec_id long, score long")
     # A shard's number is (partition, position): positions merge first, then partitions by fan-in.
     lists = lists.withColumn("shard", F.shiftright("shard", 33))
-    width = max(1, rows.rdd.getNumPartitions())
     while width > 1:
         lists = best(lists, k, "query_id", "shard").drop("rank").withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("long"))
         width = math.ceil(width / FAN_IN)

@@ -40,6 +40,13 @@ def test_search_matches_brute_force(spark, monkeypatch):
     assert topk_search.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_of_odd_vectors_and_columns(spark):
+    rows = [(100, [1.0, 2.0], 1), (1, [1.7e306, 1.0], 2), (2, [1.7e305, 0.0], 3), (3, [-1e300, 0.0], 4), (4, [0.5, 0.25], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int").withColumns({c: F.lit(0) for c in ("shard", "block", "asks", "dim", "rank")})
+    have = [(r["rank"], r.vec_id, r.score) for r in topk_search.search(df, F.col("vec_id") == 100, 10).orderBy("rank").collect()]
+    assert have == [(1, 2, 2**63 - 1), (2, 4, 1024 * 512 + 2048 * 256), (3, 3, -(2**63))]
+
+
 def test_products_stay_exact_beyond_doubles():
     q = np.array([[2.0**40, 3.0], [1.0, 2.0]])
     assert topk_search.products(q, q).tolist() == [[2**63 - 1, 2**40 + 6], [2**40 + 6, 5]]
