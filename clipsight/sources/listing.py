@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from clipsight.session import ensure_checkpoint_dir
 
+#: Files that a task reads one after the other, at most about.
+FILES_PER_TASK = 2000
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
@@ -121,5 +123,5 @@ def texts(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
                     text = None
                 yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string())], names=["rel_path", "text"])
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-listing.count() // FILES_PER_TASK))
     return listing.select("rel_path").repartition(spread, "rel_path").mapInArrow(read, "rel_path string, text string")
