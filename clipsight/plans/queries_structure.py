@@ -153,8 +153,11 @@ SELECT doc_id, ' ' || a || ' ' || b || ' ' AS phrase, count(*) AS hits FROM plac
     writes=True,
 )
 
+# Phrases of which no end is a beginning, so that plain replacement counts them too.
 PHRASE_RULES = """
-SELECT CAST(p_partkey % 150 AS INT) AS prompt_idx, 'r' || CAST(p_partkey AS STRING) AS rule, substr(p_name, 1, 2) || CASE p_partkey % 3 WHEN 0 THEN '' ELSE 'e' END AS phrase,
+SELECT CAST(p_partkey % 150 AS INT) AS prompt_idx, 'r' || CAST(p_partkey AS STRING) AS rule,
+       CASE p_partkey % 11 WHEN 0 THEN 'th' WHEN 1 THEN 'he ' WHEN 2 THEN 'que' WHEN 3 THEN 'ei' WHEN 4 THEN 'ing' WHEN 5 THEN 'la' WHEN 6 THEN 'ció'
+                           WHEN 7 THEN 'der' WHEN 8 THEN 'au' WHEN 9 THEN ', e' ELSE '. D' END AS phrase,
        CAST(0 AS BIGINT) AS least, CAST(p_partkey % 40 AS BIGINT) AS most
 FROM {part}
 """
@@ -165,7 +168,7 @@ register(
     with_inputs(
         """
 SELECT doc_id, rule, hits, hits BETWEEN least AND most AS ok
-FROM (SELECT d.doc_id, r.rule, r.least, r.most, CAST(len(list_filter(range(1, length(text) - length(phrase) + 2), lambda i: substr(text, i, length(phrase)) = phrase)) AS BIGINT) AS hits
+FROM (SELECT d.doc_id, r.rule, r.least, r.most, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS hits
       FROM docs d JOIN rules r ON d.prompt_idx = r.prompt_idx)
 """,
         docs=PHRASE_DOCS,
