@@ -145,7 +145,7 @@ def poses_from_steps(t: Tables):
         F.when(long, first * 3 + vec % 5).otherwise(first).alias("place"),
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.slice(F.col("embedding"), k * 9 + 1, F.lit(9)))).alias("j", "action"),
     )
-    moved = kinematics.poses_from_steps(steps.withColumn("k", F.col("place") * 7 + F.col("j")), "track", block_rows=64)
+    moved = kinematics.poses_from_steps(steps.withColumn("k", F.col("place") * 7 + F.col("j")), "track", block_rows=256)
     return moved.select("track", "k", *[F.round(F.col(c) + 0.0, 4).alias(c) for c in ("px", "pz", "fx", "fz")])
 
 
