@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsight.llm.shared import mixed, releasing, runs_of, stored, text_views
-from clipsight.llm.wordbpe import SLICE, encoder, forget_words
+from clipsight.llm.wordbpe import SLICE, encoder, forget_models, forget_words
 
 #: Tokens counted in dense pair tables; tokens and documents of a block; tokens handled at once; places that one task counts.
 FREQUENT, BLOCK_TOKENS, BLOCK_DOCS, RUN_TOKENS, PART_TOKENS = 512, 250_000, 60_000, 100_000, 2_500_000
@@ -40,7 +40,7 @@ UNIT = 1e6
 
 
 def tokenised(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids) of every document, stored."""
+    """(doc_id, ids) of every document, stored; ids are little-endian numbers of 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
@@ -49,19 +49,21 @@ def tokenised(rows: DataFrame, tokenizer: str) -> DataFrame:
             for i, j in runs_of(offsets, SLICE):
                 ids, at = coder.encode_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 names = batch.column(0).take(pa.array(np.arange(i, j)))  # a slice would keep the whole batch
-                yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+                ends, packed = pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))
+                yield pa.RecordBatch.from_arrays([names, pa.Array.from_buffers(pa.binary(), j - i, [None, ends, packed])], names=["doc_id", "ids"])
 
-    return stored(rows.mapInArrow(releasing(run, forget_words), "doc_id long, ids array<int>"))
+    return stored(rows.mapInArrow(releasing(run, forget_words), "doc_id long, ids binary"))
 
 
 def token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(document ids, token ids, places where each document's ids begin) of small groups of documents."""
+    forget_models()  # workers that have encoded before need them no more
     for batch in batches:
-        lists = batch.column(1)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.values.to_numpy()
+        data, offsets = text_views(batch.column(1))
+        offsets = offsets // 2
+        ids = np.ascontiguousarray(data).view("<u2")
         for i, j in runs_of(offsets, RUN_TOKENS):
-            yield batch.column(0).slice(i, j - i), ids[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            yield batch.column(0).slice(i, j - i), ids[offsets[i] : offsets[j]].astype(np.int32), offsets[i : j + 1] - offsets[i]
 
 
 def micro(x: np.ndarray) -> np.ndarray:

@@ -341,3 +341,8 @@ def forget_words() -> None:
     """Drop the words that this process has met; the models stay."""
     for coder in _KNOWN.values():
         coder.memory.forget()
+
+
+def forget_models() -> None:
+    """Drop the encoders of this process; one is made again when it is asked for."""
+    _KNOWN.clear()
